@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 KS_TERMS = 100
 
@@ -42,7 +43,7 @@ def _chi2_tail(x: float, df: float) -> float:
     return min(1.0, tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     """Applied to one row per feature, after all counting is done."""
     return pd.Series([_chi2_tail(a, b) for a, b in zip(x, df)])

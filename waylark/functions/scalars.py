@@ -127,7 +127,9 @@ def has_layover(minutes: ColumnLike) -> Column:
 
 
 def clamp_probability(p: ColumnLike) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), as_col(p)))
+    c = as_col(p)
+    # least and greatest skip nulls, so a missing probability needs its own guard
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def risk_band(p: ColumnLike) -> Column:

@@ -216,5 +216,4 @@ def delay_rate(df: DataFrame, label: str = LABEL_COL, by: list[str] | None = Non
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Absolute and relative frequency per category (nulls left out)."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(W.partitionBy(F.lit(1)))
-    return counts.withColumn("share", F.col("n") / total)
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())

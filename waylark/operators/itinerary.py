@@ -133,7 +133,7 @@ def itineraries(
     return (
         j.join(m, ["_city", "_day"])
         .filter(S.arrival_window("match_date", "end_time", days, hours))
-        .drop("_city", "_day", "origin_city", "end_city", "end_time")
+        .drop("_city", "_day", "end_city", "end_time")
     )
 
 

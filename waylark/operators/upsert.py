@@ -119,23 +119,23 @@ def upsert_table(
     partition column must follow from the key (the journey date is part of the
     journey key), so an update never moves a row to another partition.
 
-    The merged partitions are first written in full to `staging_path`, then put
-    in place by a dynamic partition overwrite. A run that died in between is
+    The arriving rows and then the merged partitions are written in full below
+    `staging_path`, which must be new for each batch; the latter are put in place by a dynamic partition overwrite. A run that died in between is
     repeated from the staged copy with the same result, so the step is safe to
     retry after losing executors or the driver.
     """
-    if not _exists(spark, f"{staging_path}/_SUCCESS"):
-        unique = dedupe(source, keys, order)
-        if _exists(spark, path):
-            current = spark.read.schema(schema).parquet(path)
-            touched = unique.select(partition_col).distinct()
-            target = current.join(touched, partition_col, "left_semi")
+    merged_path, arrived_path = f"{staging_path}/merged", f"{staging_path}/arrived"
+    if not _exists(spark, f"{merged_path}/_SUCCESS"):
+        dedupe(source, keys, order).write.mode("overwrite").parquet(arrived_path)
+        arrived = spark.read.parquet(arrived_path)
+        if _exists(spark, f"{path}/_SUCCESS"):
+            touched = arrived.select(partition_col).distinct()
+            target = spark.read.schema(schema).parquet(path).join(touched, partition_col, "left_semi")
         else:
             target = spark.createDataFrame([], schema)
-        merged = upsert(target, unique, keys, update_cols, now)
-        merged.write.mode("overwrite").parquet(staging_path)
+        upsert(target, arrived, keys, update_cols, now).write.mode("overwrite").parquet(merged_path)
     (
-        spark.read.schema(schema).parquet(staging_path)
+        spark.read.schema(schema).parquet(merged_path)
         .repartition(partition_col, F.pmod(F.xxhash64(*keys), F.lit(FILES_PER_PARTITION)))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_col).parquet(path)
