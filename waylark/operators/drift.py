@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylark.functions.pvalues import chi2_tail, kolmogorov_tail
-from waylark.operators.ordered import cut_points, running_totals, unpivot
+from waylark.operators.ordered import running_totals, unpivot
 
 # Thresholds and floor of the stability index and the tests.
 PSI_WARNING = 0.1
@@ -65,21 +65,19 @@ def psi(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int = PSI_BINS) -
         "feature", "is_ref", (F.col("hi") > F.col("lo")).alias("varies"),
         F.when(inside, slot).alias("slot"),
     )
-    one = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    is_ref, here = F.col("is_ref"), F.col("slot").isNotNull()
-    counts = [
-        expr
-        for i in range(bins)
-        for expr in (
-            one(is_ref & (F.col("slot") == i)).alias(f"r{i}"),
-            one(~is_ref & (F.col("slot") == i)).alias(f"c{i}"),
-        )
-    ]
-    g = placed.groupBy("feature").agg(
+    # A handful of rows per feature leave the map side; the rest works on those.
+    cells = placed.groupBy("feature", "is_ref", "slot").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("varies").alias("varies")
+    )
+    total = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    is_ref, slot_no = F.col("is_ref"), F.col("slot")
+    here = slot_no.isNotNull()
+    g = cells.groupBy("feature").agg(
         F.bool_or("varies").alias("varies"),
-        one(is_ref).alias("n_ref"), one(~is_ref).alias("n_cur"),
-        one(is_ref & here).alias("in_ref"), one(~is_ref & here).alias("in_cur"),
-        *counts,
+        total(is_ref).alias("n_ref"), total(~is_ref).alias("n_cur"),
+        total(is_ref & here).alias("in_ref"), total(~is_ref & here).alias("in_cur"),
+        *[total(is_ref & (slot_no == i)).alias(f"r{i}") for i in range(bins)],
+        *[total(~is_ref & (slot_no == i)).alias(f"c{i}") for i in range(bins)],
     )
 
     def share(n: str, total: str) -> Column:
@@ -104,7 +102,7 @@ def ks_2samp(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
         F.sum(F.when(F.col("is_ref"), 1).otherwise(0)).alias("r"),
         F.sum(F.when(F.col("is_ref"), 0).otherwise(1)).alias("c"),
     )
-    run = running_totals(counted, "feature", "value", ["r", "c"], cut_points(long, "feature", "value"))
+    run = running_totals(counted, "feature", "value", ["r", "c"])
     gap = F.abs(F.col("cum_r") / F.col("tot_r") - F.col("cum_c") / F.col("tot_c"))
     g = run.filter("tot_r > 0 AND tot_c > 0").groupBy("feature").agg(
         F.max(gap).alias("ks_stat"), F.max("tot_r").alias("n_ref"), F.max("tot_c").alias("n_cur")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
 from waylark.operators.ordered import exact_medians
-from waylark.session import new_shared_path
 
 # The order is part of the contract between training and scoring.
 FEATURE_COLS = [
@@ -55,17 +54,6 @@ def load_codes(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def pinned(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the shared folder and read back.
-
-    The reader then knows the size, so Spark chooses the join strategy from it,
-    and later uses do not recompute the fit.
-    """
-    path = new_shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def encode(df: DataFrame, codes: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add code columns {source column: output}; unknown or null gives -1."""
     out = df

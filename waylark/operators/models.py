@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
 from waylark.operators.features import FEATURE_COLS, LABEL_COL, class_stats
-from waylark.operators.ordered import cut_points, running_totals
+from waylark.operators.ordered import running_totals
 
 # Published settings of the boosted trees and the network.
 TREE_SETTINGS = {"maxIter": 200, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8,
@@ -135,9 +135,7 @@ def _by_score(df: DataFrame, label: str, score: str, group: str) -> DataFrame:
 def roc_points(df: DataFrame, label: str, score: str, group: str) -> DataFrame:
     """False and true positive rate at each distinct score used as threshold."""
     counted = _by_score(df, label, score, group)
-    run = running_totals(
-        counted, group, score, ["pos", "neg"], cut_points(df, group, score), descending=True
-    )
+    run = running_totals(counted, group, score, ["pos", "neg"], descending=True)
     return run.select(
         group, F.col(score).alias("threshold"),
         F.try_divide(F.col("cum_neg").cast("double"), F.col("tot_neg")).alias("fpr"),
@@ -152,7 +150,7 @@ def auc(df: DataFrame, label: str, score: str, group: str) -> DataFrame:
     no task sorts the whole result.
     """
     counted = _by_score(df, label, score, group)
-    run = running_totals(counted, group, score, ["pos", "neg"], cut_points(df, group, score))
+    run = running_totals(counted, group, score, ["pos", "neg"])
     below = F.col("cum_neg") - F.col("neg")
     won = F.sum(F.col("pos") * (below + F.col("neg") / 2.0))
     return run.groupBy(group).agg(

@@ -13,41 +13,43 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waylark.functions.scalars import epoch_micros
+from waylark.session import pinned
 
 DEFAULT_BUCKETS = 64
+TIME_PARTS = 64
 
 
 # --- values: running totals over sorted values --------------------------------
 
-def cut_points(df: DataFrame, group: str, value: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """At most `buckets - 1` ascending cut values per group, fixed for the plan.
+def cut_points(counted: DataFrame, group: str, value: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """At most `buckets - 1` ascending cut values per group.
 
-    The quantile sketch merges map-side. Its result is bounded (groups x buckets
-    numbers) and is taken to the driver on purpose: as literals the cuts are the
-    same for every branch and every retried task.
+    Quantiles of the distinct values, so the buckets hold about equally many rows
+    of `counted`. The sketch merges map-side. Its result is bounded (groups x
+    buckets numbers) and is taken to the driver on purpose: as literals the cuts
+    are the same for every branch and every retried task.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    rows = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(group)
-        .agg(F.percentile_approx(value, shares, buckets * 20).alias("cuts"))
-        .collect()
-    )
+    rows = counted.groupBy(group).agg(F.percentile_approx(value, shares, buckets * 20).alias("cuts")).collect()
     data = [(r[group], sorted({float(x) for x in r["cuts"]})) for r in rows]
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(data, f"{group} {kind}, cuts array<double>")
+    kind = counted.schema[group].dataType.simpleString()
+    return counted.sparkSession.createDataFrame(data, f"{group} {kind}, cuts array<double>")
 
 
 def running_totals(
-    counted: DataFrame, group: str, value: str, sums: list[str], cuts: DataFrame, descending: bool = False
+    counted: DataFrame, group: str, value: str, sums: list[str],
+    descending: bool = False, buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """Add `cum_<s>` (inclusive) and `tot_<s>` per group in order of `value`.
 
-    `counted` holds each (group, value) once. Range buckets come from `cuts`;
-    the offsets joined back are groups x buckets rows, hence the broadcast.
+    `counted` holds each (group, value) once, for example counts per distinct
+    value. It is written to the shared folder first: the cuts, the bucket totals
+    and the rows themselves all come from that one computation. The offsets joined
+    back are groups x buckets rows, hence the broadcast.
     """
+    once = pinned(counted.filter(F.col(value).isNotNull()).select(group, value, *sums), "counted")
     placed = (
-        counted.join(F.broadcast(cuts), group)
+        once.join(F.broadcast(cut_points(once, group, value, buckets)), group)
         .withColumn("_b", F.size(F.filter("cuts", lambda c: c <= F.col(value))))
         .drop("cuts")
     )
@@ -89,7 +91,7 @@ def exact_medians(df: DataFrame, cols: list[str], buckets: int = DEFAULT_BUCKETS
     """
     long = unpivot(df, cols)
     counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    run = running_totals(counted, "feature", "value", ["n"], cut_points(long, "feature", "value", buckets))
+    run = running_totals(counted, "feature", "value", ["n"], buckets=buckets)
     low, high = F.floor((F.col("tot_n") - 1) / 2), F.floor(F.col("tot_n") / 2)
     start = F.col("cum_n") - F.col("n")
     hit = lambda rank: F.max(F.when((start <= rank) & (rank < F.col("cum_n")), F.col("value")))
@@ -102,25 +104,59 @@ def time_bucket(ts: str, seconds: int) -> Column:
     return F.floor(epoch_micros(ts) / F.lit(seconds * 1_000_000))
 
 
+class Slices:
+    """Ordered time slices of a table, for work inside and across them.
+
+    A slice is a pair (period of fixed length, quantile of all timestamps). The
+    period keeps a series apart in time; the quantile cuts a period in which a
+    large share of all rows falls. Both grow with the timestamp, so their pair
+    orders the slices. The cuts are a bounded list taken once.
+    """
+
+    COLS = ("_period", "_part")
+
+    def __init__(self, df: DataFrame, ts: str, period_seconds: int = 3600, parts: int = TIME_PARTS):
+        shares = [i / parts for i in range(1, parts)]
+        found = df.agg(F.percentile_approx(epoch_micros(ts), shares, parts * 20).alias("c")).first()["c"]
+        self.cuts = sorted(set(found or []))
+        self.ts, self.period_seconds = ts, period_seconds
+
+    def _part(self, low: int, high: int) -> str:
+        """How many of cuts[low:high] are <= the clock value, as a balanced tree."""
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        return (f"CASE WHEN _at_us < {self.cuts[mid]} THEN {self._part(low, mid)} "
+                f"ELSE {self._part(mid + 1, high)} END")
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        # The clock value is a column of its own: the tree below names it many times.
+        timed = df.withColumn("_at_us", epoch_micros(self.ts))
+        at = F.col("_at_us")
+        return timed.withColumns({
+            "_period": F.floor(at / F.lit(self.period_seconds * 1_000_000)),
+            "_part": F.expr(self._part(0, len(self.cuts))),
+        }).drop("_at_us")
+
+
 def with_previous(
-    df: DataFrame, series: list[str], order: list[str], take: list[str], bucket_seconds: int = 3600
+    df: DataFrame, series: list[str], order: list[str], take: list[str], slices: Slices | None = None
 ) -> DataFrame:
     """Add `prev_<c>` for each taken column: its value in the row before.
 
     `order[0]` is the timestamp, the rest breaks ties. Rows are sorted within
-    (series, time bucket); the last row of each bucket is handed to the next
-    bucket of the series, so even one dominant series is worked on by many tasks.
+    (series, time slice); the last row of each slice is handed to the next slice
+    of the series, so even one dominant series is worked on by many tasks.
     """
-    b = df.withColumn("_bk", time_bucket(order[0], bucket_seconds))
-    inside = W.partitionBy(*series, "_bk").orderBy(*order)
+    b = (slices or Slices(df, order[0])).mark(df)
+    cell = [*series, *Slices.COLS]
+    inside = W.partitionBy(*cell).orderBy(*order)
     row = F.struct(*take)
     local = b.withColumn("_prev", F.lag(row).over(inside))
-    tails = b.groupBy(*series, "_bk").agg(F.max_by(row, F.struct(*order)).alias("_tail"))
-    across = W.partitionBy(*series).orderBy("_bk")
-    carry = tails.select(*series, "_bk", F.lag("_tail").over(across).alias("_carry"))
-    joined = local.join(carry, [*series, "_bk"], "left").withColumn(
-        "_prev", F.coalesce("_prev", "_carry")
-    )
+    tails = b.groupBy(*cell).agg(F.max_by(row, F.struct(*order)).alias("_tail"))
+    across = W.partitionBy(*series).orderBy(*Slices.COLS)
+    carry = tails.select(*cell, F.lag("_tail").over(across).alias("_carry"))
+    joined = local.join(carry, cell, "left").withColumn("_prev", F.coalesce("_prev", "_carry"))
     return joined.select(
         *df.columns, *[F.col(f"_prev.{c}").alias(f"prev_{c}") for c in take]
     )
@@ -133,19 +169,18 @@ def with_running_max(
     value: str,
     name: str,
     inclusive: bool = True,
-    bucket_seconds: int = 3600,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Add the maximum of `value` over the series up to (and with) each row."""
-    b = df.withColumn("_bk", time_bucket(order[0], bucket_seconds))
+    b = (slices or Slices(df, order[0])).mark(df)
+    cell = [*series, *Slices.COLS]
     last = W.currentRow if inclusive else -1
-    inside = (
-        W.partitionBy(*series, "_bk").orderBy(*order).rowsBetween(W.unboundedPreceding, last)
-    )
+    inside = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, last)
     local = b.withColumn("_run", F.max(value).over(inside))
-    tops = b.groupBy(*series, "_bk").agg(F.max(value).alias("_top"))
-    across = W.partitionBy(*series).orderBy("_bk").rowsBetween(W.unboundedPreceding, -1)
-    carry = tops.select(*series, "_bk", F.max("_top").over(across).alias("_carry"))
-    joined = local.join(carry, [*series, "_bk"], "left")
+    tops = b.groupBy(*cell).agg(F.max(value).alias("_top"))
+    across = W.partitionBy(*series).orderBy(*Slices.COLS).rowsBetween(W.unboundedPreceding, -1)
+    carry = tops.select(*cell, F.max("_top").over(across).alias("_carry"))
+    joined = local.join(carry, cell, "left")
     return joined.select(*df.columns, F.greatest("_run", "_carry").alias(name))
 
 

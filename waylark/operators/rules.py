@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
-from waylark.operators.ordered import sliding_windows, time_bucket, with_previous, with_running_max
+from waylark.operators.ordered import Slices, sliding_windows, time_bucket, with_previous, with_running_max
+from waylark.session import pinned
 
 # Thresholds and timings of the rules (seconds, bytes, shares).
 ERROR_RATIO_LIMIT = 0.05
@@ -95,10 +96,11 @@ def threshold_rule(df: DataFrame, series: list[str], ts: str, breach: Column, ho
     """
     order = [ts, *(tie or [])]
     rows = df.select(*series, *order, F.coalesce(breach, F.lit(False)).alias("_on"))
-    p = with_previous(rows, series, order, ["_on"], bucket_seconds)
+    slices = Slices(df, ts, bucket_seconds)
+    p = with_previous(rows, series, order, ["_on"], slices)
     starts = F.col("_on") & ~F.coalesce("prev__on", F.lit(False))
     marked = p.withColumn("_start", F.when(starts, F.col(ts))).drop("prev__on")
-    run = with_running_max(marked, series, order, "_start", "started_at", True, bucket_seconds)
+    run = with_running_max(marked, series, order, "_start", "started_at", True, slices)
     held = S.seconds_between("started_at", ts) >= hold
     return (
         run.filter(F.col("started_at").isNotNull())
@@ -133,7 +135,7 @@ def _between_samples(df: DataFrame, series: list[str], order: list[str], value:
     per_window = window // slide
     ts = order[0]
     take = df.select(*series, *order, value, F.col(ts).alias("_at"))
-    p = with_previous(take, series, order, [value, "_at"], bucket_seconds)
+    p = with_previous(take, series, order, [value, "_at"], Slices(df, ts, bucket_seconds))
     pairs = p.filter(F.col("prev__at").isNotNull()).select(
         *series, time_bucket("prev__at", slide).alias("_a"), time_bucket("_at", slide).alias("_b"),
         amount.alias("_x"),
@@ -208,10 +210,11 @@ def group_alerts(alerts: DataFrame, by: list[str], start: str = "fired_at", end:
     """
     order = [start, *(tie or [])]
     rows = alerts.select(*by, *order, end)
-    seen = with_running_max(rows, by, order, end, "_open_until", False, bucket_seconds)
+    slices = Slices(rows, start, bucket_seconds)
+    seen = with_running_max(rows, by, order, end, "_open_until", False, slices)
     opens = F.col("_open_until").isNull() | (F.col(start) > F.col("_open_until"))
     marked = seen.withColumn("_start", F.when(opens, F.col(start))).drop("_open_until")
-    ep = with_running_max(marked, by, order, "_start", "episode_start", True, bucket_seconds)
+    ep = with_running_max(marked, by, order, "_start", "episode_start", True, slices)
     episode = [*by, "episode_start"]
 
     def tick(at: Column) -> Column:
@@ -219,9 +222,9 @@ def group_alerts(alerts: DataFrame, by: list[str], start: str = "fired_at", end:
         return F.greatest(F.lit(0), F.ceil(late)).cast("long")
 
     # Ticks with news: already reduced to one row per tick of the episode.
-    news = ep.groupBy(*episode, tick(F.col(start)).alias("_tick")).agg(
+    news = pinned(ep.groupBy(*episode, tick(F.col(start)).alias("_tick")).agg(
         F.count(F.lit(1)).alias("n_alerts"), F.max(end).alias("_end")
-    )
+    ), "alert-ticks")
     ends = news.groupBy(*episode).agg(F.max("_end").alias("_end"))
     closing = ends.select(*episode, F.greatest(tick(F.col("_end")), F.lit(1)).alias("_tick"),
                           F.lit("resolved").alias("kind"), F.lit(0).cast("long").alias("n_alerts"))
@@ -232,7 +235,7 @@ def group_alerts(alerts: DataFrame, by: list[str], start: str = "fired_at", end:
         "SECOND", F.lit(wait) + t * interval, F.col("episode_start"))
     timed = told.withColumn("_at", at(F.col("_tick"))).withColumn(
         "_rank", F.when(F.col("kind") == "firing", 0).otherwise(1))
-    p = with_previous(timed, episode, ["_at", "_rank"], ["_tick"], bucket_seconds)
+    p = with_previous(timed, episode, ["_at", "_rank"], ["_tick"])
     steps = -(-repeat // interval)
     gap = F.col("_tick") - F.col("prev__tick")
     n_repeat = F.floor((gap - 1) / steps)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waylark.session import dimension
+
 
 def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Keep the first row per key in `order`, which should be a total order.
@@ -129,18 +131,16 @@ def upsert_table(
         dedupe(source, keys, order).write.mode("overwrite").parquet(arrived_path)
         arrived = spark.read.parquet(arrived_path)
         if _exists(spark, f"{path}/_SUCCESS"):
-            touched = arrived.select(partition_col).distinct()
+            # A list of calendar days or months: small, checked, and used to prune.
+            touched = dimension(arrived.select(partition_col).distinct())
             target = spark.read.schema(schema).parquet(path).join(touched, partition_col, "left_semi")
         else:
             target = spark.createDataFrame([], schema)
         upsert(target, arrived, keys, update_cols, now).write.mode("overwrite").parquet(merged_path)
     (
         spark.read.schema(schema).parquet(merged_path)
-        .repartition(partition_col, F.pmod(F.xxhash64(*keys), F.lit(FILES_PER_PARTITION)))
+        # AQE merges small partitions and splits a large one over several writers.
+        .hint("rebalance", partition_col)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_col).parquet(path)
     )
-
-
-# Tasks that share the writing of one table partition, so a busy date is split.
-FILES_PER_PARTITION = 8

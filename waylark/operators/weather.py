@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
+from waylark.operators.lookup import lookup_join
+from waylark.session import pinned
 
 MEASURES = [
     "temperature_c", "precipitation_mm", "weather_code",
@@ -22,7 +24,8 @@ def by_day(weather: DataFrame, airport: str, day: str, hour: str) -> DataFrame:
     """One row per (airport, day) with a map hour -> measures.
 
     `weather` is unique on (airport, day, hour), so a map has at most 24 entries.
-    It turns the exact-hour and the noon lookup into a single join.
+    It turns the exact-hour and the noon lookup into a single join, and is far
+    smaller than the flights.
     """
     entry = F.struct(F.col(hour).alias("h"), F.struct(*measures_of(weather)).alias("w"))
     return weather.groupBy(airport, day).agg(F.map_from_entries(F.collect_list(entry)).alias("hours"))
@@ -46,9 +49,8 @@ def join_hourly_weather(
     days = by_day(weather, airport[1], day[1], weather_hour).select(
         F.col(airport[1]).alias("_a"), F.col(day[1]).alias("_d"), "hours"
     )
-    joined = flights.join(
-        days, (flights[airport[0]] == F.col("_a")) & (flights[day[0]] == F.col("_d")), "left"
-    )
+    keyed = flights.withColumns({"_a": F.col(airport[0]), "_d": F.col(day[0])})
+    joined = lookup_join(keyed, pinned(days, "weather-days"), ["_a", "_d"])
     exact = F.try_element_at("hours", hour)
     spare = F.try_element_at("hours", F.lit(fallback_hour)) if fallback_hour is not None else None
     source = F.when(exact.isNotNull(), "exact")

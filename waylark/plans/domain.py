@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
 from waylark.operators.upsert import dedupe
+from waylark.session import dimension
 
 Spark = SparkSession
 
@@ -57,7 +58,7 @@ def matches(spark: Spark, sf: str) -> DataFrame:
     """One match per urgent order, in the customer's city at 18:00."""
     o = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    cities = city(spark, sf).select("id_city", "city")
+    cities = dimension(city(spark, sf).select("id_city", "city"))
     m = o.join(c, o.o_custkey == c.c_custkey).select(
         F.col("o_orderkey").alias("match_id"),
         F.timestamp_add("HOUR", F.lit(18), F.col("o_orderdate")).alias("match_date"),

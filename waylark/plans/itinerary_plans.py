@@ -11,6 +11,7 @@ from waylark.operators import upsert as U
 from waylark.plans import domain as D
 from waylark.plans.domain import views
 from waylark.plans.registry import query
+from waylark.session import dimension, pinned
 
 NOW = "1998-06-01 09:30:00"
 ASKED = "2001-12-31 00:00:00"
@@ -119,7 +120,8 @@ WITH {views("matches", "teams")}, calendar AS (
 
 
 def calendar(spark, sf):
-    return I.match_calendar(D.matches(spark, sf).drop("city"), D.teams(spark), D.city(spark, sf))
+    return I.match_calendar(
+        D.matches(spark, sf).drop("city"), dimension(D.teams(spark)), dimension(D.city(spark, sf)))
 
 
 @query("match_calendar", _CALENDAR + " SELECT * FROM calendar")
@@ -232,14 +234,17 @@ def search_plan(spark, sf):
     return plan.withColumn("outbound_date", F.date_format("outbound_date", "yyyy-MM-dd"))
 
 
-def _ledger(spark, sf):
+def _found(spark, sf):
+    return all_itineraries(spark, sf, False).select(*P.ROUTE_KEYS, "updated_at")
+
+
+def _ledger(spark, sf, found):
     """Routes asked before: every fifth match, and those with any itinerary."""
     r = route_requests(spark, sf)
     old = r.filter("match_id % 5 = 0").select(
         *P.ROUTE_KEYS, F.lit(0).cast("long").alias("n_results"), S.local_ts(ASKED).alias("asked_at"))
-    found = all_itineraries(spark, sf, False).groupBy(*P.ROUTE_KEYS).agg(
-        F.count(F.lit(1)).alias("n_results"))
-    return P.route_ledger(old, found, S.local_ts("2002-01-01"))
+    answered = found.groupBy(*P.ROUTE_KEYS).agg(F.count(F.lit(1)).alias("n_results"))
+    return P.route_ledger(old, answered, S.local_ts("2002-01-01"))
 
 
 _LEDGER = f""", {_REQ}, found AS (SELECT match_id, origin_city, count(*) AS n_results FROM itins GROUP BY ALL),
@@ -251,7 +256,7 @@ ledger AS (SELECT match_id, origin_city, 0::BIGINT AS n_results, TIMESTAMP '{ASK
 
 @query("route_ledger", _ITIN + _LEDGER + " SELECT * FROM ledger")
 def route_ledger(spark, sf):
-    return _ledger(spark, sf)
+    return _ledger(spark, sf, _found(spark, sf))
 
 
 _OUTCOMES = _ITIN + _LEDGER + f""", state AS (
@@ -266,10 +271,10 @@ outcomes AS (SELECT a.match_id, a.origin_city, CASE WHEN is_stale THEN 'stale' W
 
 
 def _outcomes(spark, sf):
-    found = all_itineraries(spark, sf, False)
+    found = pinned(_found(spark, sf), "itineraries")
     state = I.freshness(found, P.ROUTE_KEYS, S.local_ts(NOW))
     asked = route_requests(spark, sf).unionByName(state.select(*P.ROUTE_KEYS)).distinct()
-    return P.cache_outcomes(asked, state, _ledger(spark, sf))
+    return P.cache_outcomes(asked, state, _ledger(spark, sf, found))
 
 
 @query("cache_outcomes", _OUTCOMES + " SELECT * FROM outcomes")

@@ -11,6 +11,7 @@ from waylark.plans import domain as D
 from waylark.plans import weather_plans as WP
 from waylark.plans.domain import views
 from waylark.plans.registry import query
+from waylark.session import pinned
 
 _RATE = """count(*) AS n_flights, sum(is_delayed)::BIGINT AS n_delayed, round(100.0::DOUBLE * sum(is_delayed) / count(*), 6) AS delay_pct"""
 
@@ -68,9 +69,9 @@ def category_codes(spark, sf):
 
 
 def training_set(spark, sf, keep=None):
-    f = D.flights_with_weather(spark, sf)
+    f = pinned(D.flights_with_weather(spark, sf), "enriched-flights")
     named = f.select("airline", F.col("origin").alias("departure_airport_code"), F.col("dest").alias("arrival_airport_code"))
-    codes = FE.pinned(FE.fit_category_codes(named, list(FE.CATEGORIES)), "codes")
+    codes = pinned(FE.fit_category_codes(named, list(FE.CATEGORIES)), "codes")
     fills = FE.fit_imputer(f, _MEDIAN_COLS)
     return FE.training_features(f, fills, codes, keep)
 
@@ -121,7 +122,7 @@ def serving_set(spark, sf):
     s = WP.cascaded(spark, sf)
     known = D.obs_flights(spark, sf).filter("airline <> 'C3'").select(
         "airline", F.col("origin").alias("departure_airport_code"), F.col("dest").alias("arrival_airport_code"))
-    codes = FE.pinned(FE.fit_category_codes(known, list(FE.CATEGORIES)), "codes")
+    codes = pinned(FE.fit_category_codes(known, list(FE.CATEGORIES)), "codes")
     return FE.serving_features(s, codes, ["journey_sk", F.col("pos").alias("leg")])
 
 
@@ -260,7 +261,7 @@ _TRAIN_KEY = ["l_orderkey", "l_linenumber"]
 
 
 def split_sets(spark, sf):
-    t = FE.pinned(training_set(spark, sf, _TRAIN_KEY), "training")
+    t = pinned(training_set(spark, sf, _TRAIN_KEY), "training")
     both = FE.stratified_split(t, FE.LABEL_COL, [*_TRAIN_KEY, "duration"])
     return both.filter("NOT is_test"), both.filter("is_test")
 

@@ -177,7 +177,7 @@ def ingest_stream_batch_equal(spark, sf):
     base = new_shared_path(spark, "ingest")
     NP.D.responses(spark, sf).select("json_data").write.text(f"{base}/documents")
     q = ingest.ingest_stream(spark, f"{base}/documents", f"{base}/fact", f"{base}/checkpoint",
-                             now=S.local_ts("2024-02-01"), wholetext=False)
+                             now=S.local_ts("2024-02-01"), wholetext=False, partition="journey_month")
     q.awaitTermination()
     fact = spark.read.schema(ingest.schemas.SEGMENT).parquet(f"{base}/fact")
     return fact.select("flight_sk", "journey_sk", "departure_airport_time",

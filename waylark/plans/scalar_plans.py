@@ -10,6 +10,7 @@ from waylark.operators import models as M
 from waylark.plans import domain as D
 from waylark.plans.domain import views
 from waylark.plans.registry import query
+from waylark.session import pinned
 
 NOW = "1998-06-01 09:30:00"
 
@@ -142,7 +143,7 @@ SELECT f.airline, coalesce(code, -1)::INT AS airline_code, count(*) AS n
 FROM obs_flights f LEFT JOIN codes c ON f.airline = c.airline GROUP BY ALL""")
 def encode_categories(spark, sf):
     f = D.obs_flights(spark, sf).select("airline")
-    codes = FE.pinned(FE.fit_category_codes(f.filter("airline <> 'C3'"), ["airline"]), "codes")
+    codes = pinned(FE.fit_category_codes(f.filter("airline <> 'C3'"), ["airline"]), "codes")
     return FE.encode(f, codes, {"airline": "airline_code"}).groupBy("airline", "airline_code").agg(
         F.count(F.lit(1)).alias("n")
     )

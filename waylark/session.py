@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # What the jobs here expect from a cluster session. AQE picks broadcast or
 # sort-merge from measured sizes and splits skewed join partitions.
@@ -49,3 +50,30 @@ def shared_dir(spark: SparkSession) -> str:
 def new_shared_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def pinned(df: DataFrame, label: str) -> DataFrame:
+    """df written once to the shared folder and read back.
+
+    For results that several later steps read: they are computed once, survive the
+    loss of executors, and the reader knows their size, from which Spark chooses
+    the join strategy.
+    """
+    path = new_shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# More rows than there are airport codes (26^3), far below an executor's memory.
+DIMENSION_ROWS = 50_000
+
+
+def dimension(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
+    """A lookup table, marked for broadcast only when counted to be small.
+
+    Spark's own estimate multiplies sizes through joins and misses small
+    dimensions. Beyond `max_rows` the table is returned unmarked and the join is
+    left to AQE, which shuffles it and splits skewed keys.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
