@@ -34,7 +34,9 @@ def upsert(
     `source` must be unique on `keys` (see `dedupe`), like `target`: then the
     full outer join hashes unique keys on both sides and cannot be skewed.
     """
-    stamps = {c for c in (created_col, updated_col) if c}
+    not_allowed = set(update_cols) - (set(target.columns) - {created_col, updated_col} - set(keys))
+    if not_allowed:
+        raise ValueError(f"cannot update {sorted(not_allowed)}")
     s = source.select(*[F.col(c).alias(f"_new_{c}") for c in source.columns], F.lit(True).alias("_in_src"))
     t = target.withColumn("_in_tgt", F.lit(True))
     joined = t.join(s, [t[k].eqNullSafe(s[f"_new_{k}"]) for k in keys], "full_outer")
@@ -53,9 +55,6 @@ def upsert(
         else:
             value = F.when(known, F.col(name)).otherwise(fresh)
         out.append(value.cast(target.schema[name].dataType).alias(name))
-    unknown = set(update_cols) - set(target.columns)
-    if unknown or stamps & set(update_cols):
-        raise ValueError(f"cannot update {sorted(unknown | (stamps & set(update_cols)))}")
     return joined.select(*out)
 
 
