@@ -61,21 +61,19 @@ def _hold_step(hold_us: int):
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         started, last, fired = state.get if state.exists else (-1, -1, -1)
         out = []
-        for chunk in chunks:
-            # One row per evaluation interval, so a chunk is small.
-            for at, on in chunk.sort_values("at")[["at", "on"]].itertuples(index=False):
-                if at <= last:
-                    continue
-                last = at
-                if on and started < 0:
-                    started = at
-                if on and fired < 0 and at - started >= hold_us:
-                    fired = at
-                    out.append((key[0], started, fired, None))
-                if not on:
-                    if fired >= 0:
-                        out.append((key[0], started, fired, at))
-                    started, fired = -1, -1
+        # One row per evaluation interval: few, however busy the series is.
+        steps = pd.concat(list(chunks)).sort_values("at")
+        for at, on in steps.loc[steps["at"] > last, ["at", "on"]].itertuples(index=False):
+            last = at
+            if on and started < 0:
+                started = at
+            if on and fired < 0 and at - started >= hold_us:
+                fired = at
+                out.append((key[0], started, fired, None))
+            if not on:
+                if fired >= 0:
+                    out.append((key[0], started, fired, at))
+                started, fired = -1, -1
         state.update((int(started), int(last), int(fired)))
         stamps = ["started_at", "fired_at", "resolved_at"]
         frame = pd.DataFrame(out, columns=["name", *stamps])
@@ -90,7 +88,9 @@ def evaluations(df: DataFrame, name: str, ts: str, breach: Column, every: str, w
     """Per series and evaluation interval: whether its latest sample breaches.
 
     The aggregation combines map-side, so a series with a large share of the
-    samples reaches the stateful step as one row per interval.
+    samples reaches the stateful step as one row per interval. Spark allows no
+    custom state behind a streaming aggregation, so this is a query of its own:
+    write it to a table and let `hold_stream` read that table as a stream.
     """
     g = df.withWatermark(ts, watermark).groupBy(F.window(ts, every), F.col(name).cast("string").alias("name")).agg(
         F.max_by(F.coalesce(breach, F.lit(False)), ts).alias("on")
@@ -101,7 +101,8 @@ def evaluations(df: DataFrame, name: str, ts: str, breach: Column, every: str, w
 def hold_stream(evaluated: DataFrame, hold_seconds: int) -> DataFrame:
     """A row when a breach has held for `hold_seconds`, another when it ends.
 
-    `evaluated` is a stream of (name, at, on) as `evaluations` writes it.
+    `evaluated` is a stream of (name, at, on) as `evaluations` writes it. Rows that
+    are older than the last one seen of their series are left out.
     """
     return evaluated.groupBy("name").applyInPandasWithState(
         _hold_step(hold_seconds * 1_000_000), HOLD_OUTPUT, HOLD_STATE, "append", GroupStateTimeout.NoTimeout
