@@ -123,3 +123,19 @@ def test_hold_after_evaluation_per_interval(spark, tmp_path):
     got = collect_stream(spark, alerts.hold_stream(again, 600), "evaluated")
     start, fired, end = (T0 + timedelta(minutes=m) for m in (11, 21, 31))
     assert rows(got) == sorted([("x", start, fired, None), ("x", start, fired, end)], key=repr)
+
+
+def test_grouped_notices_equal_their_batch_form(spark, tmp_path):
+    """The last event is far later, so that every notice before it has fallen due."""
+    spans = [(0, 400), (20, 50), (100, 5 * 3600), (6 * 3600, 6 * 3600 + 10), (7 * 3600, 7 * 3600 + 1800),
+             (7 * 3600 + 900, 7 * 3600 + 1000), (30 * 3600, 30 * 3600 + 60)]
+    at = lambda s: T0 + timedelta(seconds=s)
+    batch = R.group_alerts(spark.createDataFrame(
+        [("x", "s", at(a), at(b)) for a, b in spans],
+        "name string, service string, fired_at timestamp_ntz, resolved_at timestamp_ntz"), ["name", "service"])
+    events = sorted([(at(a), "x", "s", "firing") for a, _ in spans] + [(at(b), "x", "s", "resolved") for _, b in spans])
+    s = stream_of(spark, events, "ts timestamp, name string, service string, kind string", tmp_path / "g", 4)
+    live = collect_stream(spark, alerts.group_stream(s, "ts"), "notices")
+    want = {tuple(r) for r in batch.collect()}
+    got = rows(live)
+    assert len(got) == len(set(got)) and set(got) == want

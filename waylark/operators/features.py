@@ -33,17 +33,26 @@ UNKNOWN_CODE = -1
 
 # --- category codes --------------------------------------------------------------
 
-def fit_category_codes(df: DataFrame, cols: list[str]) -> DataFrame:
+def fit_category_codes(df: DataFrame, cols: list[str], prefix: int = 2) -> DataFrame:
     """(feature, value, code): 0-based rank of each distinct value per feature.
 
-    The window runs over distinct category values only, one group per feature.
+    Values are ranked among those that share their first characters, and the
+    number of values with smaller first characters is added. So no task has to
+    order all values of a feature.
     """
     pairs = F.array(
         *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols]
     )
-    distinct = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
-    code = F.row_number().over(W.partitionBy("feature").orderBy("value")) - 1
-    return distinct.withColumn("code", code.cast("int"))
+    distinct = (
+        df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
+        .withColumn("_p", F.substring("value", 1, prefix))
+    )
+    rank = F.row_number().over(W.partitionBy("feature", "_p").orderBy("value")) - 1
+    before = W.partitionBy("feature").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = distinct.groupBy("feature", "_p").agg(F.count(F.lit(1)).alias("n")).select(
+        "feature", "_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_below"))
+    ranked = distinct.withColumn("_rank", rank).join(offsets, ["feature", "_p"])
+    return ranked.select("feature", "value", (F.col("_rank") + F.col("_below")).cast("int").alias("code"))
 
 
 def save_codes(codes: DataFrame, path: str) -> None:

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waylark.session import dimension
-
 
 def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Keep the first row per key in `order`, which should be a total order.
@@ -102,6 +100,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+# Days of a century: the partitions of a batch are listed only up to here.
+LISTED_PARTITIONS = 36_525
+
+
+def _in_partitions(stored: DataFrame, arrived: DataFrame, col: str) -> DataFrame:
+    """Stored rows in the partitions of the arrived ones, pruned by value."""
+    touched = arrived.select(col).distinct()
+    listed = [r[0] for r in touched.limit(LISTED_PARTITIONS + 1).collect()]
+    if len(listed) > LISTED_PARTITIONS:
+        pairs = touched.withColumnRenamed(col, "_touched")
+        return stored.join(pairs, stored[col].eqNullSafe(F.col("_touched")), "left_semi")
+    wanted = F.col(col).isin([v for v in listed if v is not None])
+    return stored.filter(wanted | F.col(col).isNull() if None in listed else wanted)
+
+
 def upsert_table(
     spark: SparkSession,
     path: str,
@@ -130,9 +143,7 @@ def upsert_table(
         dedupe(source, keys, order).write.mode("overwrite").parquet(arrived_path)
         arrived = spark.read.parquet(arrived_path)
         if _exists(spark, path):
-            # A list of calendar days or months: small, checked, and used to prune.
-            touched = dimension(arrived.select(partition_col).distinct())
-            target = spark.read.schema(schema).parquet(path).join(touched, partition_col, "left_semi")
+            target = _in_partitions(spark.read.schema(schema).parquet(path), arrived, partition_col)
         else:
             target = spark.createDataFrame([], schema)
         upsert(target, arrived, keys, update_cols, now).write.mode("overwrite").parquet(merged_path)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from waylark.operators.rules import bucket_quantile
+from waylark.operators.rules import GROUP_INTERVAL, GROUP_WAIT, REPEAT_INTERVAL, bucket_quantile
 
 WATERMARK = "10 minutes"
 
@@ -107,3 +107,90 @@ def hold_stream(evaluated: DataFrame, hold_seconds: int) -> DataFrame:
     return evaluated.groupBy("name").applyInPandasWithState(
         _hold_step(hold_seconds * 1_000_000), HOLD_OUTPUT, HOLD_STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+# --- notifications -----------------------------------------------------------------
+
+NOTICE_OUTPUT = "name string, service string, episode_start timestamp, notified_at timestamp, kind string, n_alerts bigint"
+NOTICE_STATE = "start bigint, active bigint, pending bigint, due bigint, last bigint"
+SECOND = 1_000_000
+
+
+def _notice_step(wait: int, interval: int, repeat: int):
+    """Advance one alert group through its events, oldest first; times in microseconds."""
+    reminder = -(-repeat // interval) * interval * SECOND
+
+    def tick_at(start: int, at: int) -> int:
+        late = -(-(at - start - wait * SECOND) // (interval * SECOND))
+        return start + wait * SECOND + max(0, late) * interval * SECOND
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, active, pending, due, last = state.get if state.exists else (-1, 0, 0, -1, -1)
+        out = []
+
+        def tell(upto: int) -> None:
+            """Notices of the open episode that fall due up to a time."""
+            nonlocal pending, due, last
+            while start >= 0:
+                again = last + reminder if last >= 0 else None
+                if pending and due <= upto and (again is None or due <= again):
+                    out.append((start, due, "firing", pending))
+                    last, pending = due, 0
+                elif again is not None and again <= upto and (not pending or again < due):
+                    out.append((start, again, "repeat", 0))
+                    last = again
+                else:
+                    return
+
+        # A group is one alert name of one service: few events per batch.
+        events = pd.concat(list(chunks), ignore_index=True) if not state.hasTimedOut else None
+        if events is not None:
+            events = events.assign(_r=(events["kind"] != "firing").astype(int)).sort_values(["at", "_r"])
+            for at, kind in events[["at", "kind"]].itertuples(index=False):
+                tell(at - 1)
+                if kind == "firing":
+                    if start < 0:
+                        start, active, last = at, 0, -1
+                    active += 1
+                    here = tick_at(start, at)
+                    if pending and here != due:
+                        tell(due)
+                    pending, due = pending + 1, here
+                elif active:
+                    active -= 1
+                    if not active:
+                        end = max(tick_at(start, at), start + (wait + interval) * SECOND)
+                        tell(end if pending and due == end else end - 1)
+                        out.append((start, end, "resolved", 0))
+                        start, pending, due, last = -1, 0, -1, -1
+        else:
+            tell(state.getCurrentWatermarkMs() * 1000)
+        state.update(tuple(int(v) for v in (start, active, pending, due, last)))
+        if start >= 0:
+            following = due if pending else last + reminder
+            state.setTimeoutTimestamp(max(following // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        frame = pd.DataFrame(out, columns=["episode_start", "notified_at", "kind", "n_alerts"])
+        for c in ("episode_start", "notified_at"):
+            frame[c] = pd.to_datetime(frame[c].astype("int64"), unit="us")
+        frame.insert(0, "service", str(key[1]))
+        frame.insert(0, "name", str(key[0]))
+        yield frame
+
+    return step
+
+
+def group_stream(events: DataFrame, ts: str, wait: int = GROUP_WAIT, interval: int = GROUP_INTERVAL,
+                 repeat: int = REPEAT_INTERVAL, watermark: str = WATERMARK) -> DataFrame:
+    """Grouped notifications of a stream of alert events, as `group_alerts` gives them.
+
+    `events` has name, service, kind (`firing` or `resolved`) and the event time.
+    A notice is emitted when a later event of the group or the watermark has passed
+    its time; `notified_at` is the time it stands for.
+    """
+    shaped = events.withWatermark(ts, watermark).select(
+        ts, F.col("name").cast("string").alias("name"), F.col("service").cast("string").alias("service"),
+        "kind", F.unix_micros(F.col(ts)).alias("at"),
+    )
+    return shaped.groupBy("name", "service").applyInPandasWithState(
+        _notice_step(wait, interval, repeat), NOTICE_OUTPUT, NOTICE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
