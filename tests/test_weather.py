@@ -83,3 +83,12 @@ def test_missing_weather_and_plan(spark):
     f = flights(spark, (1, "MIA", "2025-06-15", 9), (2, "MIA", "2025-06-15", 10), (3, "XXX", "2025-06-15", 1), (4, "MIA", "2025-06-16", 1))
     plan = P.weather_plan(f, "dest", "day", air, F.col("id") == 4)
     assert rows(plan.select("airport", "fetchable")) == [("MIA", True), ("XXX", False)]
+
+
+def test_enriched_mark(spark):
+    air = spark.createDataFrame([("MIA", 1.0), ("XXX", None)], "iata_code string, latitude double")
+    f = flights(spark, (1, "MIA", "2025-06-15", 9), (2, "MIA", "2025-06-16", 9), (3, "XXX", "2025-06-16", 9), (4, "QQQ", "2025-06-16", 9))
+    w = weather(spark, ("MIA", "2025-06-15", 3, 20.0, 1))
+    got = WX.enrich_flights(f, w, air, ("dest", "a"), ("day", "d"), F.col("h"))
+    assert rows(got.select("id", "temperature_c", "weather_enriched")) == [
+        (1, None, True), (2, None, False), (3, None, True), (4, None, True)]

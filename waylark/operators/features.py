@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
 from waylark.operators.ordered import exact_medians
+from waylark.session import dimension
 
 # The order is part of the contract between training and scoring.
 FEATURE_COLS = [
@@ -149,12 +150,24 @@ def training_features(
     return rows.na.drop(subset=FEATURE_COLS + [LABEL_COL])
 
 
+def with_carrier_codes(df: DataFrame, carriers: DataFrame, col: str = "airline") -> DataFrame:
+    """Replace carrier names by codes from (name, code); others stay as they are."""
+    side = carriers.select(S.norm_text("name").alias("_n"), F.col("code").alias("_carrier"))
+    joined = df.join(dimension(side), S.norm_text(col) == F.col("_n"), "left")
+    return joined.withColumn(col, F.coalesce("_carrier", F.col(col))).select(*df.columns)
+
+
 def serving_features(
-    segments: DataFrame, codes: DataFrame, keep: list[str] | None = None
+    segments: DataFrame, codes: DataFrame, keep: list[str] | None = None, carriers: DataFrame | None = None
 ) -> DataFrame:
     """Feature rows of segments with weather joined in; missing numbers are 0,
-    missing weather takes the neutral default of its column."""
-    s = encode(segments, codes, CATEGORIES)
+    missing weather takes the neutral default of its column.
+
+    Served segments may name the airline where training knows its code; `carriers`
+    translates. Without it such airlines are encoded as unknown.
+    """
+    named = segments if carriers is None else with_carrier_codes(segments, carriers)
+    s = encode(named, codes, CATEGORIES)
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     default = lambda c: F.coalesce(F.col(c), F.lit(S.WEATHER_DEFAULTS[c]))
     parts = {

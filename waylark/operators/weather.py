@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
 from waylark.operators.lookup import lookup_join
-from waylark.session import pinned
+from waylark.session import dimension, pinned
 
 MEASURES = [
     "temperature_c", "precipitation_mm", "weather_code",
@@ -39,11 +39,13 @@ def join_hourly_weather(
     hour: Column,
     weather_hour: str = "weather_hour",
     fallback_hour: int | None = S.NOON,
+    day_known: str | None = None,
 ) -> DataFrame:
     """Left join on (airport, day, hour), falling back to the noon row.
 
     A present row wins even if its measures are null. `weather_source` says
-    which row was used. Pairs are (flight column, weather column).
+    which row was used; `day_known` names a column telling whether the weather has
+    the airport and day at all. Pairs are (flight column, weather column).
     """
     cols = measures_of(weather)
     days = by_day(weather, airport[1], day[1], weather_hour).select(
@@ -58,8 +60,36 @@ def join_hourly_weather(
     if spare is not None:
         source = source.when(spare.isNotNull(), "fallback")
         chosen = F.coalesce(exact, spare)
-    picked = joined.select(*flights.columns, chosen.alias("_w"), source.alias("weather_source"))
-    return picked.select(*flights.columns, *[F.col(f"_w.{c}").alias(c) for c in cols], "weather_source")
+    known = [F.col("hours").isNotNull().alias(day_known)] if day_known else []
+    picked = joined.select(*flights.columns, chosen.alias("_w"), source.alias("weather_source"), *known)
+    return picked.select(
+        *flights.columns, *[F.col(f"_w.{c}").alias(c) for c in cols], "weather_source",
+        *([day_known] if day_known else []),
+    )
+
+
+def enrich_flights(
+    flights: DataFrame,
+    weather: DataFrame,
+    airports: DataFrame,
+    airport: tuple[str, str],
+    day: tuple[str, str],
+    hour: Column,
+    weather_hour: str = "weather_hour",
+) -> DataFrame:
+    """Flights with weather and the mark `weather_enriched`.
+
+    A flight is done when its airport and day were fetched, even if the hour is
+    missing, and also when its airport has no coordinates, so that it is not asked
+    for again. A pair that could not be fetched stays open.
+    """
+    joined = join_hourly_weather(flights, weather, airport, day, hour, weather_hour, day_known="_fetched")
+    located = airports.filter(F.col("latitude").isNotNull()).select(
+        F.col("iata_code").alias(airport[0]), F.lit(True).alias("_located")
+    )
+    marked = joined.join(dimension(located), airport[0], "left")
+    done = F.col("_fetched") | F.col("_located").isNull()
+    return marked.withColumn("weather_enriched", done).drop("_fetched", "_located")
 
 
 def seasonal_weather(

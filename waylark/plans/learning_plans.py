@@ -147,6 +147,17 @@ serve AS (
        LEFT JOIN cd ON cd.v = arrival_airport_code)"""
 
 
+@query("carrier_codes", """
+SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN left(c_mktsegment, 2) ELSE c_mktsegment END AS airline,
+       count(*) AS n FROM customer GROUP BY 1""")
+def carrier_codes(spark, sf):
+    """Names translated where the carrier list knows them (case and blanks ignored)."""
+    c = D.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("airline"))
+    carriers = c.distinct().filter("airline IN ('BUILDING', 'AUTOMOBILE')").select(
+        F.concat(F.lower("airline"), F.lit(" ")).alias("name"), F.substring("airline", 1, 2).alias("code"))
+    return FE.with_carrier_codes(c, carriers).groupBy("airline").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("serving_features", _SERVE + " SELECT * FROM serve")
 def serving_features(spark, sf):
     return serving_set(spark, sf)
