@@ -27,6 +27,7 @@ def hot(spark):
     rnd = random.Random(8)
     data = [("hot", rnd.randrange(1800), rnd.randrange(5)) for _ in range(1500)]
     data += [("hot", rnd.randrange(40 * 3600), rnd.randrange(5)) for _ in range(100)]
+    data += [("hot", 777, rnd.randrange(5)) for _ in range(1000)]  # one timestamp holds a third
     data += [(f"s{rnd.randrange(6)}", rnd.randrange(40 * 3600), rnd.randrange(5)) for _ in range(400)]
     return data, samples(spark, data)
 
@@ -62,9 +63,9 @@ def test_running_max_over_slices(hot, inclusive):
     assert got == want
 
 
-def test_slices_cut_a_hot_hour(hot):
+def test_slices_cut_a_hot_hour_and_a_hot_timestamp(hot):
     _, df = hot
-    sizes = [r["count"] for r in O.Slices(df, "ts", 3600).mark(df).groupBy("name", *O.Slices.COLS).count().collect()]
+    sizes = [r["count"] for r in O.Slices(df, ["ts", "id"], 3600).mark(df).groupBy("name", *O.Slices.COLS).count().collect()]
     assert max(sizes) < 100
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from waylark.functions.scalars import epoch_micros
 from waylark.session import pinned
@@ -105,37 +106,56 @@ def time_bucket(ts: str, seconds: int) -> Column:
 
 
 class Slices:
-    """Ordered time slices of a table, for work inside and across them.
+    """Ordered slices of a table, for work inside and across them.
 
-    A slice is a pair (period of fixed length, quantile of all timestamps). The
-    period keeps a series apart in time; the quantile cuts a period in which a
-    large share of all rows falls. Both grow with the timestamp, so their pair
-    orders the slices. The cuts are a bounded list taken once.
+    A slice is (period of fixed length, quantile of all timestamps, quantile of the
+    tie breaker at busy timestamps). The period keeps a series apart in time; the
+    quantile cuts a period in which a large share of all rows falls; the last part
+    cuts a single timestamp that does. Each grows with the order of the rows, so
+    the triple orders the slices. The cuts are bounded lists taken once.
     """
 
-    COLS = ("_period", "_part")
-
-    def __init__(self, df: DataFrame, ts: str, period_seconds: int = 3600, parts: int = TIME_PARTS):
-        shares = [i / parts for i in range(1, parts)]
-        found = df.agg(F.percentile_approx(epoch_micros(ts), shares, parts * 20).alias("c")).first()["c"]
-        self.cuts = sorted(set(found or []))
-        self.ts, self.period_seconds = ts, period_seconds
-
-    def _part(self, low: int, high: int) -> str:
-        """How many of cuts[low:high] are <= the clock value, as a balanced tree."""
+    COLS = ("_period", "_part", "_tie")
+
+    def __init__(self, df: DataFrame, order: list[str], period_seconds: int = 3600, parts: int = TIME_PARTS):
+        self.ts, self.period_seconds, self.parts = order[0], period_seconds, parts
+        self.tie, self.tie_cuts = None, []
+        at = epoch_micros(self.ts)
+        found = self._quantiles(df, at)
+        self.cuts = sorted(set(found))
+        # A timestamp that is several quantiles at once holds more than a part's share.
+        self.busy = [c for c in self.cuts if found.count(c) > 1]
+        numeric = [c for c in order[1:2] if isinstance(df.schema[c].dataType, NumericType)]
+        if self.busy and numeric:
+            self.tie = numeric[0]
+            self.tie_cuts = sorted(set(self._quantiles(df.filter(at.isin(self.busy)), F.col(self.tie))))
+
+    def _quantiles(self, df: DataFrame, value: Column) -> list:
+        shares = [i / self.parts for i in range(1, self.parts)]
+        return df.agg(F.percentile_approx(value, shares, self.parts * 20).alias("c")).first()["c"] or []
+
+    def _tree(self, name: str, cuts: list, low: int, high: int) -> str:
+        """How many of cuts[low:high] are <= the named column, as a balanced tree."""
         if low == high:
             return str(low)
         mid = (low + high) // 2
-        return (f"CASE WHEN _at_us < {self.cuts[mid]} THEN {self._part(low, mid)} "
-                f"ELSE {self._part(mid + 1, high)} END")
+        return (f"CASE WHEN {name} < {cuts[mid]!r} THEN {self._tree(name, cuts, low, mid)} "
+                f"ELSE {self._tree(name, cuts, mid + 1, high)} END")
 
     def mark(self, df: DataFrame) -> DataFrame:
-        # The clock value is a column of its own: the tree below names it many times.
+        # The clock value is a column of its own: the trees name it many times.
         timed = df.withColumn("_at_us", epoch_micros(self.ts))
         at = F.col("_at_us")
+        # A busy timestamp is a cut, hence the first of its part: the others follow it.
+        last = F.lit(self.parts)
+        tie = last
+        if self.tie:
+            tree = F.expr(self._tree(f"`{self.tie}`", self.tie_cuts, 0, len(self.tie_cuts)))
+            tie = F.when(at.isin(self.busy), tree).otherwise(last)
         return timed.withColumns({
             "_period": F.floor(at / F.lit(self.period_seconds * 1_000_000)),
-            "_part": F.expr(self._part(0, len(self.cuts))),
+            "_part": F.expr(self._tree("_at_us", self.cuts, 0, len(self.cuts))),
+            "_tie": tie,
         }).drop("_at_us")
 
 
@@ -148,7 +168,7 @@ def with_previous(
     (series, time slice); the last row of each slice is handed to the next slice
     of the series, so even one dominant series is worked on by many tasks.
     """
-    b = (slices or Slices(df, order[0])).mark(df)
+    b = (slices or Slices(df, order)).mark(df)
     cell = [*series, *Slices.COLS]
     inside = W.partitionBy(*cell).orderBy(*order)
     row = F.struct(*take)
@@ -172,7 +192,7 @@ def with_running_max(
     slices: Slices | None = None,
 ) -> DataFrame:
     """Add the maximum of `value` over the series up to (and with) each row."""
-    b = (slices or Slices(df, order[0])).mark(df)
+    b = (slices or Slices(df, order)).mark(df)
     cell = [*series, *Slices.COLS]
     last = W.currentRow if inclusive else -1
     inside = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, last)

@@ -96,7 +96,7 @@ def threshold_rule(df: DataFrame, series: list[str], ts: str, breach: Column, ho
     """
     order = [ts, *(tie or [])]
     rows = df.select(*series, *order, F.coalesce(breach, F.lit(False)).alias("_on"))
-    slices = Slices(df, ts, bucket_seconds)
+    slices = Slices(df, order, bucket_seconds)
     p = with_previous(rows, series, order, ["_on"], slices)
     starts = F.col("_on") & ~F.coalesce("prev__on", F.lit(False))
     marked = p.withColumn("_start", F.when(starts, F.col(ts))).drop("prev__on")
@@ -135,7 +135,7 @@ def _between_samples(df: DataFrame, series: list[str], order: list[str], value:
     per_window = window // slide
     ts = order[0]
     take = df.select(*series, *order, value, F.col(ts).alias("_at"))
-    p = with_previous(take, series, order, [value, "_at"], Slices(df, ts, bucket_seconds))
+    p = with_previous(take, series, order, [value, "_at"], Slices(df, order, bucket_seconds))
     pairs = p.filter(F.col("prev__at").isNotNull()).select(
         *series, time_bucket("prev__at", slide).alias("_a"), time_bucket("_at", slide).alias("_b"),
         amount.alias("_x"),
@@ -210,7 +210,7 @@ def group_alerts(alerts: DataFrame, by: list[str], start: str = "fired_at", end:
     """
     order = [start, *(tie or [])]
     rows = alerts.select(*by, *order, end)
-    slices = Slices(rows, start, bucket_seconds)
+    slices = Slices(rows, order, bucket_seconds)
     seen = with_running_max(rows, by, order, end, "_open_until", False, slices)
     opens = F.col("_open_until").isNull() | (F.col(start) > F.col("_open_until"))
     marked = seen.withColumn("_start", F.when(opens, F.col(start))).drop("_open_until")
