@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waylark.llm import bitplanes
+from waylark.llm import bitplanes, simhash
 from waylark.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,3 +29,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=2)
+    return found.withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
