@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waylark.llm import bitplanes, mixing, packing, simhash, toxicity
+from waylark.llm import bitplanes, line_dedup, mixing, packing, simhash, toxicity
 from waylark.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,3 +56,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model).select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "segments")
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.without_boilerplate(docs, host="source", dropped="n_dropped").select("doc_id", "text", "n_dropped")
+
+
+ORACLES["op3_line_dedup"] = line_dedup.ORACLE

@@ -1,10 +1,10 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Training counts, for each word and each word beginning, the different labelled texts of
-both classes that hold it. The log-odds between the classes get an informative Dirichlet
-prior (pseudo-counts in proportion to the overall frequency); a feature counts with the
+Training counts, for each word, the different labelled texts of both classes that hold
+it. The log-odds between the classes get an informative Dirichlet
+prior (pseudo-counts in proportion to the overall frequency); a word counts with the
 lower bound of its confidence interval, so chance words score nothing. A token scores
-its feature's log-odds less a constant drift, which makes clean text drift down.
+its log-odds less a constant drift, which makes clean text drift down.
 
 Scoring finds all maximal-scoring segments of a text in one pass. For random clean text
 the best segment follows an extreme-value law, P(best < s) = exp(-K n exp(-lambda s));
@@ -36,11 +36,10 @@ PRIOR = 0.05
 # Standard errors that the log-odds are lowered by.
 SURE = 2.6
 DRIFT = 0.05
-BEGINNING = 4
-# Distinct features that a counting task holds before it hands them on.
+# Distinct words that a counting task holds before it hands them on.
 HELD = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
-FEATURES = "feature string, clean bigint, toxic bigint"
+COUNTS = "word string, clean bigint, toxic bigint"
 
 
 def tokens(text: str | None) -> list[str]:
@@ -48,13 +47,8 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def features(words: set[str]) -> set[str]:
-    """The words, and their beginnings marked with ^."""
-    return words | {"^" + w[:BEGINNING] for w in words if len(w) > BEGINNING}
-
-
 def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float, prior: float = PRIOR, sure: float = SURE) -> float:
-    """Lower confidence bound of the log-odds of a feature, with an informative Dirichlet prior."""
+    """Lower confidence bound of the log-odds of a word, with an informative Dirichlet prior."""
     weight = prior * (toxic + clean)
     total = prior * (n_toxic + n_clean)
     a, b = toxic + weight, clean + weight
@@ -64,7 +58,7 @@ def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float, prior:
 
 @dataclass
 class Model:
-    """scores: log-odds of the features above zero; rate, scale: lambda and K; cut: at 0.5."""
+    """scores: log-odds of the words above zero; rate, scale: lambda and K; cut: at 0.5."""
 
     scores: dict[str, float]
     rate: float = 1.0
@@ -75,11 +69,9 @@ class Model:
         """Positions and scores of the tokens above zero."""
         get, at, found = self.scores.get, [], []
         for k, w in enumerate(words):
-            s = get(w, 0.0)
-            b = get("^" + w[:BEGINNING], 0.0) if len(w) > BEGINNING else 0.0
-            if s > DRIFT or b > DRIFT:
+            if s := get(w):
                 at.append(k)
-                found.append(max(s, b) - DRIFT)
+                found.append(s - DRIFT)
         return at, found
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float, float]]:
@@ -145,11 +137,11 @@ def training_texts(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int
         F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
-def feature_counts(texts: DataFrame) -> DataFrame:
-    """feature, clean, toxic: different texts of each class that hold the feature; "" counts the texts."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word, clean, toxic: different texts of each class that hold the word; "" counts the texts."""
 
     def count(batches):
-        schema = pa.schema([("feature", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
+        schema = pa.schema([("word", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
 
         def rows():
             sums = (Counter(), Counter())
@@ -161,27 +153,27 @@ def feature_counts(texts: DataFrame) -> DataFrame:
                 sums[1].clear()
 
             for text, toxic in rows_of(batches, "text", "toxic"):
-                sums[bool(toxic)].update(features(set(tokens(text))) | {""})
+                sums[bool(toxic)].update({*tokens(text), ""})
                 if len(sums[0]) + len(sums[1]) > HELD:
                     yield from handed()
             yield from handed()
 
         yield from batched(schema, rows(), 10_000)
 
-    return texts.mapInArrow(count, FEATURES).groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return texts.mapInArrow(count, COUNTS).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = TRAIN_ROWS) -> Model:
     """The model of the labelled documents outside the held-out fold.
 
     Without documents of both classes nothing is toxic. What comes to the driver: the
-    features with significant log-odds, bounded by the training rows, and the best
+    words with significant log-odds, bounded by the training rows, and the best
     segments of the training texts that have any.
     """
     short_batches(docs.sparkSession)
     texts, _ = stored(training_texts(docs, labels, folds, rows), "training")
-    counts, _ = stored(feature_counts(texts), "features")
-    sums = counts.where("feature = ''").first()
+    counts, _ = stored(word_counts(texts), "words")
+    sums = counts.where("word = ''").first()
     if sums is None or not sums.clean or not sums.toxic:
         return Model({})
     n_toxic, n_clean = float(sums.toxic), float(sums.clean)
@@ -190,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = TRAIN_RO
     a, b = F.col("toxic") + weight, F.col("clean") + weight
     odds = F.log(a / (F.lit(n_toxic + total) - a)) - F.log(b / (F.lit(n_clean + total) - b))
     lowered = odds - SURE * F.sqrt(1 / a + 1 / b)
-    kept = counts.where("feature <> ''").withColumn("score", lowered).where(F.col("score") > DRIFT).collect()
-    model = Model({r.feature: r.score for r in kept})
+    kept = counts.where("word <> ''").withColumn("score", lowered).where(F.col("score") > DRIFT).collect()
+    model = Model({r.word: r.score for r in kept})
     if not kept:
         return model
 
@@ -206,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = TRAIN_RO
         yield from batched(schema, rows())
 
     seen, _ = stored(texts.mapInArrow(best, "toxic int, words bigint, scores array<double>"), "segments")
-    # Clean tokens: how many there are, and how often each feature's score occurs.
+    # Clean tokens: how many there are, and how often each word's score occurs.
     model.rate = _rate([(r.score - DRIFT, (r.clean + PRIOR * (r.clean + r.toxic)) / (n_clean + total)) for r in kept],
                        float(seen.where("toxic = 0").agg(F.avg("words")).first()[0] or 1.0))
     top = F.coalesce(F.array_max("scores"), F.lit(0.0))
@@ -225,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = TRAIN_RO
 
 def _rate(scores: list[tuple[float, float]], words: float) -> float:
     """lambda > 0 with sum p exp(lambda s) = 1, where a text of `words` tokens holds a
-    feature once with the given chance and all other tokens score -DRIFT."""
+    word once with the given chance and all other tokens score -DRIFT."""
     s = np.array([x for x, _ in scores])
     p = np.array([y for _, y in scores]) / max(1.0, words)
     rest = max(0.0, 1.0 - p.sum())
