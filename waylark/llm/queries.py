@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waylark.llm import bitplanes, language, line_dedup, mixing, packing, simhash, toxicity
+from waylark.llm import bitplanes, language, line_dedup, merkle, mixing, packing, simhash, toxicity
 from waylark.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,3 +79,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
     return language.predicted(docs.select("doc_id", "text"), model).select(
         "doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.with_edits(table(spark, sf_dir, "documents"))
