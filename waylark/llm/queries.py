@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waylark.llm import bitplanes, language, line_dedup, merkle, mixing, packing, simhash, toxicity
+from waylark.llm import bitplanes, html_text, language, line_dedup, merkle, mixing, packing, simhash, toxicity
 from waylark.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,3 +84,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
