@@ -20,7 +20,7 @@ from itertools import islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,8 @@ BUCKET = 48
 # twice as many with a wildcard.
 OPEN = 8
 _CHUNK = 1 << 14
+SIGNATURE_COLUMNS = ("parent", "id", "fixed", "differ", "last")
+SIGNATURE = "parent int, id int, fixed bigint, differ bigint, last boolean"
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -96,10 +98,10 @@ def _variants(fixed: int, differ: int, open_bits: list[int], left: int) -> list[
     return found
 
 
-def signatures(spark: SparkSession, bits: int) -> DataFrame:
-    """parent, id, fixed, differ, last: the signatures of all levels, a fixed table.
+def signatures(bits: int) -> list[tuple[int, int, int, int, bool]]:
+    """parent (-1 on the first level), id, fixed, differ, last: the signatures of all levels.
 
-    It has some 1 700 rows for two bits, whatever the data.
+    They are some 1 700 for two bits, whatever the data.
     """
     rows, queue = [], [(-1, 0, 0, list(range(BITS)), bits)]
     while queue:
@@ -109,7 +111,7 @@ def signatures(spark: SparkSession, bits: int) -> DataFrame:
             rows.append((parent, len(rows), _signed(f), _signed(d), last))
             if not last:
                 queue.append((len(rows) - 1, f, d, rest, spare))
-    return F.broadcast(spark.createDataFrame(rows, "parent int, id int, fixed bigint, differ bigint, last boolean"))
+    return rows
 
 
 def near_pairs(prints: DataFrame, bits: int = 2) -> DataFrame:
@@ -117,12 +119,13 @@ def near_pairs(prints: DataFrame, bits: int = 2) -> DataFrame:
 
     Pairs may be repeated. Null fingerprints have no pairs.
     """
-    spark = prints.sparkSession
-    table = signatures(spark, bits)
-    members = prints.select("fp").where("fp is not null").distinct().withColumn("parent", F.lit(-1))
+    rows = signatures(bits)
+    table = F.broadcast(prints.sparkSession.createDataFrame(rows, SIGNATURE))
+    first = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(r[1:], SIGNATURE_COLUMNS[1:], strict=True)]) for r in rows if r[0] < 0])
+    cut = prints.select("fp").where("fp is not null").distinct().select("fp", F.explode(first).alias("s")).select("fp", "s.*")
     found = []
     while True:
-        signed = members.join(table, "parent").select(
+        signed = cut.select(
             "id", F.col("fp").bitwiseAND(F.col("fixed")).alias("value"), "fp",
             F.col("fp").bitwiseAND(F.col("differ")).alias("side"), "last")
         # A bucket matters if it has two fingerprints, on both sides of its wildcards.
@@ -140,7 +143,7 @@ def near_pairs(prints: DataFrame, bits: int = 2) -> DataFrame:
         large = level.where((F.col("n") > BUCKET) & ~F.col("last"))
         if large.isEmpty():
             break
-        members = large.select("fp", F.col("id").alias("parent"))
+        cut = large.select("fp", F.col("id").alias("parent")).join(table, "parent")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
