@@ -2,9 +2,9 @@
 
 Paragraphs are lines; a section is a run of paragraphs that ends at an empty line or
 after `SECTION` paragraphs. A paragraph is cut into passages: sentences, and within them
-at most `PASSAGE` characters; the first `FINE_HEAD` characters of a document are cut
-finer, so that short documents have leaves too. Every cut depends on the text before it
-only within its sentence, so an edit changes the leaves near it and no others.
+at most `PASSAGE` characters; the first `FINE_HEAD` characters of a paragraph are cut
+finer, so that short ones have several leaves too. Cuts depend on the paragraph alone,
+and on the text before them, so an edit changes the leaves near it and no others.
 
 A leaf's digest covers its characters, a node's the digests below it, the root all. Equal
 roots mean equal texts. The fingerprint is the tree as a string:
@@ -32,10 +32,10 @@ from waylark.llm.neighbours import in_ranges
 SECTION = 16
 PASSAGE = 40
 FINE = 8
-FINE_HEAD = 256
+FINE_HEAD = 64
 LEAF = 6
-_PASSAGES = re.compile(rf"[^.!?\n]{{0,{PASSAGE}}}[.!?]+|[^.!?\n]{{1,{PASSAGE}}}|\n")
-_FINE = re.compile(rf"[^.!?\n]{{0,{FINE}}}[.!?]+|[^.!?\n]{{1,{FINE}}}|\n")
+_PASSAGES = re.compile(rf"[^.!?]{{0,{PASSAGE}}}[.!?]+|[^.!?]{{1,{PASSAGE}}}")
+_FINE = re.compile(rf"[^.!?]{{0,{FINE}}}[.!?]+|[^.!?]{{1,{FINE}}}")
 
 
 def _digest(data: bytes) -> bytes:
@@ -48,18 +48,15 @@ def _length_mark(n: int) -> str:
 
 
 def tree(text: str) -> list[list[list[str]]]:
-    """Sections of paragraphs of leaves, each leaf a passage; joined they are the text."""
-    passages = _FINE.findall(text[:FINE_HEAD]) + _PASSAGES.findall(text[FINE_HEAD:])
-    sections: list[list[list[str]]] = [[[]]]
-    for k, passage in enumerate(passages):
-        paragraph = sections[-1][-1]
-        paragraph.append(passage)
-        if passage == "\n" and k + 1 < len(passages):
-            blank = len(paragraph) == 1
-            if (blank and len(sections[-1]) > 1) or len(sections[-1]) >= SECTION:
-                sections.append([[]])
-            else:
-                sections[-1].append([])
+    """Sections of paragraphs of leaves, each leaf a passage or line end; joined they are the text."""
+    sections: list[list[list[str]]] = [[]]
+    *lines, last = text.split("\n")
+    for line in lines:
+        if sections[-1] and (not line or len(sections[-1]) >= SECTION):
+            sections.append([])
+        sections[-1].append([*_FINE.findall(line[:FINE_HEAD]), *_PASSAGES.findall(line[FINE_HEAD:]), "\n"])
+    if last:
+        sections[-1].append([*_FINE.findall(last[:FINE_HEAD]), *_PASSAGES.findall(last[FINE_HEAD:])])
     return sections
 
 

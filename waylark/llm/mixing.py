@@ -4,8 +4,8 @@ The target of each source is turned into whole blocks: every block goes to the s
 with the highest quotient target / (2 * blocks so far + 1). The same rule then deals a
 source's blocks to its shards, random parts of bounded size. Within a shard the quota
 is met by whole passes over all documents, by blocks of neighbouring documents in
-seeded order, and at last by single documents that still fit, so every document is
-taken a whole number of times.
+seeded order, and at last by the single documents whose sum comes nearest, so every
+document is taken a whole number of times.
 
 What comes to the driver is a row per source and a row per shard of `SHARD_DOCS`
 documents; documents stay in the tasks.
@@ -27,6 +27,10 @@ BLOCK_WORDS = 512
 LEAST_BLOCKS = 20_000
 SHARD_DOCS = 1 << 16
 MOST = 3
+# The last words of a shard's quota, below the first number, are met by the best choice
+# among so many documents.
+FINE_WORDS = 4096
+FINE_DOCS = 128
 
 
 def sainte_lague(weights: Sequence[float], seats: int) -> list[int]:
@@ -79,11 +83,25 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: int = MOST) ->
     return found
 
 
-def copies(sizes: list[int], quota: int, block_words: int, most: int = MOST) -> list[int]:
-    """How often each document, in the given order, is taken so that `quota` words come out.
+def nearest_sum(sizes: list[int], wanted: int) -> list[int]:
+    """Positions of a choice of the sizes whose sum is as near to `wanted` as any, the smaller of two.
 
-    What is short of the quota is less than any document that could be added has.
+    Bit k of a number says whether the sum k can be reached with the sizes so far.
     """
+    reach = [1]
+    for n in sizes:
+        reach.append((reach[-1] | reach[-1] << n) & ((1 << 2 * wanted + 1) - 1))
+    total = next(k for d in range(wanted + 1) for k in (wanted - d, wanted + d) if reach[-1] >> k & 1)
+    chosen = []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not reach[i] >> total & 1:
+            chosen.append(i)
+            total -= sizes[i]
+    return chosen
+
+
+def copies(sizes: list[int], quota: int, block_words: int, most: int = MOST) -> list[int]:
+    """How often each document, in the given order, is taken so that about `quota` words come out."""
     total = sum(sizes)
     if not total:
         return [0] * len(sizes)
@@ -102,11 +120,17 @@ def copies(sizes: list[int], quota: int, block_words: int, most: int = MOST) ->
             for i in block:
                 found[i] += 1
         else:
-            spare += block
-    for i in sorted(spare, key=lambda i: -sizes[i]):
-        if 0 < sizes[i] <= left:
+            spare += [i for i in block if sizes[i]]
+    single = []
+    for i in spare:
+        if left > FINE_WORDS and sizes[i] <= left:
             left -= sizes[i]
             found[i] += 1
+        else:
+            single.append(i)
+    fits = [i for i in single if sizes[i] <= 2 * left][:FINE_DOCS]
+    for k in nearest_sum([sizes[i] for i in fits], left):
+        found[fits[k]] += 1
     return found
 
 
