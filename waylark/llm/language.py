@@ -42,21 +42,15 @@ def _letters() -> np.ndarray:
 
 def buckets(text: str) -> Iterator[np.ndarray]:
     """The buckets of all n-grams of a text, chunk by chunk; nothing if it has no letter."""
-    letters, held, seen = _letters(), np.array([_GAP], np.uint32), False
+    letters, held = _letters(), np.array([_GAP], np.uint32)
     for start in range(0, len(text), CHUNK):
         codes = np.frombuffer(text[start: start + CHUNK].lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        is_letter = letters[codes]
-        if not is_letter.any():
-            if held[-1] != _GAP:
-                held = np.append(held, _GAP)
-            continue
-        seen = True
-        codes = np.concatenate([held, np.where(is_letter, codes, _GAP)])
+        codes = np.concatenate([held, np.where(letters[codes], codes, _GAP)])
         # A gap that follows a gap goes.
         codes = codes[np.concatenate([[True], (codes[1:] != _GAP) | (codes[:-1] != _GAP)])]
         yield from _grams(codes, len(held))
         held = codes[-(max(ORDERS) - 1):]
-    if seen and held[-1] != _GAP:
+    if held[-1] != _GAP:
         yield from _grams(np.append(held, _GAP), len(held))
 
 
@@ -65,7 +59,7 @@ def _grams(codes: np.ndarray, old: int) -> Iterator[np.ndarray]:
     wide = codes.astype(np.uint64)
     for n in ORDERS:
         first = max(0, old - n + 1)
-        if len(wide) - first < n:
+        if len(wide) == old or len(wide) - first < n:
             continue
         mixed = np.full(len(wide) - first - n + 1, n, np.uint64)
         for k in range(n):
