@@ -72,10 +72,12 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Open:
-    __slots__ = ("tag", "furniture", "landmark")
+    """An open element; a silent one is furniture within a line, which it doesn't break."""
 
-    def __init__(self, tag: str, furniture: bool, landmark: bool):
-        self.tag, self.furniture, self.landmark = tag, furniture, landmark
+    __slots__ = ("tag", "furniture", "landmark", "silent")
+
+    def __init__(self, tag: str, furniture: bool, landmark: bool, silent: bool = False):
+        self.tag, self.furniture, self.landmark, self.silent = tag, furniture, landmark, silent
 
 
 def lines(html: str | None) -> list[tuple[str, bool, bool]]:
@@ -100,7 +102,7 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
 
     def close_to(k: int) -> None:
         while len(stack) > k:
-            if stack[-1].tag in BLOCKS or stack[-1].furniture != (len(stack) > 1 and stack[-2].furniture):
+            if stack[-1].tag in BLOCKS:
                 close_line()
             stack.pop()
 
@@ -109,7 +111,8 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
         at = part.end()
         text = part[7]
         if text is not None:
-            words.append(unescape(text))
+            if not (stack and stack[-1].silent):
+                words.append(unescape(text))
             continue
         tag = (part[2] or part[5] or "").lower()
         if not tag:
@@ -137,7 +140,7 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
                     break
         top = stack[-1] if stack else _Open("", False, False)
         furniture = top.furniture or _is_furniture(tag, attributes, top.landmark or tag in LANDMARKS)
-        if tag in BLOCKS or furniture != top.furniture:
+        if tag in BLOCKS:
             close_line()
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS:
             if tag == "br":
@@ -147,7 +150,8 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
             end = re.compile(rf"</{re.escape(tag)}\s*/?>|\Z", re.I).search(html, at)
             at = end.end()
             continue
-        stack.append(_Open(tag, furniture, (top.landmark or tag in LANDMARKS) and not furniture))
+        silent = furniture and tag not in BLOCKS and (top.silent or not top.furniture)
+        stack.append(_Open(tag, furniture, (top.landmark or tag in LANDMARKS) and not furniture, silent))
     close_to(0)
     close_line()
     return found
