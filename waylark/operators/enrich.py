@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
-from waylark.session import dimension
 
 UNKNOWN = "Unknown"
 
@@ -39,9 +38,12 @@ def enrich_airports(codes: DataFrame, reference: DataFrame, code: str = "code",
 
 
 def resolve_fk(df: DataFrame, dim: DataFrame, natural: tuple[str, str], key: str, out: str) -> DataFrame:
-    """Replace a natural key by the dimension's id; unmatched rows keep null."""
-    side = dim.select(F.col(natural[1]).alias("_nk"), F.col(key).alias(out))
-    return df.join(dimension(side), df[natural[0]] == F.col("_nk"), "left").drop("_nk")
+    """Replace a natural key by the dimension's id; unmatched rows keep null.
+
+    Of several ids of a natural key the smallest counts, so no row is repeated.
+    """
+    side = dim.groupBy(F.col(natural[1]).alias("_nk")).agg(F.min(key).alias(out))
+    return df.join(side, df[natural[0]] == F.col("_nk"), "left").drop("_nk")
 
 
 def unresolved(df: DataFrame, out: str, natural: str) -> DataFrame:

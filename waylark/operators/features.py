@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
 from waylark.operators.ordered import exact_medians
-from waylark.session import dimension
 
 # The order is part of the contract between training and scoring.
 FEATURE_COLS = [
@@ -151,9 +150,12 @@ def training_features(
 
 
 def with_carrier_codes(df: DataFrame, carriers: DataFrame, col: str = "airline") -> DataFrame:
-    """Replace carrier names by codes from (name, code); others stay as they are."""
-    side = carriers.select(S.norm_text("name").alias("_n"), F.col("code").alias("_carrier"))
-    joined = df.join(dimension(side), S.norm_text(col) == F.col("_n"), "left")
+    """Replace carrier names by codes from (name, code); others stay as they are.
+
+    Of several codes of a name the first in order counts, so no row is repeated.
+    """
+    side = carriers.groupBy(S.norm_text("name").alias("_n")).agg(F.min("code").alias("_carrier"))
+    joined = df.join(side, S.norm_text(col) == F.col("_n"), "left")
     return joined.withColumn(col, F.coalesce("_carrier", F.col(col))).select(*df.columns)
 
 
@@ -185,8 +187,11 @@ def serving_features(
 # --- splits and class balance ----------------------------------------------------------
 
 def split_bucket(key: list[str], label: str, seed: int = 42) -> Column:
-    """0..9999, a stable function of key, label and seed."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in key], F.col(label), F.lit(seed)), F.lit(10_000))
+    """0..9999, a stable function of key, label and seed: the first digits of a hash
+    that other systems have too. A null counts as empty text."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*key, label)]
+    digits = F.substring(F.md5(F.concat_ws("|", *parts, F.lit(str(seed)))), 1, 8)
+    return F.conv(digits, 16, 10).cast("long") % 10_000
 
 
 def stratified_split(

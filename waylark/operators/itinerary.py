@@ -6,14 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
-from waylark.session import dimension
 
 
 def airport_cities(airport: DataFrame, city: DataFrame) -> DataFrame:
     """(iata_code, id_city, city, country) for airports of known cities."""
-    return dimension(
-        airport.select("iata_code", "id_city").join(city.select("id_city", "city", "country"), "id_city")
-    )
+    return airport.select("iata_code", "id_city").join(city.select("id_city", "city", "country"), "id_city")
 
 
 def with_city(df: DataFrame, code_col: str, cities: DataFrame, out: str, how: str = "inner") -> DataFrame:

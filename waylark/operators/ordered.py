@@ -8,49 +8,57 @@ summary across.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from waylark.functions.scalars import epoch_micros
+from waylark.functions.scalars import epoch_micros, nan_to_null, to_number
 from waylark.session import pinned
 
-DEFAULT_BUCKETS = 64
-TIME_PARTS = 64
+
+def parts_for(rows: int) -> int:
+    """Into how many parts an order of so many rows is cut.
+
+    Both the parts and the rows in a part grow with the root of the rows, so neither the
+    list of cuts nor the work on one part becomes the bottleneck: 13 for ten thousand
+    rows, 125 for a million, 125 000 for a million millions.
+    """
+    return max(1, math.ceil(math.sqrt(rows) / 8))
 
 
 # --- values: running totals over sorted values --------------------------------
 
-def cut_points(counted: DataFrame, group: str, value: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def cut_points(counted: DataFrame, group: str, value: str, buckets: int) -> DataFrame:
     """At most `buckets - 1` ascending cut values per group.
 
     Quantiles of the distinct values, so the buckets hold about equally many rows
-    of `counted`. The sketch merges map-side. Its result is bounded (groups x
-    buckets numbers) and is taken to the driver on purpose: as literals the cuts
-    are the same for every branch and every retried task.
+    of `counted`. The sketch merges map-side. The cuts are stored, however many groups
+    there are: so they are the same for every branch and every retried task.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    rows = counted.groupBy(group).agg(F.percentile_approx(value, shares, buckets * 20).alias("cuts")).collect()
-    data = [(r[group], sorted({float(x) for x in r["cuts"]})) for r in rows]
-    kind = counted.schema[group].dataType.simpleString()
-    return counted.sparkSession.createDataFrame(data, f"{group} {kind}, cuts array<double>")
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    cuts = F.sort_array(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), shares, buckets * 20)))
+    return pinned(counted.groupBy(group).agg(cuts.alias("cuts")), "cuts")
 
 
 def running_totals(
     counted: DataFrame, group: str, value: str, sums: list[str],
-    descending: bool = False, buckets: int = DEFAULT_BUCKETS,
+    descending: bool = False, buckets: int | None = None,
 ) -> DataFrame:
     """Add `cum_<s>` (inclusive) and `tot_<s>` per group in order of `value`.
 
     `counted` holds each (group, value) once, for example counts per distinct
-    value. It is written to the shared folder first: the cuts, the bucket totals
-    and the rows themselves all come from that one computation. The offsets joined
-    back are groups x buckets rows, hence the broadcast.
+    value; null and NaN values have no place in the order and are left out. It is
+    written to the shared folder first: the cuts, the bucket totals and the rows
+    themselves all come from that one computation. Cuts and offsets are joined by
+    their size, which grows with the groups.
     """
-    once = pinned(counted.filter(F.col(value).isNotNull()).select(group, value, *sums), "counted")
+    once = pinned(counted.filter(nan_to_null(value).isNotNull()).select(group, value, *sums), "counted")
+    buckets = buckets or parts_for(once.count())
     placed = (
-        once.join(F.broadcast(cut_points(once, group, value, buckets)), group)
+        once.join(cut_points(once, group, value, buckets), group)
         .withColumn("_b", F.size(F.filter("cuts", lambda c: c <= F.col(value))))
         .drop("cuts")
     )
@@ -68,7 +76,7 @@ def running_totals(
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     local = placed.select("*", *[F.sum(s).over(inside).alias(f"_loc_{s}") for s in sums])
-    joined = local.join(F.broadcast(offsets), [group, "_b"])
+    joined = local.join(offsets, [group, "_b"])
     return joined.select(
         group, value, *sums,
         *[(F.col(f"_loc_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
@@ -77,14 +85,15 @@ def running_totals(
 
 
 def unpivot(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> DataFrame:
-    """(keep..., feature, value) rows for the numeric columns, nulls left out."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols]
-    )
+    """(keep..., feature, value) rows for the columns as numbers.
+
+    Nulls, NaN and texts that are no number are left out.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), to_number(c).alias("value")) for c in cols])
     return df.select(*(keep or []), F.inline(pairs)).filter(F.col("value").isNotNull())
 
 
-def exact_medians(df: DataFrame, cols: list[str], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def exact_medians(df: DataFrame, cols: list[str], buckets: int | None = None) -> DataFrame:
     """(feature, median) for several columns at once.
 
     Exact, like a sort in memory would give, but over counted distinct values
@@ -117,8 +126,8 @@ class Slices:
 
     COLS = ("_period", "_part", "_tie")
 
-    def __init__(self, df: DataFrame, order: list[str], period_seconds: int = 3600, parts: int = TIME_PARTS):
-        self.ts, self.period_seconds, self.parts = order[0], period_seconds, parts
+    def __init__(self, df: DataFrame, order: list[str], period_seconds: int = 3600, parts: int | None = None):
+        self.ts, self.period_seconds, self.parts = order[0], period_seconds, parts or parts_for(df.count())
         self.tie, self.tie_cuts = None, []
         at = epoch_micros(self.ts)
         found = self._quantiles(df, at)
@@ -131,16 +140,16 @@ class Slices:
             self.tie_cuts = sorted(set(self._quantiles(df.filter(at.isin(self.busy)), F.col(self.tie))))
 
     def _quantiles(self, df: DataFrame, value: Column) -> list:
-        shares = [i / self.parts for i in range(1, self.parts)]
+        shares = [i / self.parts for i in range(1, self.parts)] or [0.5]
         return df.agg(F.percentile_approx(value, shares, self.parts * 20).alias("c")).first()["c"] or []
 
-    def _tree(self, name: str, cuts: list, low: int, high: int) -> str:
+    def _tree(self, name: str, cuts: list, low: int, high: int) -> Column:
         """How many of cuts[low:high] are <= the named column, as a balanced tree."""
         if low == high:
-            return str(low)
+            return F.lit(low)
         mid = (low + high) // 2
-        return (f"CASE WHEN {name} < {cuts[mid]!r} THEN {self._tree(name, cuts, low, mid)} "
-                f"ELSE {self._tree(name, cuts, mid + 1, high)} END")
+        below, above = self._tree(name, cuts, low, mid), self._tree(name, cuts, mid + 1, high)
+        return F.when(F.col(name) < F.lit(cuts[mid]), below).otherwise(above)
 
     def mark(self, df: DataFrame) -> DataFrame:
         # The clock value is a column of its own: the trees name it many times.
@@ -150,11 +159,11 @@ class Slices:
         last = F.lit(self.parts)
         tie = last
         if self.tie:
-            tree = F.expr(self._tree(f"`{self.tie}`", self.tie_cuts, 0, len(self.tie_cuts)))
+            tree = self._tree(self.tie, self.tie_cuts, 0, len(self.tie_cuts))
             tie = F.when(at.isin(self.busy), tree).otherwise(last)
         return timed.withColumns({
             "_period": F.floor(at / F.lit(self.period_seconds * 1_000_000)),
-            "_part": F.expr(self._tree("_at_us", self.cuts, 0, len(self.cuts))),
+            "_part": self._tree("_at_us", self.cuts, 0, len(self.cuts)),
             "_tie": tie,
         }).drop("_at_us")
 

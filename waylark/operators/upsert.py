@@ -56,9 +56,17 @@ def upsert(
     return joined.select(*out)
 
 
-def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Append the source rows whose key is not in the target."""
-    fresh = source.join(target.select(*keys), keys, "left_anti")
+def insert_ignore(
+    target: DataFrame, source: DataFrame, keys: list[str], order: list[Column] | None = None
+) -> DataFrame:
+    """Append the source rows whose key is not in the target.
+
+    Of source rows with one key the first in `order` is inserted; without an order, the
+    first by all other columns.
+    """
+    by = order or [F.col(c) for c in source.columns if c not in keys]
+    once = dedupe(source, keys, by) if by else source.dropDuplicates(keys)
+    fresh = once.join(target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 
@@ -100,19 +108,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-# Days of a century: the partitions of a batch are listed only up to here.
-LISTED_PARTITIONS = 36_525
-
-
 def _in_partitions(stored: DataFrame, arrived: DataFrame, col: str) -> DataFrame:
-    """Stored rows in the partitions of the arrived ones, pruned by value."""
-    touched = arrived.select(col).distinct()
-    listed = [r[0] for r in touched.limit(LISTED_PARTITIONS + 1).collect()]
-    if len(listed) > LISTED_PARTITIONS:
-        pairs = touched.withColumnRenamed(col, "_touched")
-        return stored.join(pairs, stored[col].eqNullSafe(F.col("_touched")), "left_semi")
-    wanted = F.col(col).isin([v for v in listed if v is not None])
-    return stored.filter(wanted | F.col(col).isNull() if None in listed else wanted)
+    """Stored rows in the partitions of the arrived ones.
+
+    The touched partitions are the small side of a semi join on the partition column;
+    Spark prunes the stored files by them when the join runs.
+    """
+    touched = arrived.select(F.col(col).alias("_touched")).distinct()
+    return stored.join(touched, stored[col].eqNullSafe(F.col("_touched")), "left_semi")
 
 
 def upsert_table(

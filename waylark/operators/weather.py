@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
 from waylark.operators.lookup import lookup_join
-from waylark.session import dimension, pinned
+from waylark.operators.upsert import dedupe
+from waylark.session import pinned
 
 MEASURES = [
     "temperature_c", "precipitation_mm", "weather_code",
@@ -23,12 +24,15 @@ def measures_of(df: DataFrame) -> list[str]:
 def by_day(weather: DataFrame, airport: str, day: str, hour: str) -> DataFrame:
     """One row per (airport, day) with a map hour -> measures.
 
-    `weather` is unique on (airport, day, hour), so a map has at most 24 entries.
-    It turns the exact-hour and the noon lookup into a single join, and is far
-    smaller than the flights.
+    Rows without an hour are left out. Of repeated hours one row counts: the first in
+    the order of its measures, present values before missing ones. So a map has at most
+    24 entries. It turns the exact-hour and the noon lookup into a single join, and is
+    far smaller than the flights.
     """
-    entry = F.struct(F.col(hour).alias("h"), F.struct(*measures_of(weather)).alias("w"))
-    return weather.groupBy(airport, day).agg(F.map_from_entries(F.collect_list(entry)).alias("hours"))
+    cols = measures_of(weather)
+    once = dedupe(weather.filter(F.col(hour).isNotNull()), [airport, day, hour], [F.col(c).asc_nulls_last() for c in cols])
+    entry = F.struct(F.col(hour).alias("h"), F.struct(*cols).alias("w"))
+    return once.groupBy(airport, day).agg(F.map_from_entries(F.collect_list(entry)).alias("hours"))
 
 
 def join_hourly_weather(
@@ -86,8 +90,8 @@ def enrich_flights(
     joined = join_hourly_weather(flights, weather, airport, day, hour, weather_hour, day_known="_fetched")
     located = airports.filter(F.col("latitude").isNotNull()).select(
         F.col("iata_code").alias(airport[0]), F.lit(True).alias("_located")
-    )
-    marked = joined.join(dimension(located), airport[0], "left")
+    ).distinct()
+    marked = joined.join(located, airport[0], "left")
     done = F.col("_fetched") | F.col("_located").isNull()
     return marked.withColumn("weather_enriched", done).drop("_fetched", "_located")
 

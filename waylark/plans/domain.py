@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
 from waylark.operators.upsert import dedupe
-from waylark.session import dimension
 
 Spark = SparkSession
 
@@ -55,10 +54,10 @@ def teams(spark: Spark) -> DataFrame:
 # --- matches ------------------------------------------------------------------
 
 def matches(spark: Spark, sf: str) -> DataFrame:
-    """One match per urgent order, in the customer's city at 18:00."""
-    o = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
+    """One match per order, in the customer's city at 18:00."""
+    o = table(spark, sf, "orders")
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    cities = dimension(city(spark, sf).select("id_city", "city"))
+    cities = city(spark, sf).select("id_city", "city")
     m = o.join(c, o.o_custkey == c.c_custkey).select(
         F.col("o_orderkey").alias("match_id"),
         F.timestamp_add("HOUR", F.lit(18), F.col("o_orderdate")).alias("match_date"),
@@ -280,8 +279,7 @@ VIEWS_SQL = {
         SELECT o_orderkey AS match_id, o_orderdate + INTERVAL 18 HOUR AS match_date,
                (o_custkey % 48)::INT AS id_team_a, ((o_custkey + 7) % 48)::INT AS id_team_b,
                o_orderstatus AS stage, c_nationkey AS id_city, ((o_custkey + 7) % 25)::INT AS id_origin, city
-        FROM orders JOIN customer ON o_custkey = c_custkey JOIN city ON c_nationkey = id_city
-        WHERE o_orderpriority = '1-URGENT'""",
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN city ON c_nationkey = id_city""",
     "lines": """
         SELECT * FROM lineitem QUALIFY row_number() OVER (
             PARTITION BY l_orderkey, l_linenumber

@@ -49,6 +49,27 @@ def ks_statistic(spark, sf):
         {"ks_stat": F.round("ks_stat", 9), "ks_pvalue": F.round("ks_pvalue", 6)})
 
 
+def dirty_sets(spark, sf):
+    """The same rows, some of whose numbers are NaN."""
+    nan = lambda d: d.withColumn("l_quantity", F.when(F.col("l_discount") > 0.07, float("nan")).otherwise(F.col("l_quantity")))
+    return tuple(nan(d) for d in D.drift_sets(spark, sf))
+
+
+def _without_nan(sql):
+    """SQL on the rows whose quantity is not made NaN."""
+    return sql.replace("l_quantity::DOUBLE AS v FROM drift_rows", "l_quantity::DOUBLE AS v FROM drift_rows WHERE l_discount <= 0.07::DOUBLE")
+
+
+@query("psi_with_nan", _without_nan(_PSI + " SELECT feature, round(psi, 5) AS psi FROM psi"))
+def psi_with_nan(spark, sf):
+    return DR.psi(*dirty_sets(spark, sf), NUMERIC).select("feature", F.round("psi", 5).alias("psi"))
+
+
+@query("ks_with_nan", _without_nan(_LONG + _KS + " SELECT feature, round(ks_stat, 9) AS ks_stat, n_ref, n_cur FROM kst"))
+def ks_with_nan(spark, sf):
+    return DR.ks_2samp(*dirty_sets(spark, sf), NUMERIC).select("feature", F.round("ks_stat", 9).alias("ks_stat"), "n_ref", "n_cur")
+
+
 @query("chi2_categorical", f"WITH {views('drift_rows')}, long AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {c} AS v, is_ref FROM drift_rows" for c in CATEGORICAL) + """),
 g AS (SELECT feature, v, count(*) FILTER (is_ref) AS r, count(*) FILTER (NOT is_ref) AS c FROM long GROUP BY ALL),

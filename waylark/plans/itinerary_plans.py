@@ -11,7 +11,7 @@ from waylark.operators import upsert as U
 from waylark.plans import domain as D
 from waylark.plans.domain import views
 from waylark.plans.registry import query
-from waylark.session import dimension, pinned
+from waylark.session import pinned
 
 NOW = "1998-06-01 09:30:00"
 ASKED = "2001-12-31 00:00:00"
@@ -121,7 +121,7 @@ WITH {views("matches", "teams")}, calendar AS (
 
 def calendar(spark, sf):
     return I.match_calendar(
-        D.matches(spark, sf).drop("city"), dimension(D.teams(spark)), dimension(D.city(spark, sf)))
+        D.matches(spark, sf).drop("city"), D.teams(spark), D.city(spark, sf))
 
 
 @query("match_calendar", _CALENDAR + " SELECT * FROM calendar")

@@ -52,6 +52,39 @@ def exact_medians(spark, sf):
     return O.exact_medians(D.flights_with_weather(spark, sf), _MEDIAN_COLS)
 
 
+# A number as text, with words, NaN and nulls among them.
+_DIRTY = """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN 'abc' WHEN l_partkey % 11 = 0 THEN 'NaN'
+       WHEN l_partkey % 13 <> 0 THEN l_quantity::VARCHAR END AS quantity,
+       CASE WHEN l_suppkey % 4 = 0 THEN 'NaN'::DOUBLE ELSE l_extendedprice END AS price FROM lineitem"""
+
+
+def dirty_numbers(spark, sf):
+    part = F.col("l_partkey")
+    text = F.when(part % 7 == 0, "abc").when(part % 11 == 0, "NaN").when(part % 13 != 0, F.col("l_quantity").cast("string"))
+    return D.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", text.alias("quantity"),
+        F.when(F.col("l_suppkey") % 4 == 0, float("nan")).otherwise(F.col("l_extendedprice")).alias("price"))
+
+
+_CLEAN = """clean AS (SELECT l_orderkey, l_linenumber, CASE WHEN NOT isnan(try_cast(quantity AS DOUBLE)) THEN try_cast(quantity AS DOUBLE) END AS quantity,
+       CASE WHEN NOT isnan(price) THEN price END AS price FROM dirty)"""
+
+
+@query("medians_of_dirty_numbers", f"""
+WITH dirty AS ({_DIRTY}), {_CLEAN}
+SELECT 'quantity' AS feature, median(quantity) AS median FROM clean UNION ALL SELECT 'price', median(price) FROM clean""")
+def medians_of_dirty_numbers(spark, sf):
+    return O.exact_medians(dirty_numbers(spark, sf), ["quantity", "price"])
+
+
+@query("impute_dirty_numbers", f"""
+WITH dirty AS ({_DIRTY}), {_CLEAN}, m AS (SELECT median(quantity) AS q, median(price) AS p FROM clean)
+SELECT l_orderkey, l_linenumber, coalesce(quantity, q) AS quantity, coalesce(price, p) AS price FROM clean, m""")
+def impute_dirty_numbers(spark, sf):
+    d = dirty_numbers(spark, sf)
+    return FE.apply_imputer(d, FE.fit_imputer(d, ["quantity", "price"]))
+
+
 @query("median_impute", f"""
 WITH {views('obs_flights')}, m AS (SELECT median(distance) AS d FROM obs_flights)
 SELECT l_orderkey, l_linenumber, coalesce(distance, d) AS distance FROM obs_flights, m""")
@@ -163,9 +196,16 @@ def serving_features(spark, sf):
     return serving_set(spark, sf)
 
 
-@query("stratified_split_counts")
+def _bucket_sql(*cols):
+    """`features.split_bucket` in SQL."""
+    parts = " || '|' || ".join(f"coalesce({c}::VARCHAR, '')" for c in cols)
+    return f"('0x' || left(md5({parts} || '|42'), 8))::BIGINT % 10000"
+
+
+@query("stratified_split_counts", f"""
+WITH {views('obs_flights')}
+SELECT is_delayed, {_bucket_sql("l_orderkey", "l_linenumber", "is_delayed")} < 2000 AS is_test, count(*) AS n FROM obs_flights GROUP BY ALL""")
 def stratified_split_counts(spark, sf):
-    """Hash split; the hash differs from DuckDB's, so only rows are compared."""
     f = D.obs_flights(spark, sf)
     split = FE.stratified_split(f, "is_delayed", ["l_orderkey", "l_linenumber"])
     return split.groupBy("is_delayed", "is_test").agg(F.count(F.lit(1)).alias("n"))

@@ -135,7 +135,7 @@ def endpoint_stats(spark, sf):
 
 @query("alert_grouping", """
 WITH a AS (SELECT (user_id % 3)::INT AS name, (event_id % 2)::INT AS service, event_id, ts AS fired_at,
-           ts + floor(value)::INT * INTERVAL 1 MINUTE AS resolved_at FROM events WHERE event_type = 'error'),
+           ts + floor(value)::INT * INTERVAL 1 MINUTE AS resolved_at FROM events),
 e1 AS (SELECT *, max(resolved_at) OVER (PARTITION BY name, service ORDER BY fired_at, event_id
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open_until FROM a),
 e2 AS (SELECT *, max(CASE WHEN open_until IS NULL OR fired_at > open_until THEN fired_at END)
@@ -154,7 +154,7 @@ repeats AS (SELECT name, service, episode_start, before + unnest(range(1, (tick
 SELECT name, service, episode_start, episode_start + (30 + tick * 300)::INT * INTERVAL 1 SECOND AS notified_at, kind, n_alerts
 FROM (SELECT * FROM told UNION ALL SELECT * FROM repeats)""")
 def alert_grouping(spark, sf):
-    a = D.table(spark, sf, "events").filter("event_type = 'error'").select(
+    a = D.table(spark, sf, "events").select(
         (F.col("user_id") % 3).cast("int").alias("name"), (F.col("event_id") % 2).cast("int").alias("service"),
         "event_id", F.col("ts").alias("fired_at"),
         F.timestamp_add("MINUTE", F.floor("value").cast("int"), F.col("ts")).alias("resolved_at"))

@@ -27,13 +27,13 @@ def dedupe_segments(spark, sf):
 
 
 def _target_source(spark, sf):
-    """Stored rows: all but every third order. Arriving rows: every second order."""
+    """Stored rows: all but every third order. Arriving rows: every second order and those not stored."""
     s = D.legs(spark, sf).select(
         "journey_sk", "pos", "price", "departure_airport_time", "arrival_airport_time", "is_delayed")
     stored = s.filter("journey_sk % 3 <> 0").withColumns(
         {"created_at": S.local_ts(OLD), "updated_at": S.local_ts(OLD)})
     shift = F.timestamp_add("HOUR", F.lit(2), F.col("departure_airport_time"))
-    arriving = s.filter("journey_sk % 2 = 0").withColumns({
+    arriving = s.filter("journey_sk % 2 = 0 OR journey_sk % 3 = 0").withColumns({
         "price": F.round(F.col("price") + 10, 2), "departure_airport_time": shift,
         "arrival_airport_time": F.timestamp_add("HOUR", F.lit(2), F.col("arrival_airport_time")),
     })
@@ -48,7 +48,7 @@ SELECT journey_sk, pos,
        is_delayed,
        CASE WHEN known THEN TIMESTAMP '{old}' ELSE TIMESTAMP '{now}' END AS created_at,
        CASE WHEN arrives THEN TIMESTAMP '{now}' ELSE TIMESTAMP '{old}' END AS updated_at
-FROM (SELECT *, journey_sk % 3 <> 0 AS known, journey_sk % 2 = 0 AS arrives FROM legs) WHERE known OR arrives"""
+FROM (SELECT *, journey_sk % 3 <> 0 AS known, journey_sk % 2 = 0 OR journey_sk % 3 = 0 AS arrives FROM legs)"""
 
 
 @query("upsert_fact", f"WITH {views('legs')} " + _UPSERT.format(old=OLD, now=NOW))
@@ -78,11 +78,13 @@ def upsert_composite_key(spark, sf):
 @query("insert_ignore", f"""
 WITH {views("legs")}
 SELECT journey_sk, pos, CASE WHEN journey_sk % 3 <> 0 THEN price ELSE round(price + 10, 2) END AS price
-FROM legs WHERE journey_sk % 3 <> 0 OR journey_sk % 2 = 0""")
+FROM legs""")
 def insert_ignore(spark, sf):
+    """Arriving rows come twice, the second time dearer; the cheaper one is inserted."""
     stored, arriving = _target_source(spark, sf)
     cols = ["journey_sk", "pos", "price"]
-    return U.insert_ignore(stored.select(*cols), arriving.select(*cols), ["journey_sk", "pos"])
+    again = arriving.select("journey_sk", "pos", (F.col("price") + 1).alias("price"))
+    return U.insert_ignore(stored.select(*cols), again.unionByName(arriving.select(*cols)), ["journey_sk", "pos"])
 
 
 @query("mark_processed", """

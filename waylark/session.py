@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # What the jobs here expect from a cluster session. AQE picks broadcast or
 # sort-merge from measured sizes and splits skewed join partitions.
@@ -37,11 +36,14 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: `spark.checkpoint.dir` of the session.
 
-    Only a session without that setting (a local test) gets a temporary one.
+    A local session without that setting gets a temporary one. On a cluster the
+    executors would each write to a disk of their own, so there it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="waylark-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -63,17 +65,3 @@ def pinned(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-# More rows than there are airport codes (26^3), far below an executor's memory.
-DIMENSION_ROWS = 50_000
-
-
-def dimension(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
-    """A lookup table, marked for broadcast only when counted to be small.
-
-    Spark's own estimate multiplies sizes through joins and misses small
-    dimensions. Beyond `max_rows` the table is returned unmarked and the join is
-    left to AQE, which shuffles it and splits skewed keys.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
