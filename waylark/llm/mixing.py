@@ -31,6 +31,8 @@ MOST = 3
 # among so many documents.
 FINE_WORDS = 4096
 FINE_DOCS = 128
+# Rows of a table of sources or shards that are broadcast; a row has a name and numbers.
+BROADCAST_ROWS = 50_000
 
 
 def sainte_lague(weights: Sequence[float], seats: int) -> list[int]:
@@ -143,6 +145,12 @@ def _named(source: str) -> Column:
     return F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source).cast("string")))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has few rows; else the join is shuffled and AQE splits
+    the partitions of sources that hold a large share."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def mix(sized: DataFrame, row: str, size: str, source: str = "source", seed: int = 42,
         weights: dict[str | None, float] | None = None) -> DataFrame:
     """row, source_size, target, copies for each row of `sized`, a stored table of row (unique), size, source.
@@ -159,9 +167,9 @@ def mix(sized: DataFrame, row: str, size: str, source: str = "source", seed: int
     total = sum(r.size for r in sums)
     block = max(1, min(BLOCK_WORDS, total // LEAST_BLOCKS))
     blocks = dict(zip([r.name for r in sums], sainte_lague(wanted, total // block), strict=True))
-    plan = spark.createDataFrame(
+    plan = _small(spark.createDataFrame(
         [(r.name, r.size, t, -(-r.docs // SHARD_DOCS)) for r, t in zip(sums, wanted, strict=True)],
-        "name string, source_size bigint, target double, shards int")
+        "name string, source_size bigint, target double, shards int"), len(sums))
     dealt = slim.join(plan, "name").withColumn("order", F.xxhash64(F.lit(seed), "row")).withColumn(
         "shard", F.pmod("order", "shards"))
     parts: dict[str, list[tuple[int, int]]] = {}
@@ -172,7 +180,8 @@ def mix(sized: DataFrame, row: str, size: str, source: str = "source", seed: int
         for name, cells in parts.items()
         for (shard, _), q in zip(cells, sainte_lague([n for _, n in cells], blocks[name]), strict=True)
     ]
-    cells = dealt.join(spark.createDataFrame(quotas, "name string, shard bigint, quota bigint"), ["name", "shard"])
+    cells = dealt.join(
+        _small(spark.createDataFrame(quotas, "name string, shard bigint, quota bigint"), len(quotas)), ["name", "shard"])
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "row"])
