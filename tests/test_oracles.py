@@ -6,7 +6,6 @@ from oracle_compare import compare, connect
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"model_eval", "feature_importance", "score_segments"}
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +13,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     sql = entry.oracle_sql().get(name)

@@ -179,6 +179,17 @@ def select_model(metrics: DataFrame) -> DataFrame:
     return metrics.agg(best.alias("b")).select("b.*")
 
 
+def selection_history(metrics: DataFrame, now: Column, history: DataFrame | None = None) -> DataFrame:
+    """The history with one row per run of this round; the selected run is marked and
+    gets the time of its promotion."""
+    best = select_model(metrics).select("model", F.lit(True).alias("promoted"))
+    rows = metrics.join(best, "model", "left").select(
+        *metrics.columns, F.coalesce("promoted", F.lit(False)).alias("promoted"),
+        now.alias("evaluated_at"), F.when(F.col("promoted"), now).alias("promoted_at"),
+    )
+    return rows if history is None else history.unionByName(rows)
+
+
 def latest_versions(versions: DataFrame, by: str = "model") -> DataFrame:
     """Highest numeric version per model."""
     number = F.col("version").cast("int")

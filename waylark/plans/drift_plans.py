@@ -81,10 +81,24 @@ def chi2_categorical(spark, sf):
     return d.select("feature", F.round("chi2", 4).alias("chi2"), "df")
 
 
-@query("chi2_report")
+# The tail of chi-square has closed forms: exp(-x / 2) for two degrees of freedom, and for
+# one the complement of the error function, whose series is summed here.
+_TAIL = """CASE df WHEN 2 THEN exp(-chi2 / 2) ELSE CASE WHEN chi2 > 50 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - sqrt(2.0::DOUBLE * chi2 / pi()) * exp(-chi2 / 2)
+       * list_sum(list_transform(range(0, 150), lambda k: exp(k * ln(greatest(chi2, 1e-300::DOUBLE)) - list_sum(list_transform(range(0, k + 1), lambda j: ln(2.0::DOUBLE * j + 1)))))) END END"""
+
+
+@query("chi2_report", f"WITH {views('drift_rows')}, long AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {c} AS v, is_ref FROM drift_rows" for c in CATEGORICAL) + f"""),
+g AS (SELECT feature, v, count(*) FILTER (is_ref) AS r, count(*) FILTER (NOT is_ref) AS c FROM long GROUP BY ALL),
+t AS (SELECT feature, sum(r) AS tr, sum(c) FILTER (r > 0) AS tc, count(*) FILTER (r > 0) AS k,
+             count(*) FILTER (r = 0) AS n_new_categories, coalesce(sum(c) FILTER (r = 0), 0)::BIGINT AS n_new_rows FROM g GROUP BY 1),
+x AS (SELECT feature, sum((c - r * tc / tr::DOUBLE) ** 2 / (r * tc / tr::DOUBLE)) AS chi2, (any_value(k) - 1)::INT AS df,
+             any_value(n_new_categories) AS n_new_categories, any_value(n_new_rows) AS n_new_rows
+      FROM g JOIN t USING (feature) WHERE r > 0 GROUP BY 1)
+SELECT feature, round(chi2, 4) AS chi2, df, n_new_categories, n_new_rows, round({_TAIL}, 6) AS pvalue, {_TAIL} < 0.05 AS drift FROM x""")
 def chi2_report(spark, sf):
-    """With p-values (no SQL counterpart for the incomplete gamma function)."""
-    return DR.categorical_drift(*D.drift_sets(spark, sf), CATEGORICAL)
+    d = DR.categorical_drift(*D.drift_sets(spark, sf), CATEGORICAL)
+    return d.withColumns({"chi2": F.round("chi2", 4), "pvalue": F.round("pvalue", 6)})
 
 
 @query("label_drift", f"""

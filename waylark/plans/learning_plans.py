@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waylark.functions import scalars as S
+from waylark.operators import bundle as B
 from waylark.operators import features as FE
 from waylark.operators import models as M
 from waylark.operators import ordered as O
@@ -11,7 +13,7 @@ from waylark.plans import domain as D
 from waylark.plans import weather_plans as WP
 from waylark.plans.domain import views
 from waylark.plans.registry import query
-from waylark.session import pinned
+from waylark.session import new_shared_path, pinned
 
 _RATE = """count(*) AS n_flights, sum(is_delayed)::BIGINT AS n_delayed, round(100.0::DOUBLE * sum(is_delayed) / count(*), 6) AS delay_pct"""
 
@@ -101,11 +103,16 @@ def category_codes(spark, sf):
     return FE.fit_category_codes(D.obs_flights(spark, sf), ["airline", "origin", "dest"])
 
 
+def fitted_inputs(flights):
+    """Category codes and medians of the flights."""
+    named = flights.select("airline", F.col("origin").alias("departure_airport_code"), F.col("dest").alias("arrival_airport_code"))
+    codes = pinned(FE.fit_category_codes(named, list(FE.CATEGORIES)), "codes")
+    return codes, FE.fit_imputer(flights, _MEDIAN_COLS)
+
+
 def training_set(spark, sf, keep=None):
     f = pinned(D.flights_with_weather(spark, sf), "enriched-flights")
-    named = f.select("airline", F.col("origin").alias("departure_airport_code"), F.col("dest").alias("arrival_airport_code"))
-    codes = pinned(FE.fit_category_codes(named, list(FE.CATEGORIES)), "codes")
-    fills = FE.fit_imputer(f, _MEDIAN_COLS)
+    codes, fills = fitted_inputs(f)
     return FE.training_features(f, fills, codes, keep)
 
 
@@ -305,10 +312,30 @@ def score_journeys_worst(spark, sf):
     return M.score_journeys(s, "journey_sk", "boosted_trees")
 
 
-# --- trained models (rows only: training has no SQL form) --------------------------
+@query("selection_history", _SCORED + _AUC + _CONFUSION + """, m AS (
+  SELECT model, accuracy, f1, round(auc, 9) AS auc FROM x JOIN aucs USING (model))
+SELECT m.*, rank() OVER (ORDER BY auc DESC, model) = 1 AS promoted, TIMESTAMP '2024-02-01' AS evaluated_at,
+       CASE WHEN rank() OVER (ORDER BY auc DESC, model) = 1 THEN TIMESTAMP '2024-02-01' END AS promoted_at FROM m
+UNION ALL SELECT model, 0.5::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE, FALSE, TIMESTAMP '2024-01-01', NULL FROM m""")
+def selection_history(spark, sf):
+    """The runs of this round behind those of an earlier one."""
+    m = M.evaluate(scored(spark, sf), "is_delayed", "p", "model").select(
+        "model", *[F.round(c, 9).alias(c) for c in ("accuracy", "f1", "auc")])
+    m = pinned(m, "metrics")
+    earlier = m.select(
+        "model", *[F.lit(0.5).alias(c) for c in ("accuracy", "f1", "auc")], F.lit(False).alias("promoted"),
+        S.local_ts("2024-01-01").alias("evaluated_at"), F.lit(None).cast("timestamp_ntz").alias("promoted_at"))
+    return M.selection_history(m, S.local_ts("2024-02-01"), earlier)
+
+
+# --- trained models ------------------------------------------------------------------
+# Training has no SQL form. What SQL can say about it is compared: how many rows were
+# tested, that all numbers are in their range, which features must be without use. This
+# does not prove that a model is good; the metrics themselves come from `evaluate`, which
+# is compared above on a stand-in score.
 
-TREES = {"maxIter": 8, "maxDepth": 4}
 _TRAIN_KEY = ["l_orderkey", "l_linenumber"]
+_BUNDLES: dict[tuple[str, str], str] = {}
 
 
 def split_sets(spark, sf):
@@ -317,29 +344,83 @@ def split_sets(spark, sf):
     return both.filter("NOT is_test"), both.filter("is_test")
 
 
-@query("model_eval")
+def fitted(spark, sf):
+    """Both models, fitted with the published settings once per session, stored and loaded."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUNDLES:
+        f = pinned(D.flights_with_weather(spark, sf), "enriched-flights")
+        codes, fills = fitted_inputs(f)
+        train = split_sets(spark, sf)[0]
+        path = new_shared_path(spark, "bundle")
+        B.save(B.fit(train, codes, fills, _TRAIN_KEY), path)
+        _BUNDLES[key] = path
+    return B.load(spark, _BUNDLES[key])
+
+
+_SPLIT = _bucket_sql("l_orderkey", "l_linenumber", "duration", "is_delayed")
+
+
+def _in_range(*cols):
+    return F.bool_and(sum((F.when(F.col(c).between(0.0, 1.0), 0).otherwise(1) for c in cols), F.lit(0)) == 0)
+
+
+@query("model_eval", _TRAIN + f"""
+SELECT model, count(*) AS n_rows, count(*) FILTER (is_delayed = 1) AS n_positive, TRUE AS in_range
+FROM train, (VALUES ('boosted_trees'), ('neural_network')) m(model) WHERE {_SPLIT} < 2000 GROUP BY 1""")
 def model_eval(spark, sf):
-    """Trees and network on the same split, compared."""
-    train, test = split_sets(spark, sf)
+    """Trees and network on the same test rows."""
+    bundle, (_, test) = fitted(spark, sf), split_sets(spark, sf)
     keep = [*_TRAIN_KEY, FE.LABEL_COL]
-    trees = M.predict(M.fit_trees(train, **TREES), test, keep).withColumn("model", F.lit("boosted_trees"))
-    fitted = FE.fit_scaler(train, FE.FEATURE_COLS)
-    even = M.balanced(FE.apply_scaler(train, fitted), _TRAIN_KEY)
-    net = M.fit_network(even, rounds=10)
-    network = M.predict(net, FE.apply_scaler(test, fitted), keep).withColumn("model", F.lit("neural_network"))
-    m = M.evaluate(trees.unionByName(network), FE.LABEL_COL, "probability", "model")
-    return m.select("model", "accuracy", "f1", "auc")
+    runs = [bundle.score(test, m, keep).withColumn("model", F.lit(m)) for m in M.PREFERENCE]
+    rows = pinned(runs[0].unionByName(runs[1]), "scored")
+    metrics = M.evaluate(rows, FE.LABEL_COL, "probability", "model").groupBy("model").agg(
+        _in_range("accuracy", "f1", "auc").alias("_metrics"))
+    counts = rows.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col(FE.LABEL_COL) == 1, 1)).alias("n_positive"),
+        _in_range("probability").alias("_rows"))
+    return counts.join(metrics, "model").select("model", "n_rows", "n_positive", (F.col("_rows") & F.col("_metrics")).alias("in_range"))
+
+
+# Features that are the same in every training row can't be of use to a tree.
+_CONSTANT = ["layover_duration", "price", "pos", "is_best", "has_layover"]
 
 
-@query("feature_importance")
+@query("feature_importance", "SELECT feature, TRUE AS in_range, feature IN ("
+       + ", ".join(f"'{c}'" for c in _CONSTANT) + ") AS must_be_unused, 1.0::DOUBLE AS total FROM (VALUES "
+       + ", ".join(f"('{c}')" for c in FE.FEATURE_COLS) + ") v(feature)")
 def feature_importance(spark, sf):
-    train, _ = split_sets(spark, sf)
-    return M.feature_importance(M.fit_trees(train, **TREES))
+    found = pinned(M.feature_importance(fitted(spark, sf).trees), "importance")
+    total = found.agg(F.round(F.sum("importance"), 6).alias("total"))
+    constant = F.col("feature").isin(_CONSTANT)
+    return found.crossJoin(F.broadcast(total)).select(
+        "feature", F.col("importance").between(0.0, 1.0).alias("in_range"),
+        (constant & (F.col("importance") == 0.0)).alias("must_be_unused"), "total")
 
 
-@query("score_segments")
+@query("score_segments", _SERVE + """
+SELECT journey_sk, count(*) AS n_segments, 'boosted_trees' AS model_used, TRUE AS in_range, TRUE AS consistent FROM serve GROUP BY 1""")
 def score_segments(spark, sf):
     """Trees trained on observed flights, applied to served segments, worst leg per journey."""
-    train, _ = split_sets(spark, sf)
-    model = M.fit_trees(train, **TREES)
-    return M.score_journeys(M.predict(model, serving_set(spark, sf), ["journey_sk", "leg"]), "journey_sk", "boosted_trees")
+    bundle = fitted(spark, sf)
+    rows = B.features_of(bundle, WP.cascaded(spark, sf), ["journey_sk", F.col("pos").alias("leg")])
+    out = M.score_journeys(bundle.score(rows, "boosted_trees", ["journey_sk", "leg"]), "journey_sk", "boosted_trees")
+    p = F.col("delay_probability")
+    # The decision is made on the unrounded value.
+    agrees = (F.col("delay_prediction") == (p >= M.DECISION_THRESHOLD)) | (F.abs(p - M.DECISION_THRESHOLD) < 1e-4)
+    return out.select("journey_sk", "n_segments", "model_used", p.between(0.0, 1.0).alias("in_range"), agrees.alias("consistent"))
+
+
+@query("bundle_round_trip", _TRAIN + f"""
+SELECT model, count(*) AS n_rows, 0::BIGINT AS n_different FROM train, (VALUES ('boosted_trees'), ('neural_network')) m(model)
+WHERE {_SPLIT} < 2000 GROUP BY 1""")
+def bundle_round_trip(spark, sf):
+    """A bundle stored again and loaded scores every test row the same."""
+    first, (_, test) = fitted(spark, sf), split_sets(spark, sf)
+    path = new_shared_path(spark, "bundle-copy")
+    B.save(first, path)
+    second = B.load(spark, path)
+    numbered = pinned(test.withColumn("row", F.monotonically_increasing_id()), "test")
+    sizes = numbered.agg(F.count(F.lit(1)).alias("n_rows"))
+    found = [B.differences(first, second, numbered, m, ["row"]).agg(F.count(F.lit(1)).alias("n_different")).withColumn("model", F.lit(m))
+             for m in M.PREFERENCE]
+    return found[0].unionByName(found[1]).crossJoin(F.broadcast(sizes)).select("model", "n_rows", "n_different")
