@@ -83,3 +83,11 @@ def test_report(spark):
     assert rows(rep["numeric"].select("feature", "severity", "ks_drift")) == [("price", "CRITICAL", True)]
     s = rep["summary"].first()
     assert (s.critical_features, s.n_critical, s.n_warning, s.retrain_recommended) == (["price"], 1, 0, True)
+
+
+def test_nan_is_no_value(spark):
+    plain = spark.createDataFrame([(float(k),) for k in range(10)], "x double")
+    dirty = plain.unionByName(spark.createDataFrame([(float("nan"),)] * 3, "x double"))
+    for a, b in ((plain, dirty), (dirty, plain)):
+        assert abs(DR.psi(a, b, ["x"]).first().psi) < 1e-9
+        assert DR.ks_2samp(a, b, ["x"]).first().ks_stat == 0.0

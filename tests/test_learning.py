@@ -132,3 +132,32 @@ def test_models_learn_a_learnable_label(spark):
     net = M.fit_network(FE.apply_scaler(even, FE.fit_scaler(train, ["x", "z"])), ["x", "z"], layers=[2, 4, 2], rounds=30)
     q = M.predict(net, FE.apply_scaler(test, FE.fit_scaler(train, ["x", "z"])), ["is_delayed"]).withColumn("model", F.lit("n"))
     assert M.auc(q, "is_delayed", "probability", "model").first().auc > 0.9
+
+
+def test_medians_leave_out_nan_and_text(spark):
+    d = spark.createDataFrame([(1.0, "1"), (2.0, "abc"), (3.0, "NaN"), (float("nan"), None), (float("nan"), "3"), (None, "2")], "x double, t string")
+    assert FE.fit_imputer(d, ["x", "t"]) == {"x": 2.0, "t": 2.0}
+
+
+def test_a_bundle_is_loaded_as_it_was_stored(spark, tmp_path):
+    from waylark.operators import bundle as B
+    from waylark.operators import models as M
+
+    rows = [(k, float(k % 2), *[float((k * (j + 3)) % 17) for j in range(len(FE.FEATURE_COLS))]) for k in range(60)]
+    train = spark.createDataFrame(rows, ["id", FE.LABEL_COL, *FE.FEATURE_COLS])
+    codes = spark.createDataFrame([("airline", "AA", 0)], "feature string, value string, code int")
+    scaler = FE.fit_scaler(train, FE.FEATURE_COLS)
+    first = B.Bundle(codes, {"distance": 7.0}, scaler, M.fit_trees(train, maxIter=2), M.fit_network(FE.apply_scaler(train, scaler), rounds=3))
+    B.save(first, str(tmp_path / "b"))
+    second = B.load(spark, str(tmp_path / "b"))
+    assert (second.fills, second.scaler, second.codes.collect()) == (first.fills, first.scaler, codes.collect())
+    for model in M.PREFERENCE:
+        assert B.differences(first, second, train, model, ["id"]).count() == 0
+
+
+def test_split_bucket_is_the_head_of_an_md5(spark):
+    import hashlib
+
+    d = spark.createDataFrame([(5, None, 1), (6, "x", 0)], "a int, b string, y int")
+    got = [r[0] for r in d.select(FE.split_bucket(["a", "b"], "y")).collect()]
+    assert got == [int(hashlib.md5(t).hexdigest()[:8], 16) % 10_000 for t in (b"5||1|42", b"6|x|0|42")]

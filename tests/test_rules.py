@@ -65,7 +65,7 @@ def test_running_max_over_slices(hot, inclusive):
 
 def test_slices_cut_a_hot_hour_and_a_hot_timestamp(hot):
     _, df = hot
-    sizes = [r["count"] for r in O.Slices(df, ["ts", "id"], 3600).mark(df).groupBy("name", *O.Slices.COLS).count().collect()]
+    sizes = [r["count"] for r in O.Slices(df, ["ts", "id"], 3600, parts=64).mark(df).groupBy("name", *O.Slices.COLS).count().collect()]
     assert max(sizes) < 100
 
 

@@ -139,3 +139,15 @@ def test_grouped_notices_equal_their_batch_form(spark, tmp_path):
     want = {tuple(r) for r in batch.collect()}
     got = rows(live)
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_unreadable_documents_are_kept_and_staging_is_cleared(spark, tmp_path):
+    put(tmp_path / "in", "1.json", {"best_flights": [DIRECT]})
+    (tmp_path / "in" / "broken.json").write_text('{"best_flights": [')
+    run(spark, tmp_path, 1)
+    put(tmp_path / "in", "2.json", {"best_flights": [ONE_STOP]})
+    run(spark, tmp_path, 2)
+    assert fact(spark, tmp_path / "fact").count() == 3
+    rejected = [r.value for r in spark.read.text(str(tmp_path / "ckpt" / "rejected" / "*")).collect()]
+    assert rejected == ['{"best_flights": [']
+    assert [p.name for p in (tmp_path / "ckpt" / "staged").iterdir() if p.is_dir()] == ["batch-1"]

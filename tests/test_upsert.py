@@ -89,3 +89,12 @@ def test_unknown_codes_and_enrichment(spark):
         "row_id long, iata_code string, name string, municipality string, iso_country string")
     assert rows(E.enrich_airports(codes, ref)) == [
         ("XXX", "Zeroth", "Le Havre", "FR"), ("YYY", "YYY", "Unknown", "US"), ("ZZZ", "ZZZ", "Unknown", "Unknown")]
+
+
+def test_repeated_keys_of_the_source_and_of_dimensions(spark):
+    target = spark.createDataFrame([(1, "old")], "k int, v string")
+    source = spark.createDataFrame([(1, "new"), (2, "b"), (2, "a"), (2, None)], "k int, v string")
+    first = U.insert_ignore(target, source, ["k"], [F.col("v").asc_nulls_last()])
+    assert rows(first) == [(1, "old"), (2, "a")]
+    dim = spark.createDataFrame([("x", 7), ("x", 3)], "name string, id int")
+    assert rows(E.resolve_fk(spark.createDataFrame([("x",), ("y",)], "n string"), dim, ("n", "name"), "id", "fk")) == [("x", 3), ("y", None)]

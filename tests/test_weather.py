@@ -28,16 +28,21 @@ def test_hour_then_noon_then_nothing(spark):
         (1, None, "exact"), (2, 30.0, "fallback"), (3, None, None), (4, None, None), (5, None, None)]
 
 
-@pytest.mark.parametrize("max_rows", [50_000, 0])
-def test_lookup_join_small_and_large(spark, max_rows):
-    """A third of the rows share one key; the salted way gives the same result."""
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_lookup_join_small_and_large(spark, threshold):
+    """A third of the rows share one key, some have none; broadcast or shuffled, the result is the same."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     big = spark.range(3000).select(
-        F.col("id").alias("v"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
+        F.col("id").alias("v"), F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 != 1, F.col("id") % 50).alias("k"))
     look = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    got = lookup_join(big, look, ["k"], max_rows=max_rows)
-    want = {(v, v * 0 + (7 if v % 3 == 0 else v % 50)) for v in range(3000)}
-    assert rows(got.select("v", "k", "w")) == sorted(((v, k, 2 * k if k < 40 else None) for v, k in want), key=repr)
-    assert lookup_join(big, look, ["k"], "inner", max_rows).count() == sum(k < 40 for _, k in want)
+    want = {(v, 7 if v % 3 == 0 else v % 50 if v % 100 != 1 else None) for v in range(3000)}
+    try:
+        got = rows(lookup_join(big, look, ["k"]).select("v", "k", "w"))
+        matched = lookup_join(big, look, ["k"], "inner").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(((v, k, 2 * k if k is not None and k < 40 else None) for v, k in want), key=repr)
+    assert matched == sum(k is not None and k < 40 for _, k in want)
 
 
 def cascade(spark, segs, forecast, stored):
@@ -92,3 +97,12 @@ def test_enriched_mark(spark):
     got = WX.enrich_flights(f, w, air, ("dest", "a"), ("day", "d"), F.col("h"))
     assert rows(got.select("id", "temperature_c", "weather_enriched")) == [
         (1, None, True), (2, None, False), (3, None, True), (4, None, True)]
+
+
+def test_null_and_repeated_hours(spark):
+    w = spark.createDataFrame(
+        [("A", "d", None, 9.0), ("A", "d", 5, None), ("A", "d", 5, 3.0), ("A", "d", 5, 4.0)],
+        "airport string, day string, hour int, temperature_c double")
+    f = spark.createDataFrame([(1, "A", "d", 5), (2, "A", None, 5), (3, None, "d", 5)], "id int, a string, d string, h int")
+    out = WX.join_hourly_weather(f, w, ("a", "airport"), ("d", "day"), F.col("h"), "hour")
+    assert {r.id: (r.temperature_c, r.weather_source) for r in out.collect()} == {1: (3.0, "exact"), 2: (None, None), 3: (None, None)}

@@ -22,6 +22,7 @@ P_LIMIT = 0.05
 LABEL_LIMIT = 0.05
 MIN_VALUES = 5
 
+# The features that are watched.
 NUMERIC_FEATURES = [
     "duration", "layover_duration", "total_journey_duration", "price",
     "hour_of_day", "day_of_week",

@@ -17,6 +17,8 @@ from waylark.session import pinned
 ERROR_RATIO_LIMIT = 0.05
 LATENCY_LIMIT_SECONDS = 1.0
 MEMORY_LIMIT_BYTES = 500_000_000
+HOLD_SECONDS = 300
+MEMORY_HOLD_SECONDS = 600
 SILENCE_SECONDS = 60
 RESTARTS_LIMIT = 3
 GROUP_WAIT = 30
@@ -24,6 +26,7 @@ GROUP_INTERVAL = 300
 REPEAT_INTERVAL = 4 * 3600
 ROUTES = {"critical": "critical-with-remediation", "warning": "email-default"}
 DEFAULT_ROUTE = "email-default"
+DAY_SECONDS = 86_400
 
 
 def error_ratio(df: DataFrame, ts: str, is_error: Column, window: int = 300, slide: int = 60,
@@ -95,11 +98,12 @@ def threshold_rule(df: DataFrame, series: list[str], ts: str, breach: Column, ho
     the first sample without breach, null while the episode is open.
     """
     order = [ts, *(tie or [])]
-    rows = df.select(*series, *order, F.coalesce(breach, F.lit(False)).alias("_on"))
-    slices = Slices(df, order, bucket_seconds)
+    # The helpers read their input twice, so each gets a stored one: the source is read once.
+    rows = pinned(df.select(*series, *order, F.coalesce(breach, F.lit(False)).alias("_on")), "samples")
+    slices = Slices(rows, order, bucket_seconds)
     p = with_previous(rows, series, order, ["_on"], slices)
     starts = F.col("_on") & ~F.coalesce("prev__on", F.lit(False))
-    marked = p.withColumn("_start", F.when(starts, F.col(ts))).drop("prev__on")
+    marked = pinned(p.withColumn("_start", F.when(starts, F.col(ts))).drop("prev__on"), "starts")
     run = with_running_max(marked, series, order, "_start", "started_at", True, slices)
     held = S.seconds_between("started_at", ts) >= hold
     return (
@@ -114,6 +118,27 @@ def threshold_rule(df: DataFrame, series: list[str], ts: str, breach: Column, ho
     )
 
 
+def error_ratio_alert(df: DataFrame, ts: str, is_error: Column, by: list[str], limit: float = ERROR_RATIO_LIMIT,
+                      window: int = 300, slide: int = 60, hold: int = HOLD_SECONDS) -> DataFrame:
+    """Episodes in which more than `limit` of the requests of a window failed, long enough."""
+    w = error_ratio(df, ts, is_error, window, slide, by)
+    return threshold_rule(w, by, "window_end", F.col("error_ratio") > limit, hold, bucket_seconds=DAY_SECONDS)
+
+
+def latency_alert(df: DataFrame, ts: str, seconds: str, bounds: list[float], by: list[str],
+                  limit: float = LATENCY_LIMIT_SECONDS, q: float = 0.95, window: int = 300, slide: int = 60,
+                  hold: int = HOLD_SECONDS) -> DataFrame:
+    """Episodes in which a latency quantile of the window stayed over `limit` long enough."""
+    w = latency_quantile(df, ts, seconds, bounds, q, window, slide, by)
+    return threshold_rule(w, by, "window_end", F.col("quantile") > limit, hold, bucket_seconds=DAY_SECONDS)
+
+
+def memory_alert(df: DataFrame, series: list[str], ts: str, size: str, limit: float = MEMORY_LIMIT_BYTES,
+                 hold: int = MEMORY_HOLD_SECONDS, tie: list[str] | None = None) -> DataFrame:
+    """Episodes in which a series used more than `limit` bytes long enough."""
+    return threshold_rule(df, series, ts, F.col(size) > limit, hold, tie, DAY_SECONDS)
+
+
 def last_seen_rule(df: DataFrame, series: list[str], ts: str, now: Column,
                    silence: int = SILENCE_SECONDS, hold: int = 60) -> DataFrame:
     """Last sample per series and whether its silence has lasted long enough."""
@@ -134,8 +159,8 @@ def _between_samples(df: DataFrame, series: list[str], order: list[str], value:
     """
     per_window = window // slide
     ts = order[0]
-    take = df.select(*series, *order, value, F.col(ts).alias("_at"))
-    p = with_previous(take, series, order, [value, "_at"], Slices(df, order, bucket_seconds))
+    take = pinned(df.select(*series, *order, value, F.col(ts).alias("_at")), "samples")
+    p = with_previous(take, series, order, [value, "_at"], Slices(take, order, bucket_seconds))
     pairs = p.filter(F.col("prev__at").isNotNull()).select(
         *series, time_bucket("prev__at", slide).alias("_a"), time_bucket("_at", slide).alias("_b"),
         amount.alias("_x"),
@@ -209,11 +234,11 @@ def group_alerts(alerts: DataFrame, by: list[str], start: str = "fired_at", end:
     (by..., episode_start, notified_at, kind, n_alerts)
     """
     order = [start, *(tie or [])]
-    rows = alerts.select(*by, *order, end)
+    rows = pinned(alerts.select(*by, *order, end), "alerts")
     slices = Slices(rows, order, bucket_seconds)
     seen = with_running_max(rows, by, order, end, "_open_until", False, slices)
     opens = F.col("_open_until").isNull() | (F.col(start) > F.col("_open_until"))
-    marked = seen.withColumn("_start", F.when(opens, F.col(start))).drop("_open_until")
+    marked = pinned(seen.withColumn("_start", F.when(opens, F.col(start))).drop("_open_until"), "openings")
     ep = with_running_max(marked, by, order, "_start", "episode_start", True, slices)
     episode = [*by, "episode_start"]
 

@@ -108,6 +108,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a staged folder of our own, if it is there."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def _in_partitions(stored: DataFrame, arrived: DataFrame, col: str) -> DataFrame:
     """Stored rows in the partitions of the arrived ones.
 

@@ -7,6 +7,7 @@ from waylark.plans import (  # noqa: F401
     nested_plans,
     rule_plans,
     scalar_plans,
+    source_plans,
     table_plans,
     weather_plans,
 )

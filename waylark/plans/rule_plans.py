@@ -73,17 +73,39 @@ def threshold_hold(spark, sf):
     return R.threshold_rule(D.gauges(spark, sf), ["name"], "ts", F.col("value") > 40, HOUR, ["event_id"], DAY)
 
 
-@query("error_ratio_alerts", _WIN + """, ratios AS (
-  SELECT endpoint, window_start + INTERVAL 6 HOUR AS ts, 0 AS event_id, avg(latency_s) AS level FROM spread GROUP BY ALL)""" +
-  _HOLD.format(breach="level > 0.5", src="ratios", series="endpoint", hold=2 * HOUR))
+# Windows of five minutes every minute, as the rules define them, per service.
+_MINUTES = """WITH r AS (SELECT event_id, ts, (user_id % 3)::INT AS service, event_type = 'error' AS is_5xx, value / 100 AS latency_s FROM events),
+spread AS (SELECT r.*, date_trunc('minute', ts) + (5 - k) * INTERVAL 1 MINUTE AS window_end FROM r, range(5) t(k))"""
+
+
+def services(spark, sf):
+    return D.table(spark, sf, "events").select(
+        "event_id", "ts", (F.col("user_id") % 3).cast("int").alias("service"),
+        (F.col("event_type") == "error").alias("is_5xx"), (F.col("value") / 100).alias("latency_s"),
+        (F.col("value") * 1_500_000).alias("bytes"))
+
+
+@query("error_ratio_alerts", _MINUTES + """, levels AS (
+  SELECT service, window_end AS ts, 0 AS event_id, count(*) FILTER (is_5xx) / count(*) AS level FROM spread GROUP BY ALL)""" +
+  _HOLD.format(breach=f"level > {R.ERROR_RATIO_LIMIT}", src="levels", series="service", hold=R.HOLD_SECONDS))
 def error_ratio_alerts(spark, sf):
-    """A windowed level that stays over its limit for two hours."""
-    from waylark.operators.ordered import sliding_windows
+    """More than 5 % of the requests of five minutes failed, for five minutes."""
+    return R.error_ratio_alert(services(spark, sf), "ts", F.col("is_5xx"), ["service"])
+
+
+@query("latency_alerts", _MINUTES + f""", h AS (SELECT service, window_end, {_LE}, count(*) AS n FROM spread GROUP BY ALL),
+levels AS (SELECT service, window_end AS ts, 0 AS event_id, {_quantile_sql("0.95::DOUBLE")} AS level FROM h)""" +
+  _HOLD.format(breach=f"level > {R.LATENCY_LIMIT_SECONDS}", src="levels", series="service", hold=R.HOLD_SECONDS))
+def latency_alerts(spark, sf):
+    """The 95th percentile of five minutes was above a second, for five minutes."""
+    return R.latency_alert(services(spark, sf), "ts", "latency_s", BOUNDS, ["service"])
+
 
-    w = sliding_windows(D.requests(spark, sf), "ts", 6 * HOUR, HOUR, ["endpoint"],
-                        {"total": F.col("latency_s"), "n": F.lit(1)})
-    return R.threshold_rule(w, ["endpoint"], "window_end", F.col("total") / F.col("n") > 0.5, 2 * HOUR,
-                            bucket_seconds=DAY)
+@query("memory_alerts", _MINUTES + ", sizes AS (SELECT (user_id % 3)::INT AS service, ts, event_id, value * 1500000 AS bytes FROM events)" +
+  _HOLD.format(breach=f"bytes > {R.MEMORY_LIMIT_BYTES}", src="sizes", series="service", hold=R.MEMORY_HOLD_SECONDS))
+def memory_alerts(spark, sf):
+    """More than 500 MB for ten minutes."""
+    return R.memory_alert(services(spark, sf), ["service"], "ts", "bytes", tie=["event_id"])
 
 
 @query("last_seen_silence", f"""
