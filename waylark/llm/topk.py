@@ -11,7 +11,8 @@ of the others whose bound reaches it. A block below cannot hold a better candida
 an equal one, so the result is exact; ties go to the smaller id.
 
 Queries and blocks meet as tiles: a chunk of queries against a block. Only tiles that
-pruning leaves are scored, and a task holds one at a time.
+pruning leaves are scored, a task holds one at a time, and hands on the scores that
+reach the k-th so far.
 """
 
 from __future__ import annotations
@@ -69,11 +70,13 @@ def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return product(np.maximum(queries, 0), high) + product(np.minimum(queries, 0), low)
 
 
-def best(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, at: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the places of its k best rows, ties to the smaller id; the row `own` is left out."""
+def best(queries: np.ndarray, own: np.ndarray, least: np.ndarray, ids: np.ndarray, at: np.ndarray, rows: np.ndarray,
+         k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places and scores of its k best rows that reach `least`, ties to the
+    smaller id; the row `own` is left out."""
     out = []
-    for scores, me in zip(product(queries, rows), own.tolist(), strict=True):
-        use = np.flatnonzero(at != me)
+    for scores, me, floor in zip(product(queries, rows), own.tolist(), least.tolist(), strict=True):
+        use = np.flatnonzero((at != me) & (scores >= floor))
         if len(use) > k:  # all that reach the k-th score, before the exact order
             use = use[scores[use] >= np.partition(scores[use], len(use) - k)[len(use) - k]]
         order = use[np.lexsort((at[use], ids[use], -scores[use]))][:k]
@@ -139,10 +142,11 @@ def _scored(tiles: DataFrame, chunks: DataFrame, blocks: DataFrame, k: int) -> D
         def rows():
             names = ("dims", "wanted", "q_kind", "q_ids", "q_own", "q_rows", "kind", "ids", "own", "rows")
             for dims, wanted, q_kind, q_ids, q_own, q_rows, kind, ids, own, values in rows_of(batches, *names):
-                wanted = np.array(wanted)
+                least = np.array([w["least"] for w in wanted])
+                wanted = np.array([w["query"] for w in wanted])
                 asked, mine = _matrix(q_rows, dims, q_kind)[wanted], np.frombuffer(q_own, "<i8")[wanted]
                 names_, at = np.frombuffer(ids, "<i8"), np.frombuffer(own, "<i8")
-                found = best(asked, mine, names_, at, _matrix(values, dims, kind), k)
+                found = best(asked, mine, least, names_, at, _matrix(values, dims, kind), k)
                 for me, query, (places, scores) in zip(mine.tolist(), np.frombuffer(q_ids, "<i8")[wanted].tolist(), found, strict=True):
                     for p, s in zip(places.tolist(), scores.tolist(), strict=True):
                         yield me, query, s, int(names_[p]), int(at[p])
@@ -206,9 +210,10 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = SCALE)
     early, _ = stored(ordered.select("chunk", "block", "query"), "early")
 
     def tiled(wanted: DataFrame) -> DataFrame:
-        return wanted.groupBy("chunk", "block").agg(F.collect_list("query").alias("wanted"))
+        return wanted.groupBy("chunk", "block").agg(F.collect_list(F.struct("query", "least")).alias("wanted"))
 
-    first, _ = stored(_ranked(_scored(tiled(early), chunks, blocks, k), k).drop("rank"), "first")
+    lowest = F.lit(-(1 << 63))
+    first, _ = stored(_ranked(_scored(tiled(early.withColumn("least", lowest)), chunks, blocks, k), k).drop("rank"), "first")
     beat = first.groupBy("own").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
 
     # Round two: what the k-th score doesn't rule out. Queries short of k see every block.
@@ -220,8 +225,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = SCALE)
                                  for k, me in enumerate(np.frombuffer(own, "<i8").tolist())), 4096)
 
     names = numbers.mapInArrow(named, "chunk bigint, query int, own bigint")
-    limits = names.join(beat, "own", "left").select("chunk", "query", F.coalesce("least", F.lit(-(1 << 63))).alias("least"))
+    limits = names.join(beat, "own", "left").select("chunk", "query", F.coalesce("least", lowest).alias("least"))
     late = each.join(limits, ["chunk", "query"]).where(F.col("bound") >= F.col("least")).join(
-        early, ["chunk", "block", "query"], "left_anti").select("chunk", "block", "query")
+        early, ["chunk", "block", "query"], "left_anti").select("chunk", "block", "query", "least")
     found = first.union(_scored(tiled(late), chunks, blocks, k))
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
