@@ -141,6 +141,19 @@ def test_grouped_notices_equal_their_batch_form(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_silence_is_told_by_a_timer(spark, tmp_path):
+    """x falls silent and comes back, y sends until the end."""
+    at = lambda m: T0 + timedelta(minutes=m)
+    data = sorted([(at(m), "x", 1.0) for m in (*range(10), *range(50, 55))] + [(at(m), "y", 1.0) for m in range(80)])
+    s = stream_of(spark, data, SAMPLE, tmp_path / "s", 8)
+    got = rows(collect_stream(spark, alerts.silence_stream(s, "name", "ts", 300, 300, "1 minute"), "silence"))
+    want = [("x", at(9), at(19), "silent"), ("x", at(9), at(50), "back"), ("x", at(54), at(64), "silent")]
+    assert got == sorted(want, key=repr)
+    quiet = R.last_seen_rule(spark.createDataFrame(data, SAMPLE).withColumn("ts", F.col("ts").cast("timestamp_ntz")), ["name"], "ts",
+                             local_ts("2026-09-01 01:20:00"), 300, 300)
+    assert {r.name for r in quiet.collect() if r.is_firing} == {"x"}
+
+
 def test_unreadable_documents_are_kept_and_staging_is_cleared(spark, tmp_path):
     put(tmp_path / "in", "1.json", {"best_flights": [DIRECT]})
     (tmp_path / "in" / "broken.json").write_text('{"best_flights": [')

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
+from waylark.session import pinned
 
 
 def airport_cities(airport: DataFrame, city: DataFrame) -> DataFrame:
@@ -115,12 +116,18 @@ def itineraries(
     window, so the join is an equi join on (city, date) and a popular host city is
     spread over its dates; what is still uneven is split by AQE's skew join. The
     exact bounds are checked on the joined row.
+
+    Only keys, end city and end time go through that join; what is shown of a journey,
+    its legs above all, is joined to the pairs afterwards. The journeys are stored
+    before, so that they are assembled once.
     """
+    key = journeys.columns[0]
     j = journeys.filter(F.col("origin_city").isNotNull())
     if origin is not None:
         j = j.filter(S.equals_ignoring_case("origin_city", F.lit(origin)))
-    j = j.select(
-        "*", F.lower("end_city").alias("_city"), F.col("end_time").cast("date").alias("_day")
+    shown = pinned(j, "journeys")
+    j = shown.select(
+        key, "end_time", F.lower("end_city").alias("_city"), F.col("end_time").cast("date").alias("_day")
     )
     day = F.col("match_date").cast("date")
     m = matches.select(
@@ -128,11 +135,12 @@ def itineraries(
         F.lower("city").alias("_city"),
         F.explode(F.sequence(F.date_sub(day, days), day)).alias("_day"),
     )
-    return (
+    pairs = (
         j.join(m, ["_city", "_day"])
         .filter(S.arrival_window("match_date", "end_time", days, hours))
-        .drop("_city", "_day", "end_city", "end_time")
+        .select(key, "match_id", "match_date")
     )
+    return shown.drop("end_city", "end_time").join(pairs, key)
 
 
 def qualifying_keys(

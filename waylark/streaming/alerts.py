@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from waylark.operators.rules import GROUP_INTERVAL, GROUP_WAIT, REPEAT_INTERVAL, bucket_quantile
+from waylark.operators.rules import GROUP_INTERVAL, GROUP_WAIT, REPEAT_INTERVAL, SILENCE_SECONDS, bucket_quantile
 
 WATERMARK = "10 minutes"
+SECOND = 1_000_000
 
 
 def _bounds(df: DataFrame, by: list[str]) -> DataFrame:
@@ -109,11 +110,64 @@ def hold_stream(evaluated: DataFrame, hold_seconds: int) -> DataFrame:
     )
 
 
+# --- silence -----------------------------------------------------------------------
+
+SILENCE_OUTPUT = "name string, last_seen timestamp, noticed_at timestamp, kind string"
+SILENCE_STATE = "last bigint, told bigint"
+
+
+def _silence_step(quiet_us: int):
+    """Watch one series: told once when it has been quiet, and once when it is back."""
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told = state.get if state.exists else (-1, 0)
+        out = []
+        if state.hasTimedOut:
+            if not told:
+                out.append((last, last + quiet_us, "silent"))
+            state.update((int(last), 1))
+        else:
+            first = newest = None
+            for chunk in chunks:  # only the ends of a batch count, however busy the series is
+                low, high = int(chunk["at"].min()), int(chunk["at"].max())
+                first = low if first is None else min(first, low)
+                newest = high if newest is None else max(newest, high)
+            if last >= 0 and first > last + quiet_us and not told:
+                out.append((last, last + quiet_us, "silent"))
+                told = 1
+            if told and newest > last:
+                out.append((last, max(first, last), "back"))
+                told = 0
+            last = max(last, newest)
+            state.update((int(last), int(told)))
+            state.setTimeoutTimestamp(max((last + quiet_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        frame = pd.DataFrame(out, columns=["last_seen", "noticed_at", "kind"])
+        for c in ("last_seen", "noticed_at"):
+            frame[c] = pd.to_datetime(frame[c].astype("int64"), unit="us")
+        frame.insert(0, "name", str(key[0]))
+        yield frame
+
+    return step
+
+
+def silence_stream(samples: DataFrame, name: str, ts: str, silence: int = SILENCE_SECONDS, hold: int = SILENCE_SECONDS,
+                   watermark: str = WATERMARK) -> DataFrame:
+    """A row when a series has sent nothing for `silence` + `hold` seconds, another when it is back.
+
+    A timer of the event time: it fires when the watermark has passed the last sample by
+    that much. Gaps within one batch of a series are not looked for.
+    """
+    shaped = samples.withWatermark(ts, watermark).select(
+        ts, F.col(name).cast("string").alias("name"), F.unix_micros(F.col(ts)).alias("at"))
+    return shaped.groupBy("name").applyInPandasWithState(
+        _silence_step((silence + hold) * SECOND), SILENCE_OUTPUT, SILENCE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 # --- notifications -----------------------------------------------------------------
 
 NOTICE_OUTPUT = "name string, service string, episode_start timestamp, notified_at timestamp, kind string, n_alerts bigint"
 NOTICE_STATE = "start bigint, active bigint, pending bigint, due bigint, last bigint"
-SECOND = 1_000_000
 
 
 def _notice_step(wait: int, interval: int, repeat: int):
