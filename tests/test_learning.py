@@ -20,7 +20,7 @@ def noisy(spark):
 
 def test_exact_medians(noisy):
     data, df = noisy
-    got = {r.feature: r["median"] for r in O.exact_medians(df, ["a", "b"], buckets=8).collect()}
+    got = {r.feature: r["median"] for r in O.exact_medians(df, ["a", "b"]).collect()}
     assert got["a"] == pytest.approx(statistics.median([a for _, a, _ in data if a is not None]))
     assert got["b"] == statistics.median([b for *_, b in data])
 
@@ -161,3 +161,14 @@ def test_split_bucket_is_the_head_of_an_md5(spark):
     d = spark.createDataFrame([(5, None, 1), (6, "x", 0)], "a int, b string, y int")
     got = [r[0] for r in d.select(FE.split_bucket(["a", "b"], "y")).collect()]
     assert got == [int(hashlib.md5(t).hexdigest()[:8], 16) % 10_000 for t in (b"5||1|42", b"6|x|0|42")]
+
+
+def test_exact_medians_of_many_rows(spark):
+    """More rows than the sketch holds exactly, even and odd counts, ties and a column of nulls."""
+    d = spark.range(60_001).select(
+        ((F.col("id") * 7919) % 60_001).cast("double").alias("x"), F.when(F.col("id") > 0, F.col("id") % 5).alias("few"),
+        F.lit(None).cast("double").alias("none"))
+    got = {r.feature: r["median"] for r in O.exact_medians(d, ["x", "few", "none"]).collect()}
+    few = sorted(i % 5 for i in range(1, 60_001))
+    assert got == {"x": 30_000.0, "few": (few[29_999] + few[30_000]) / 2}
+    assert O.exact_medians(d.limit(0), ["x"]).count() == 0

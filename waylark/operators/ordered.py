@@ -93,19 +93,46 @@ def unpivot(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> Da
     return df.select(*(keep or []), F.inline(pairs)).filter(F.col("value").isNotNull())
 
 
-def exact_medians(df: DataFrame, cols: list[str], buckets: int | None = None) -> DataFrame:
-    """(feature, median) for several columns at once.
+# The quantiles that bracket a median, and the accuracy of the sketch: its rank error is a
+# tenth of what lies between, so the median is inside.
+BRACKET = (0.499, 0.501)
+SKETCH_ACCURACY = 10_000
 
-    Exact, like a sort in memory would give, but over counted distinct values
-    with range buckets instead of one task that holds the whole column.
+
+def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, median) for several columns at once; columns without a number have no row.
+
+    Exact, like a sort in memory would give. A first pass brackets each median by
+    approximate quantiles (two numbers per column come to the driver). A second pass
+    counts what lies below and orders only the values inside the bracket, some
+    thousandths of the rows.
     """
-    long = unpivot(df, cols)
-    counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    run = running_totals(counted, "feature", "value", ["n"], buckets=buckets)
-    low, high = F.floor((F.col("tot_n") - 1) / 2), F.floor(F.col("tot_n") / 2)
-    start = F.col("cum_n") - F.col("n")
-    hit = lambda rank: F.max(F.when((start <= rank) & (rank < F.col("cum_n")), F.col("value")))
-    return run.groupBy("feature").agg(((hit(low) + hit(high)) / 2).alias("median"))
+    numbers = df.select(*[to_number(c).alias(c) for c in cols])
+    row = numbers.agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(c, list(BRACKET), SKETCH_ACCURACY).alias(f"q{i}") for i, c in enumerate(cols)],
+    ).first()
+    found = [(c, row[f"n{i}"], *row[f"q{i}"]) for i, c in enumerate(cols) if row[f"n{i}"]]
+    totals = df.sparkSession.createDataFrame([(c, n) for c, n, *_ in found], "feature string, n_all bigint")
+    if not found:
+        return totals.select("feature", F.lit(None).cast("double").alias("median"))
+    # Values below the bracket lose their value, so each task sends one row for them.
+    parts = F.array(*[
+        F.when(F.col(c) <= high, F.struct(
+            F.lit(c).alias("feature"), F.when(F.col(c) >= low, F.col(c)).alias("value")))
+        for c, _, low, high in found
+    ])
+    counted = pinned(
+        numbers.select(F.inline(F.filter(parts, lambda p: p.isNotNull())))
+        .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), "bracket")
+    below = counted.filter("value IS NULL").select("feature", F.col("n").alias("n_below"))
+    run = running_totals(counted, "feature", "value", ["n"])
+    # One row per column on the right.
+    placed = run.join(F.broadcast(totals), "feature").join(F.broadcast(below), "feature", "left")
+    start = F.coalesce("n_below", F.lit(0)) + F.col("cum_n") - F.col("n")
+    hit = lambda rank: F.max(F.when((start <= rank) & (rank < start + F.col("n")), F.col("value")))
+    low, high = F.floor((F.col("n_all") - 1) / 2), F.floor(F.col("n_all") / 2)
+    return placed.groupBy("feature").agg(((hit(low) + hit(high)) / 2).alias("median"))
 
 
 # --- time series: previous row and running maximum ------------------------------
