@@ -83,6 +83,26 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def chosen_rows(docs: DataFrame, key: tuple[str, str], chosen: DataFrame) -> DataFrame:
+    """The rows of docs whose `row_key` of all columns is in `chosen`, each `copies` times.
+
+    chosen: the two key columns (unique), n (rows of docs with that key), copies. Rows
+    that are equal in all columns count as one here. Only keys have been kept beside
+    docs, so it is read again; its text is shuffled once by the key, or not at all if
+    Spark broadcasts the chosen keys.
+    """
+    chosen, _ = stored(chosen, "chosen")
+    keyed = docs.withColumns(dict(zip(key, row_key(*docs.columns), strict=True)))
+    n, copies = unused(keyed, "rows_of_key"), unused(keyed, "copies_of_row")
+    wanted = chosen.select(*key, F.col("n").alias(n), F.col("copies").alias(copies))
+    found = keyed.join(wanted, list(key))
+    if not chosen.where("n > 1").isEmpty():
+        found = found.where(F.col(n) == 1).unionByName(found.where(F.col(n) > 1).dropDuplicates(list(key)))
+    if not chosen.where("copies > 1").isEmpty():
+        found = found.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return found.select(*docs.columns)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The rows of all batches as tuples of the named columns."""
     for batch in batches:

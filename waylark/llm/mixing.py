@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waylark.llm.common import WORD, stored, unused, whole_text
+from waylark.llm.common import WORD, chosen_rows, row_key, stored, unused, whole_text
 
 BLOCK_WORDS = 512
 # Blocks that the smallest table is cut into at least, as long as it has as many words.
@@ -205,10 +205,15 @@ def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def mixture(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; columns as they are."""
-    row, size, times = (unused(docs, n) for n in ("row_of_docs", "words_of_text", "copies_of_row"))
-    held, _ = stored(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(size, words()), "sized")
-    chosen = mix(held, row, size, seed=seed).where("copies > 0").select(
-        F.col("row").alias(row), F.col("copies").alias(times))
-    repeated = held.join(chosen, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return repeated.select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it; columns as they are.
+
+    Rows that are equal in all columns share the copies that they get together. Columns
+    may have any type but map.
+    """
+    a, b = unused(docs, "key_of_row"), unused(docs, "second_key")
+    keys = [k.alias(n) for k, n in zip(row_key(*docs.columns), (a, b), strict=True)]
+    sized, _ = stored(docs.select(
+        "source", words().alias("size"), F.monotonically_increasing_id().alias("row"), *keys), "sized")
+    taken = sized.select("row", a, b).join(mix(sized, "row", "size", seed=seed).select("row", "copies"), "row")
+    chosen = taken.groupBy(a, b).agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("copies > 0")
+    return chosen_rows(docs, (a, b), chosen)

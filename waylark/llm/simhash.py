@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waylark.llm.common import short_batches, stored, unused
+from waylark.llm.common import chosen_rows, row_key, short_batches, stored, unused
 from waylark.llm.components import components
 
 BITS = 64
@@ -175,16 +175,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
 def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     """The rows of docs without near duplicates: of each class the one with the smallest doc_id.
 
-    Ties, such as repeated rows, leave the first one read; null ids come last. Columns
-    stay as they are, whatever other columns docs has.
+    Ties are decided by a hash of the row; null ids come last. Columns stay as they are,
+    whatever other columns docs has; any type but map will do.
     """
-    fp, row = unused(docs, "fp_of_text"), unused(docs, "row_of_docs")
-    held, _ = stored(fingerprinted(docs.withColumn(row, F.monotonically_increasing_id()), shingle, name=fp), "printed")
-    prints = held.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    a, b = unused(docs, "key_of_row"), unused(docs, "second_key")
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[
+        k.alias(n) for k, n in zip(row_key(*docs.columns), (a, b), strict=True)])
+    prints, _ = stored(fingerprinted(slim, shingle, name="fp").drop("text"), "prints")
     # One row of each fingerprint first, so that a group of copies is small before the joins.
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", a, b)
     firsts = prints.groupBy("fp").agg(F.min(order).alias("least"))
     roots = components(near_pairs(prints, bits)).withColumnRenamed("node", "fp")
     rooted = firsts.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    kept = rooted.select(F.col("least.row").alias(row))
-    return held.join(kept, row, "left_semi").select(*docs.columns)
+    kept = rooted.select(*[F.col(f"least.{k}").alias(k) for k in (a, b)], F.lit(1).alias("copies"))
+    equal = prints.groupBy(a, b).agg(F.count("*").alias("n"))
+    return chosen_rows(docs, (a, b), kept.join(equal, [a, b]))
