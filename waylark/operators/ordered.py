@@ -105,7 +105,7 @@ def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     Exact, like a sort in memory would give. A first pass brackets each median by
     approximate quantiles (two numbers per column come to the driver). A second pass
     counts what lies below and orders only the values inside the bracket, some
-    thousandths of the rows.
+    thousandths of the rows. So `df` is read twice and should be a stored table.
     """
     numbers = df.select(*[to_number(c).alias(c) for c in cols])
     row = numbers.agg(

@@ -51,7 +51,7 @@ _MEDIAN_COLS = ["distance", *FE.WEATHER_NUMBERS]
 @query("exact_medians", f"WITH {views('flights_with_weather')} " + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, median({c}) AS median FROM flights_with_weather" for c in _MEDIAN_COLS))
 def exact_medians(spark, sf):
-    return O.exact_medians(D.flights_with_weather(spark, sf), _MEDIAN_COLS)
+    return O.exact_medians(pinned(D.flights_with_weather(spark, sf).select(*_MEDIAN_COLS), "numbers"), _MEDIAN_COLS)
 
 
 # A number as text, with words, NaN and nulls among them.
