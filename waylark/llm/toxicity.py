@@ -4,14 +4,16 @@ Training counts, for each word, the different labelled texts of both classes tha
 it. The log-odds between the classes get an informative Dirichlet
 prior (pseudo-counts in proportion to the overall frequency); a word counts with the
 lower bound of its confidence interval, so chance words score nothing. A token scores
-its log-odds less a constant drift, which makes clean text drift down.
+its log-odds less a constant drift, which makes clean text drift down. How high a word
+must score to count at all is chosen on a quarter of the training texts, the probe, with
+words scored by the other three quarters.
 
 Scoring finds all maximal-scoring segments of a text in one pass. For random clean text
 the best segment follows an extreme-value law, P(best < s) = exp(-K n exp(-lambda s));
 lambda solves sum p exp(lambda s) = 1 for the clean token frequencies, K is fitted on
-the clean training texts. Segments beyond chance are significant; their normalised
+the clean texts of the probe. Segments beyond chance are significant; their normalised
 scores add up to the document's, of which the same law gives the score between 0 and 1.
-The cut between the classes, fitted on the training texts, lies at 0.5.
+The cut between the classes, fitted on the probe, lies at 0.5.
 """
 
 from __future__ import annotations
@@ -39,7 +41,9 @@ DRIFT = 0.05
 # Distinct words that a counting task holds before it hands them on.
 HELD = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
-COUNTS = "word string, clean bigint, toxic bigint"
+COUNTS = "word string, clean bigint, toxic bigint, clean_probe bigint, toxic_probe bigint"
+# Least scores of a word that are tried.
+GRADES = (0.05, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -124,7 +128,7 @@ def held_out(folds: int = 5, doc_id: str = "doc_id") -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = TRAIN_ROWS) -> DataFrame:
-    """text, toxic: the different texts of the labelled documents that are not held out.
+    """text, toxic, probe: the different texts of the labelled documents that are not held out.
 
     Ids with several labels count as toxic if one is. At most `rows` ids are used, which
     bounds the broadcast table of labels and the texts that are shuffled here.
@@ -134,85 +138,103 @@ def training_texts(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").where("text is not null")
     return texts.join(F.broadcast(known), "doc_id").groupBy(F.xxhash64("text").alias("mark")).agg(
-        F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+        F.first("text").alias("text"), F.max("toxic").alias("toxic")).select(
+        "text", "toxic", (F.pmod(F.xxhash64("mark"), F.lit(4)) == 0).alias("probe"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, clean, toxic: different texts of each class that hold the word; "" counts the texts."""
+    """word, clean, toxic: different texts of each class that hold the word, and how many
+    of them are in the probe; "" counts the texts."""
 
     def count(batches):
-        schema = pa.schema([("word", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
+        schema = pa.schema([("word", pa.string()), *[(c, pa.int64()) for c in ("clean", "toxic", "clean_probe", "toxic_probe")]])
 
         def rows():
-            sums = (Counter(), Counter())
+            sums = [Counter() for _ in range(4)]
 
             def handed():
-                for f in sums[0].keys() | sums[1].keys():
-                    yield f, sums[0][f], sums[1][f]
-                sums[0].clear()
-                sums[1].clear()
-
-            for text, toxic in rows_of(batches, "text", "toxic"):
-                sums[bool(toxic)].update({*tokens(text), ""})
-                if len(sums[0]) + len(sums[1]) > HELD:
+                for w in set().union(*sums):
+                    yield w, sums[0][w] + sums[2][w], sums[1][w] + sums[3][w], sums[2][w], sums[3][w]
+                for c in sums:
+                    c.clear()
+
+            for text, toxic, probe in rows_of(batches, "text", "toxic", "probe"):
+                sums[bool(toxic) + 2 * probe].update({*tokens(text), ""})
+                if sum(map(len, sums)) > HELD:
                     yield from handed()
             yield from handed()
 
         yield from batched(schema, rows(), 10_000)
 
-    return texts.mapInArrow(count, COUNTS).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return texts.mapInArrow(count, COUNTS).groupBy("word").agg(
+        *[F.sum(c).alias(c) for c in ("clean", "toxic", "clean_probe", "toxic_probe")])
+
+
+def _lowered(toxic: Column, clean: Column, n_toxic: float, n_clean: float) -> Column:
+    """`log_odds` of all words at once."""
+    weight, total = F.lit(PRIOR) * (toxic + clean), PRIOR * (n_toxic + n_clean)
+    a, b = toxic + weight, clean + weight
+    odds = F.log(a / (F.lit(n_toxic + total) - a)) - F.log(b / (F.lit(n_clean + total) - b))
+    return F.when(toxic > 0, odds - SURE * F.sqrt(1 / a + 1 / b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = TRAIN_ROWS) -> Model:
     """The model of the labelled documents outside the held-out fold.
 
     Without documents of both classes nothing is toxic. What comes to the driver: the
-    words with significant log-odds, bounded by the training rows, and the best
-    segments of the training texts that have any.
+    words with significant log-odds, bounded by the training rows, and for each grade
+    the numbers of probe texts by their statistic.
     """
     short_batches(docs.sparkSession)
     texts, _ = stored(training_texts(docs, labels, folds, rows), "training")
     counts, _ = stored(word_counts(texts), "words")
-    sums = counts.where("word = ''").first()
-    if sums is None or not sums.clean or not sums.toxic:
+    n = counts.where("word = ''").first()
+    if n is None or not n.clean or not n.toxic:
         return Model({})
-    n_toxic, n_clean = float(sums.toxic), float(sums.clean)
-    weight = F.lit(PRIOR) * (F.col("toxic") + F.col("clean"))
-    total = PRIOR * (n_toxic + n_clean)
-    a, b = F.col("toxic") + weight, F.col("clean") + weight
-    odds = F.log(a / (F.lit(n_toxic + total) - a)) - F.log(b / (F.lit(n_clean + total) - b))
-    lowered = odds - SURE * F.sqrt(1 / a + 1 / b)
-    kept = counts.where("word <> ''").withColumn("score", lowered).where(F.col("score") > DRIFT).collect()
-    model = Model({r.word: r.score for r in kept})
-    if not kept:
-        return model
+    rest = (F.col("toxic") - F.col("toxic_probe"), F.col("clean") - F.col("clean_probe"))
+    n_rest = (float(n.toxic - n.toxic_probe), float(n.clean - n.clean_probe))
+    kept = counts.where("word <> ''").select(
+        "word", rest[1].alias("clean"), (rest[0] + rest[1]).alias("both"),
+        F.coalesce(_lowered(F.col("toxic"), F.col("clean"), float(n.toxic), float(n.clean)), F.lit(0.0)).alias("score"),
+        (F.coalesce(_lowered(*rest, *n_rest), F.lit(0.0)) if all(n_rest) else F.lit(0.0)).alias("rest"),
+    ).where((F.col("score") > DRIFT) | (F.col("rest") > DRIFT)).collect()
+    tried = [{r.word: r.rest for r in kept if r.rest >= max(g, 2 * DRIFT)} for g in GRADES]
 
     def best(batches):
-        schema = pa.schema([("toxic", pa.int32()), ("words", pa.int64()), ("scores", pa.list_(pa.float64()))])
+        schema = pa.schema([("toxic", pa.int32()), ("words", pa.int64()), ("grade", pa.int32()), ("scores", pa.list_(pa.float64()))])
 
-        def rows():
+        def found():
+            models = [Model(t) for t in tried]
             for text, toxic in rows_of(batches, "text", "toxic"):
                 words = tokens(text)
-                yield int(bool(toxic)), len(words), [s for *_, s in maximal_segments(*model.token_scores(words))]
-
-        yield from batched(schema, rows())
-
-    seen, _ = stored(texts.mapInArrow(best, "toxic int, words bigint, scores array<double>"), "segments")
-    # Clean tokens: how many there are, and how often each word's score occurs.
-    model.rate = _rate([(r.score - DRIFT, (r.clean + PRIOR * (r.clean + r.toxic)) / (n_clean + total)) for r in kept],
-                       float(seen.where("toxic = 0").agg(F.avg("words")).first()[0] or 1.0))
-    top = F.coalesce(F.array_max("scores"), F.lit(0.0))
-    clean = seen.where("toxic = 0").agg(
-        F.sum((top > 0).cast("int")).alias("hit"),
-        F.sum(F.col("words") * F.exp(-model.rate * top)).alias("exposed")).first()
-    model.scale = max(clean.hit or 0, 0.5) / max(clean.exposed or 1.0, 1.0)
-    base = F.log(F.lit(model.scale) * F.greatest(F.lit(1), F.col("words")))
-    x = F.aggregate(F.transform("scores", lambda s: F.greatest(F.lit(0.0), model.rate * s - base)), F.lit(0.0), lambda p, q: p + q)
+                for grade, model in enumerate(models):
+                    yield int(bool(toxic)), len(words), grade, [s for *_, s in maximal_segments(*model.token_scores(words))]
+
+        yield from batched(schema, found(), 2_000)
+
+    seen, _ = stored(texts.where("probe").select("text", "toxic").mapInArrow(
+        best, "toxic int, words bigint, grade int, scores array<double>"), "segments")
+    length = float(seen.where("toxic = 0").agg(F.avg("words")).first()[0] or 1.0)
+    total = PRIOR * sum(n_rest)
+    rates = [_rate([(r.rest - DRIFT, (r.clean + PRIOR * r.both) / (n_rest[1] + total)) for r in kept if r.word in t], length)
+             for t in tried]
+    at = F.col("grade") + 1
+    rate, top = F.element_at(F.array(*map(F.lit, rates)), at), F.coalesce(F.array_max("scores"), F.lit(0.0))
+    scales = [1e-3] * len(GRADES)
+    for r in seen.where("toxic = 0").groupBy("grade").agg(
+            F.sum((top > 0).cast("int")).alias("hit"), F.sum(F.col("words") * F.exp(-rate * top)).alias("exposed")).collect():
+        scales[r.grade] = max(r.hit or 0, 0.5) / max(r.exposed or 1.0, 1.0)
+    base = F.log(F.element_at(F.array(*map(F.lit, scales)), at) * F.greatest(F.lit(1), F.col("words")))
+    x = F.aggregate(F.transform("scores", lambda s: F.greatest(F.lit(0.0), rate * s - base)), F.lit(0.0), lambda p, q: p + q)
     # How many texts of both classes lie in each twentieth of the statistic.
-    cells = seen.select("toxic", F.least(F.lit(4000), F.ceil(x * 20)).alias("cell")).groupBy("cell").agg(
-        F.sum("toxic").alias("toxic"), F.count("*").alias("n")).orderBy("cell").collect()
-    model.cut = _cut([(r.cell / 20, r.n - r.toxic, r.toxic) for r in cells])
-    return model
+    cells = seen.select("grade", "toxic", F.least(F.lit(4000), F.ceil(x * 20)).alias("cell")).groupBy("grade", "cell").agg(
+        F.sum("toxic").alias("toxic"), F.count("*").alias("n")).orderBy("grade", "cell").collect()
+    cuts = [_cut([(r.cell / 20, r.n - r.toxic, r.toxic) for r in cells if r.grade == g]) for g in range(len(GRADES))]
+    # The fewest texts on the wrong side; of equally good grades the middle one.
+    fewest = min(wrong for wrong, _ in cuts)
+    good = [g for g, (wrong, _) in enumerate(cuts) if wrong == fewest]
+    g = good[len(good) // 2]
+    return Model({r.word: r.score for r in kept if r.score >= max(GRADES[g], 2 * DRIFT)}, rates[g], scales[g], cuts[g][1])
 
 
 def _rate(scores: list[tuple[float, float]], words: float) -> float:
@@ -231,8 +253,8 @@ def _rate(scores: list[tuple[float, float]], words: float) -> float:
     return low
 
 
-def _cut(cells: list[tuple[float, int, int]]) -> float:
-    """The value with the fewest texts on the wrong side, in the middle of equally good ones."""
+def _cut(cells: list[tuple[float, int, int]]) -> tuple[int, float]:
+    """The fewest texts on the wrong side of a value, and that value, in the middle of equally good ones."""
     wrong = sum(t for x, _, t in cells if x <= 0) + sum(c for x, c, _ in cells if x > 0)
     best, found, values = wrong, [0.0], [x for x, _, _ in cells if x > 0]
     for k, (x, clean, toxic) in enumerate(c for c in cells if c[0] > 0):
@@ -242,7 +264,7 @@ def _cut(cells: list[tuple[float, int, int]]) -> float:
             best, found = wrong, [x, after]
         elif wrong == best:
             found.append(after)
-    return (found[0] + found[-1]) / 2
+    return best, (found[0] + found[-1]) / 2
 
 
 def scored(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
