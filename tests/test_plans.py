@@ -55,3 +55,21 @@ def test_journey_keys_are_made_below_the_explode(spark):
 def test_rules_read_the_events_once(spark):
     for name in ("threshold_hold", "changes_in_window", "counter_rate"):
         assert "events.parquet" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_entry_works_without_the_training_data_operators(monkeypatch):
+    """The subpackage is optional; an error inside it is not hidden."""
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "waylark.llm", None)
+    for name in [m for m in sys.modules if m.startswith("waylark.llm.")]:
+        monkeypatch.delitem(sys.modules, name)
+    try:
+        bare = importlib.reload(entry)
+        assert bare.llm is None and set(bare.queries()) == set(catalog.QUERIES) and set(bare.oracle_sql()) == set(catalog.ORACLES)
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
