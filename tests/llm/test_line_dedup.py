@@ -59,3 +59,13 @@ def test_ratio_is_exceeded_strictly(spark, ratio, kept):
     rows = [(k, f"m\nx{k}" if k < 5 else f"y{k}", "s") for k in range(10)]
     out = line_dedup.without_boilerplate(spark.createDataFrame(rows, DOCS), ratio=ratio)
     assert {r.doc_id: r.text for r in out.collect()}[0] == kept
+
+
+@pytest.mark.parametrize("n", range(5, 16))
+def test_small_sites_keep_what_few_pages_have(spark, n):
+    """One page of nine is more than a tenth, and so are two of fifteen."""
+    rows = [(k, f"own {k}\npair {k // 2}\n{'few' if k < 4 else 'rest'}\nmenu", "s") for k in range(n)]
+    out = line_dedup.without_boilerplate(spark.createDataFrame(rows, DOCS))
+    common = {"menu", "rest"} if n - 4 >= line_dedup.LEAST_PAGES else {"menu"}
+    want = {k: "\n".join(x for x in t.split("\n") if x not in common) for k, t, _ in rows}
+    assert {r.doc_id: r.text for r in out.collect()} == want

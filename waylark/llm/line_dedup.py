@@ -2,8 +2,9 @@
 
 For every site (host) a line's frequency is the number of its different pages that
 contain the line, divided by the site's number of different pages. Lines that exceed a
-ratio are boilerplate and are dropped from all pages of that site. Copies of a page
-count once, so a page does not become boilerplate by being copied.
+ratio and are on several different pages are boilerplate and are dropped from all pages
+of that site. Copies of a page count once, so a page does not become boilerplate by being
+copied.
 
 All of it is DataFrame functions. Counting shuffles 128-bit marks of lines, no text. A
 site has fewer boilerplate lines than its mean lines per page divided by the ratio, so
@@ -19,7 +20,8 @@ from waylark.llm.common import stored, unused, whole_text
 
 # A line on more than a tenth of a site's pages is boilerplate.
 RATIO = 0.1
-# Fewer pages than this say nothing about a site.
+# A line on fewer different pages than this is no boilerplate, whatever the ratio: on a site
+# of nine pages a line of one page exceeds a tenth. It binds below forty pages.
 LEAST_PAGES = 5
 _BLANK = " \t\r\x0b\f"
 
@@ -39,17 +41,17 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """site, marks: the lines of each site that exceed the ratio; sites without any are left out.
 
     Null texts count as empty pages; a null host is a site like any other. Lines of
-    white space alone are never boilerplate. Sites with fewer than `least_pages`
-    different pages keep all lines.
+    white space alone are never boilerplate, nor are lines on fewer than `least_pages`
+    different pages.
     """
     pages = docs.select(_site(host).alias("site"), whole_text(text).alias("text")).select(
         "site", _mark(F.col("text")).alias("page"), "text")
-    totals = pages.groupBy("site").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= least_pages)
+    totals = pages.groupBy("site").agg(F.countDistinct("page").alias("pages"))
     lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line, F.lit(_BLANK)) != "")
     counts = (
         pages.select("site", "page", F.explode(F.array_distinct(F.transform(lines, _mark))).alias("mark"))
         .groupBy("site", "mark").agg(F.countDistinct("page").alias("found"))
-        .where(F.col("found") > ratio * least_pages)
+        .where(F.col("found") >= least_pages)
     )
     return counts.join(totals, "site").where(F.col("found") / F.col("pages") > ratio).groupBy("site").agg(
         F.collect_list("mark").alias("marks"))
