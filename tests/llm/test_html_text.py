@@ -36,6 +36,28 @@ def test_blocks(html, text):
     assert text_of(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<body class='right-sidebar'><article><p>in</p></article></body>", "in"),
+    ("<html class='has-navbar'><body id=search><p>in</p></body></html>", "in"),
+    ("<div class='layout has-navbar'><article><p>in</p></article></div>", "in"),
+    ("<div class='page sidebar-left'><nav>n</nav><main><p>in</p></main></div>", "in"),
+    ("<form id=f><nav>n</nav><article><p>in</p></article></form>", "in"),
+    ("<form id=f><nav>n</nav><p>in</p><div class=menu>m</div></form>", "in"),
+    ("<main><form><article><p>in</p></article></form></main>", "in"),
+    ("<div class='sidebar'><main><p>in</p></main></div>", "in"),
+    ("<div class='c-sidebar'><article><p>in</p></article><div class='related-posts'><article>no</article></div></div>", "in"),
+    ("<article><p>in</p></article><div class='related-posts'><article>no</article></div>", "in"),
+    ("<div id=content><p>the text of the page</p></div><div class='related-posts'><article>no</article></div>", "the text of the page"),
+    ("<div class=sidebar><article>no</article></div><p>in</p>", "in"),
+    ("<aside><article>no</article></aside><nav><main>no</main></nav><p>in</p>", "in"),
+    ("<article><section id='related-work'><h2 id='social-impact'>a</h2><div id='search-algorithms'>b</div></section></article>", "a\nb"),
+    ("<article><h2 id='search'>a</h2><p data-id='ad' data-class=menu>b</p><div class='x social share'>no</div></article>", "a\nb"),
+    ("<article><p>in</p><form>no</form><div class=comments><article>no</article></div></article>", "in"),
+])
+def test_wrappers_and_names_made_from_headings(html, text):
+    assert text_of(html) == text
+
+
 def test_pages_without_landmarks_lose_what_the_nearest_has():
     one = "<body><div>Site name</div><div>Only here</div><p>Shared tail</p></body>"
     two = "<body><div>Site name</div><p>Other text</p><p>Shared tail</p></body>"

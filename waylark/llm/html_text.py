@@ -7,7 +7,9 @@ common subsequence of their lines, and shared lines are taken for the site's fur
 Differencing alone can't give right results: menus and adverts that change from page to
 page are not shared, and passages that articles repeat are. So what the markup says goes
 first. Lines in menus, headers, footers, sidebars, forms, comments and the like are
-never text, whether shared or not; lines of an article stay, whether shared or not.
+never text, whether shared or not; lines of an article stay, whether shared or not. What
+only wraps an article (html, body, a form or a division with such a name around it) does
+not make it furniture.
 Differencing decides about the lines for which the markup says nothing, on pages
 without an article or main element.
 """
@@ -54,30 +56,75 @@ _SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"table
 _PART = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)""", re.S)
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARKS = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+# How sure it is that an element is furniture. A loose one, a form or a name with such a word
+# in it, may be a wrapper of the page. A named one has a name of such words alone.
+LOOSE, NAMED, SURE = 1, 2, 3
+_STATES = frozenset("has hide no show with without".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """0 or how sure it is that an element is furniture, by itself."""
+    if tag == "form":
+        return LOOSE
     if tag in NEVER or (tag == "header" and not in_article):
-        return True
-    if not attributes.strip():
-        return False
+        return SURE
+    if not attributes.strip() or tag in ("html", "body"):
+        return 0
     if _HIDDEN.search(attributes):
-        return True
-    names = {n for m in _MARKS.finditer(attributes) for n in _NAME.findall((m[1] or m[2] or m[3] or "").lower())}
+        return SURE
+    if tag == "main":
+        return 0
     # The heading of an article may well be called its header.
-    return not names.isdisjoint(FURNITURE - {"header", "banner"} if in_article else FURNITURE)
+    known = FURNITURE - {"header", "banner"} if in_article else FURNITURE
+    found = 0
+    for m in _MARKS.finditer(attributes):
+        if in_article and tag in _HEADINGS and m[1].lower() == "id":
+            continue  # made from what it says
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = _NAME.findall(name)
+            if words and known.issuperset(words):
+                return NAMED
+            if not in_article and words and words[0] not in _STATES and not known.isdisjoint(words):
+                found = LOOSE
+    return found
 
 
 class _Open:
-    """An open element; a silent one is furniture within a line, which it doesn't break."""
+    """An open element; a silent one is furniture within a line, which it doesn't break.
+    wraps: loose furniture around the outermost article, or around the element if in none."""
+
+    __slots__ = ("tag", "furniture", "landmark", "silent", "wraps")
 
-    __slots__ = ("tag", "furniture", "landmark", "silent")
+    def __init__(self, tag: str, furniture: int, landmark: bool, silent: bool = False, wraps: int = 0):
+        self.tag, self.furniture, self.landmark, self.silent, self.wraps = tag, furniture, landmark, silent, wraps
 
-    def __init__(self, tag: str, furniture: bool, landmark: bool, silent: bool = False):
-        self.tag, self.furniture, self.landmark, self.silent = tag, furniture, landmark, silent
+
+def _judged(found: list[tuple[str, int, bool, int]]) -> list[tuple[str, bool, bool]]:
+    """The lines with loose furniture decided by the whole page.
+
+    Of the articles those in the fewest wrappers count, so teasers below an article are
+    none. If all are in wrappers, and there is more text outside, they are teasers too.
+    Without an article, and without a line outside of wrappers, the wrappers don't count.
+    """
+    least = min((wraps for _, _, landmark, wraps in found if landmark), default=None)
+    if least:
+        inside = sum(len(text) for text, _, landmark, wraps in found if landmark and wraps == least)
+        if sum(len(text) for text, furniture, landmark, _ in found if not furniture and not landmark) > inside:
+            least = -1
+    bound = LOOSE if least is None and all(furniture for _, furniture, _, _ in found) else 0
+    out = []
+    for text, furniture, landmark, wraps in found:
+        if landmark:
+            out.append((text, wraps != least, wraps == least))
+        else:
+            out.append((text, furniture > bound, False))
+    return out
 
 
 def lines(html: str | None) -> list[tuple[str, bool, bool]]:
@@ -88,7 +135,7 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
     skipped, open elements end with those around them, or with the page.
     """
     stack: list[_Open] = []
-    found: list[tuple[str, bool, bool]] = []
+    found: list[tuple[str, int, bool, int]] = []
     words: list[str] = []
     html, at = html or "", 0
 
@@ -98,7 +145,7 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
             words.clear()
             if text:
                 top = stack[-1] if stack else None
-                found.append((text, bool(top and top.furniture), bool(top and top.landmark)))
+                found.append((text, top.furniture, top.landmark, top.wraps) if top else (text, 0, False, 0))
 
     def close_to(k: int) -> None:
         while len(stack) > k:
@@ -138,8 +185,12 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
                     break
                 if stack[k].tag in _SCOPES[tag]:
                     break
-        top = stack[-1] if stack else _Open("", False, False)
-        furniture = top.furniture or _is_furniture(tag, attributes, top.landmark or tag in LANDMARKS)
+        top = stack[-1] if stack else _Open("", 0, False)
+        own = _furniture(tag, attributes, top.landmark or tag in LANDMARKS)
+        # An article resets what only wraps it, and main what has such a name, too.
+        resets = {"article": LOOSE, "main": NAMED}.get(tag, 0)
+        furniture = max(top.furniture if top.furniture > resets else 0, own)
+        wraps = 0 if tag == "main" and not top.landmark else top.wraps + (own == LOOSE and not top.landmark)
         if tag in BLOCKS:
             close_line()
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS:
@@ -151,10 +202,10 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
             at = end.end()
             continue
         silent = furniture and tag not in BLOCKS and (top.silent or not top.furniture)
-        stack.append(_Open(tag, furniture, (top.landmark or tag in LANDMARKS) and not furniture, silent))
+        stack.append(_Open(tag, furniture, (top.landmark or tag in LANDMARKS) and not furniture, silent, wraps))
     close_to(0)
     close_line()
-    return found
+    return _judged(found)
 
 
 def shared(one: list[str], other: list[str]) -> set[int]:
