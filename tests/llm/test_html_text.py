@@ -116,3 +116,16 @@ def test_repeated_and_no_rows(spark):
     got = html_text.extracted(spark.createDataFrame(rows, PAGES)).collect()
     assert sorted(r.page_id for r in got) == [1, 1, 1, 2]
     assert html_text.extracted(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_copies_are_no_neighbours(spark):
+    """Copies keep their text, however many they are and wherever the ranges end."""
+    page = lambda text: f"<div>menu</div><p>{text}</p><script>{random.random()}</script>"
+    rows = [(k, f"https://a.example/{k // 7}?q={k}", page("copied")) for k in range(200)]
+    rows += [(500, "https://a.example/00", page("first")), (501, "https://a.example/999", page("last"))]
+    rows += [(600 + k, "https://b.example/x", page("one")) for k in range(3)] + [(700, "https://b.example/y", page("two"))]
+    rows += [(800, "https://c.example/", "<p>only</p>"), (801, "https://c.example/", "<p>only</p>")]
+    got = {r.page_id: (r.text, r.deleted) for r in html_text.extracted(spark.createDataFrame(rows, PAGES).repartition(5)).collect()}
+    want = dict.fromkeys(range(200), ("copied", 1)) | {500: ("first", 1), 501: ("last", 1), 700: ("two", 1)}
+    want |= dict.fromkeys((600, 601, 602), ("one", 1)) | dict.fromkeys((800, 801), ("only", 0))
+    assert got == want

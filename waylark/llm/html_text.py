@@ -3,6 +3,7 @@
 A page is cut into lines, one per block element. Pages are ordered by host and URL path;
 each is aligned with the neighbour on its host whose path is nearest, by the longest
 common subsequence of their lines, and shared lines are taken for the site's furniture.
+Pages with the same lines are copies and no neighbours of each other.
 
 Differencing alone can't give right results: menus and adverts that change from page to
 page are not shared, and passages that articles repeat are. So what the markup says goes
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 from urllib.parse import urlsplit
 
@@ -208,6 +210,10 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
     return _judged(found)
 
 
+def _texts(found: list[tuple[str, bool, bool]]) -> list[str]:
+    return [text for text, _, _ in found]
+
+
 def shared(one: list[str], other: list[str]) -> set[int]:
     """Positions of the lines of `one` in a longest common subsequence with `other`.
 
@@ -247,7 +253,7 @@ def main_text(own: list[tuple[str, bool, bool]], nearest: list[tuple[str, bool,
     if any(landmark for _, _, landmark in own):
         kept = [text for text, furniture, landmark in own if landmark and not furniture]
         return "\n".join(kept), 0
-    common = shared([o[0] for o in own], [o[0] for o in nearest]) if nearest else set()
+    common = shared(_texts(own), _texts(nearest)) if nearest else set()
     open_lines = [(k, text) for k, (text, furniture, _) in enumerate(own) if not furniture]
     kept = [text for k, text in open_lines if k not in common]
     return "\n".join(kept), len(open_lines) - len(kept)
@@ -274,9 +280,11 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     deleted: lines that differencing has cut. Pages are in the order of host and path,
     then of url, page_id and html; nearest is the page before or after on the same host
-    with the longer common path, the one after if equal. A page alone on its host has
-    none. A null html has an empty text; copies of a page, and pages with equal URLs, are
-    rows of their own. Each html is shuffled once; a task holds three pages at a time.
+    with the longer common path, the one after if equal, where pages with the same lines
+    are passed over. A page without another on its host has none. A null html has an
+    empty text; copies of a page, and pages with equal URLs, are rows of their own. Each
+    html is shuffled once; a task holds three pages at a time, and of a run of copies the
+    ids and URLs.
     """
     spark = pages.sparkSession
     short_batches(spark)
@@ -289,33 +297,45 @@ def extracted(pages: DataFrame) -> DataFrame:
     slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").withColumn("parts", parts("url")).select(
         "page_id", "url", "html", F.col("parts.host").alias("host"), F.col("parts.path").alias("path"))
     slim = slim.withColumn("mark", F.xxhash64("html"))
-    ordered, place, role = in_ranges(slim, ["host", "path"], ["url", "page_id", "mark", "html"])
+
+    @F.arrow_udf("bigint")
+    def content(htmls: pa.Array) -> pa.Array:
+        marks = [blake2b("\n".join(_texts(lines(h))).encode("utf-8", "surrogatepass"), digest_size=8).digest() for h in htmls.to_pylist()]
+        return pa.array([int.from_bytes(m, "big", signed=True) for m in marks], pa.int64())
+
+    ordered, place, role = in_ranges(slim, ["host", "path", "url", "page_id", "mark"], ["html"], content("html"))
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()),
                      ("deleted", pa.int64())])
 
-    def result(before, own, after) -> tuple:
-        page_id, url, _, path, found, _, _ = own
-        near = [n for n in (before, after) if n is not None and n[2] == own[2]]
-        near.sort(key=lambda n: (-_common_prefix(path, n[3]), n is before))
-        text, deleted = main_text(found, near[0][4] if near else None)
-        return page_id, url, text, len(text), deleted
+    def results(before, run, after) -> Iterator[tuple]:
+        """The rows of a run of copies on a host; before and after: (path, lines) or none."""
+        texts: dict[bool, tuple[list, tuple[str, int]]] = {}
+        for page_id, url, path, found, how in run:
+            if how != 0:
+                continue
+            near = [n for n in (before, after) if n is not None]
+            near.sort(key=lambda n: (-_common_prefix(path, n[0]), n is before))
+            side = bool(near) and near[0] is before
+            if side not in texts or texts[side][0] is not found:
+                texts[side] = found, main_text(found, near[0][1] if near else None)
+            text, deleted = texts[side][1]
+            yield page_id, url, text, len(text), deleted
 
     def extract(batches):
         def rows() -> Iterator[tuple]:
-            before = own = None
+            before, run, at = None, [], None
             for page_id, url, host, path, html, k, how in rows_of(batches, "page_id", "url", "host", "path", "html", place, role):
                 if how == 2:
                     continue
-                row = (page_id, url, host, path, lines(html), k, how)
-                if own is not None and own[5] != k:
-                    if own[6] == 0:
-                        yield result(before, own, None)
-                    before = own = None
-                if own is not None and own[6] == 0:
-                    yield result(before, own, row)
-                before, own = own, row
-            if own is not None and own[6] == 0:
-                yield result(before, own, None)
+                found = lines(html)
+                if run and at == (k, host) and _texts(found) == _texts(run[0][3]):
+                    run.append((page_id, url, path, run[-1][3] if found == run[-1][3] else found, how))
+                    continue
+                same = at == (k, host)
+                yield from results(before, run, (path, found) if same else None)
+                before = (run[-1][2], run[-1][3]) if same else None
+                run, at = [(page_id, url, path, found, how)], (k, host)
+            yield from results(before, run, None)
 
         yield from batched(out, rows())
 
