@@ -44,6 +44,18 @@ def test_likeness():
     assert merkle.likeness(f(a), f(moved)) > 0.8
 
 
+def test_edits_in_one_line_and_an_inserted_paragraph():
+    rng = random.Random(9)
+    words = [f"word{rng.randint(0, 10**6)}{rng.choice(['', '', '', '.'])}" for _ in range(1000)]
+    changed = list(words)
+    changed[50], changed[950] = "abc.", "xyz."
+    f = merkle.fingerprint
+    assert merkle.likeness(f(" ".join(words)), f(" ".join(changed))) > 0.9
+    paragraphs = [" ".join(words[k: k + 100]) for k in range(0, 1000, 100)]
+    edits = ["A new one in front.", *(p.replace(p.split()[50], "Changed.") for p in paragraphs)]
+    assert merkle.likeness(f("\n".join(paragraphs)), f("\n".join(edits))) > 0.8
+
+
 def test_differing_paragraphs():
     paragraphs = [f"Paragraph number {k} says a thing." for k in range(40)]
     changed = list(paragraphs)

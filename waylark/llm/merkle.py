@@ -78,25 +78,23 @@ def _weight(leaves: str) -> int:
     return sum(bytes.fromhex(leaves)[LEAF // 2 - 1:: LEAF // 2])
 
 
-def _shared_ends(a: str, b: str) -> int:
-    """Characters of the leaves that two paragraphs share at their beginnings and ends."""
-    a, b = ([p[k: k + LEAF] for k in range(0, len(p), LEAF)] for p in (a, b))
-    least = min(len(a), len(b))
-    head = 0
-    while head < least and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < least - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    return sum(int(leaf[4:], 16) for leaf in a[:head] + a[len(a) - tail:])
+def _pairs(paragraphs: list[str]) -> Counter[tuple[str, str]]:
+    """Neighbouring leaves of all paragraphs; the ends of a paragraph are empty leaves."""
+    found: Counter[tuple[str, str]] = Counter()
+    for p in paragraphs:
+        leaves = ["", *(p[k: k + LEAF] for k in range(0, len(p), LEAF)), ""]
+        found.update(zip(leaves, leaves[1:]))
+    return found
 
 
 def likeness(one: str, other: str) -> float:
     """How alike two documents are by their fingerprints, 0 to 1; 1 for equal roots alone.
 
     Branches are compared from the root down: equal sections, then equal paragraphs of
-    the sections left, then, in order, the ends of the paragraphs left. The result is the
-    length of what is shared, doubled, by the length of both.
+    the sections left, then equal pairs of neighbouring leaves of the paragraphs left,
+    wherever they are; each leaf counts by half with either neighbour, since short leaves
+    alone agree by chance. The result is the length of what is shared, doubled, by the
+    length of both.
     """
     root, _, tree_a = one.partition(":")
     other_root, _, tree_b = other.partition(":")
@@ -120,7 +118,8 @@ def likeness(one: str, other: str) -> float:
                     kept.append(k)
             rest.append(kept)
         left, right = rest
-    shared += sum(_shared_ends(a, b) for a, b in zip(left, right))
+    same = _pairs(left) & _pairs(right)
+    shared += sum((int(a[LEAF - 2:] or "0", 16) + int(b[LEAF - 2:] or "0", 16)) * n for (a, b), n in same.items()) / 2
     total = sum(_weight(t.replace("/", "").replace(",", "")) for t in (tree_a, tree_b))
     # Short marks may agree by chance where the roots do not.
     return min(2 * shared / total, 0.999999) if total else 0.0
