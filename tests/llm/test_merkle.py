@@ -115,3 +115,14 @@ def test_ranges_show_each_row_its_neighbours(spark):
         at = order.index(seen[0])
         assert order[at: at + len(seen)] == seen
     assert [k for k, how in by_place[max(by_place)] if how == 2][0] == order[0]
+
+
+def test_a_hot_id_spans_ranges(spark, monkeypatch):
+    """Rows of one doc_id are dealt to several ranges, and few of them to two."""
+    laid_out = []
+    monkeypatch.setattr(merkle, "in_ranges", lambda *a: laid_out.append(in_ranges(*a)) or laid_out[-1])
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(400)], DOCS).repartition(5)
+    assert merkle.with_edits(docs).count() == 400
+    laid, place, role = laid_out[0]
+    assert laid.where(F.col(role) == 0).select(place).distinct().count() > 4
+    assert laid.where(F.col(role) != 0).count() < 100

@@ -158,7 +158,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     short_batches(spark)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).withColumn(
         "mark", F.xxhash64("text"))
-    ordered, place, role = in_ranges(slim, ["doc_id"], ["mark", "text"])
+    ordered, place, role = in_ranges(slim, ["doc_id", "mark"], ["text"])
     columns = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
                ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
     kinds = ["bigint", "bigint", "string", "string", "string", "double", "double"]
