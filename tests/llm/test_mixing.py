@@ -106,3 +106,11 @@ def test_nothing(spark):
     assert mixing.mixed(empty).count() == mixing.mixture(empty).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], DOCS)
     assert [(r.taken, r.target) for r in mixing.mixed(blank).collect()] == [(0, 0.0)] * 2
+
+
+@pytest.mark.parametrize("shard", [1 << 16, 16])
+def test_files_and_partitions_do_not_matter(spark, monkeypatch, shard):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", shard)
+    docs = spark.createDataFrame(source_rows(), DOCS)
+    results = [sorted(map(tuple, mixing.mixed(d).collect()), key=repr) for d in (docs.coalesce(1), docs.repartition(7))]
+    assert results[0] == results[1]

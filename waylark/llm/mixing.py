@@ -151,15 +151,18 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def mix(sized: DataFrame, row: str, size: str, source: str = "source", seed: int = 42,
+def mix(sized: DataFrame, row: str, size: str, mark: str, tie: str, source: str = "source", seed: int = 42,
         weights: dict[str | None, float] | None = None) -> DataFrame:
-    """row, source_size, target, copies for each row of `sized`, a stored table of row (unique), size, source.
+    """row, source_size, target, copies for each row of `sized`, a stored table of row (unique), size, mark, tie, source.
 
+    Order and shards follow from the seed and mark, a hash of what the row holds, and
+    among equal ones from tie, another; the number of the row decides only among rows
+    equal in both. So the same rows are taken however they lie in files and partitions.
     Sources by code point, null last, weigh 1, 2, 3, repeating, if no weights are
     given. A table without words, or without rows, takes nothing.
     """
     spark = sized.sparkSession
-    slim = sized.select(F.col(row).alias("row"), F.col(size).alias("size"), _named(source).alias("name"))
+    slim = sized.select(F.col(row).alias("row"), F.col(size).alias("size"), F.col(mark).alias("mark"), F.col(tie).alias("tie"), _named(source).alias("name"))
     sums = slim.groupBy("name").agg(F.count("*").alias("docs"), F.sum("size").alias("size")).collect()
     sums.sort(key=lambda r: (r.name == "-", r.name))
     own = [weights[None if r.name == "-" else r.name[1:]] if weights else 1 + k % 3 for k, r in enumerate(sums)]
@@ -170,7 +173,7 @@ def mix(sized: DataFrame, row: str, size: str, source: str = "source", seed: int
     plan = _small(spark.createDataFrame(
         [(r.name, r.size, t, -(-r.docs // SHARD_DOCS)) for r, t in zip(sums, wanted, strict=True)],
         "name string, source_size bigint, target double, shards int"), len(sums))
-    dealt = slim.join(plan, "name").withColumn("order", F.xxhash64(F.lit(seed), "row")).withColumn(
+    dealt = slim.join(plan, "name").withColumn("order", F.xxhash64(F.lit(seed), "mark")).withColumn(
         "shard", F.pmod("order", "shards"))
     parts: dict[str, list[tuple[int, int]]] = {}
     for r in dealt.groupBy("name", "shard").agg(F.sum("size").alias("size")).orderBy("name", "shard").collect():
@@ -184,7 +187,7 @@ def mix(sized: DataFrame, row: str, size: str, source: str = "source", seed: int
         _small(spark.createDataFrame(quotas, "name string, shard bigint, quota bigint"), len(quotas)), ["name", "shard"])
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "row"])
+        rows = rows.sort_values(["order", "mark", "tie", "row"])
         rows["copies"] = copies(rows["size"].tolist(), int(rows["quota"].iloc[0]), block)
         return rows[["row", "source_size", "target", "copies"]]
 
@@ -192,6 +195,10 @@ def mix(sized: DataFrame, row: str, size: str, source: str = "source", seed: int
         choose, "row bigint, source_size bigint, target double, copies int")
 
 
+def _mark(docs: DataFrame) -> Column:
+    return row_key(*[c for c in ("doc_id", "text", "source") if c in docs.columns])[0]
+
+
 def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, copies for every row of docs (doc_id, text, source).
 
@@ -199,8 +206,8 @@ def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
     """
     sized, _ = stored(docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "source", words().alias("size"),
-        F.monotonically_increasing_id().alias("row")), "sized")
-    return sized.join(mix(sized, "row", "size", seed=seed), "row").select(
+        _mark(docs).alias("mark"), F.monotonically_increasing_id().alias("row")), "sized")
+    return sized.join(mix(sized, "row", "size", "mark", "mark", seed=seed), "row").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
@@ -210,10 +217,10 @@ def mixture(docs: DataFrame, seed: int = 42) -> DataFrame:
     Rows that are equal in all columns share the copies that they get together. Columns
     may have any type but map.
     """
-    a, b = unused(docs, "key_of_row"), unused(docs, "second_key")
+    a, b, mark = (unused(docs, n) for n in ("key_of_row", "second_key", "mark_of_row"))
     keys = [k.alias(n) for k, n in zip(row_key(*docs.columns), (a, b), strict=True)]
     sized, _ = stored(docs.select(
-        "source", words().alias("size"), F.monotonically_increasing_id().alias("row"), *keys), "sized")
-    taken = sized.select("row", a, b).join(mix(sized, "row", "size", seed=seed).select("row", "copies"), "row")
+        "source", words().alias("size"), _mark(docs).alias(mark), F.monotonically_increasing_id().alias("row"), *keys), "sized")
+    taken = sized.select("row", a, b).join(mix(sized, "row", "size", mark, a, seed=seed).select("row", "copies"), "row")
     chosen = taken.groupBy(a, b).agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("copies > 0")
     return chosen_rows(docs, (a, b), chosen)
