@@ -154,6 +154,15 @@ def test_silence_is_told_by_a_timer(spark, tmp_path):
     assert {r.name for r in quiet.collect() if r.is_firing} == {"x"}
 
 
+def test_silence_within_one_batch(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    data = [(at(m), "x", 1.0) for m in (*range(10), *range(50, 55), *range(70, 200))]
+    s = stream_of(spark, data, SAMPLE, tmp_path / "s", 1)
+    got = rows(collect_stream(spark, alerts.silence_stream(s, "name", "ts", 300, 300, "1 minute"), "one_batch"))
+    want = [("x", at(9), at(19), "silent"), ("x", at(9), at(50), "back"), ("x", at(54), at(64), "silent"), ("x", at(54), at(70), "back")]
+    assert got == sorted(want, key=repr)
+
+
 def test_unreadable_documents_are_kept_and_staging_is_cleared(spark, tmp_path):
     put(tmp_path / "in", "1.json", {"best_flights": [DIRECT]})
     (tmp_path / "in" / "broken.json").write_text('{"best_flights": [')

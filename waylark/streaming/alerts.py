@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +117,21 @@ SILENCE_OUTPUT = "name string, last_seen timestamp, noticed_at timestamp, kind s
 SILENCE_STATE = "last bigint, told bigint"
 
 
+def _joined(spans: list[tuple[int, int]], at: np.ndarray, quiet_us: int) -> list[tuple[int, int]]:
+    """Spans (first, last) of samples that are no further apart, with more samples, sorted."""
+    if not len(at):
+        return spans
+    cuts = np.flatnonzero(np.diff(at) > quiet_us)
+    more = zip(at[[0, *(cuts + 1)]].tolist(), at[[*cuts, len(at) - 1]].tolist(), strict=True)
+    out: list[tuple[int, int]] = []
+    for low, high in sorted([*spans, *more]):
+        if out and low <= out[-1][1] + quiet_us:
+            out[-1] = out[-1][0], max(out[-1][1], high)
+        else:
+            out.append((low, high))
+    return out
+
+
 def _silence_step(quiet_us: int):
     """Watch one series: told once when it has been quiet, and once when it is back."""
 
@@ -127,18 +143,18 @@ def _silence_step(quiet_us: int):
                 out.append((last, last + quiet_us, "silent"))
             state.update((int(last), 1))
         else:
-            first = newest = None
-            for chunk in chunks:  # only the ends of a batch count, however busy the series is
-                low, high = int(chunk["at"].min()), int(chunk["at"].max())
-                first = low if first is None else min(first, low)
-                newest = high if newest is None else max(newest, high)
-            if last >= 0 and first > last + quiet_us and not told:
-                out.append((last, last + quiet_us, "silent"))
-                told = 1
-            if told and newest > last:
-                out.append((last, max(first, last), "back"))
-                told = 0
-            last = max(last, newest)
+            spans: list[tuple[int, int]] = []
+            for chunk in chunks:  # what is kept of a batch are its spans without silence
+                at = np.sort(chunk["at"].to_numpy("int64"))
+                spans = _joined(spans, at[at > last] if last >= 0 else at, quiet_us)
+            for low, high in spans:
+                if last >= 0 and low > last + quiet_us and not told:
+                    out.append((last, last + quiet_us, "silent"))
+                    told = 1
+                if told:
+                    out.append((last, low, "back"))
+                    told = 0
+                last = high
             state.update((int(last), int(told)))
             state.setTimeoutTimestamp(max((last + quiet_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         frame = pd.DataFrame(out, columns=["last_seen", "noticed_at", "kind"])
@@ -155,7 +171,7 @@ def silence_stream(samples: DataFrame, name: str, ts: str, silence: int = SILENC
     """A row when a series has sent nothing for `silence` + `hold` seconds, another when it is back.
 
     A timer of the event time: it fires when the watermark has passed the last sample by
-    that much. Gaps within one batch of a series are not looked for.
+    that much. Gaps within one batch of a series are told as well.
     """
     shaped = samples.withWatermark(ts, watermark).select(
         ts, F.col(name).cast("string").alias("name"), F.unix_micros(F.col(ts)).alias("at"))
