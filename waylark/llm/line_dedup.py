@@ -86,8 +86,9 @@ bad AS (
     SELECT l.source, list(l.line) AS lines FROM (
         SELECT source, line, count(*) AS found FROM lines
         WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '' GROUP BY source, line
+        HAVING count(*) >= {LEAST_PAGES}
     ) l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
-    WHERE t.pages >= {LEAST_PAGES} AND l.found::DOUBLE / t.pages > {RATIO}::DOUBLE GROUP BY l.source
+    WHERE l.found::DOUBLE / t.pages > {RATIO}::DOUBLE GROUP BY l.source
 ),
 cut AS (
     SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS lines, CASE WHEN b.lines IS NULL THEN string_split(d.text, chr(10))
