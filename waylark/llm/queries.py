@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waylark.llm import bitplanes, html_text, language, line_dedup, merkle, mixing, packing, simhash, topk, toxicity
+from waylark.llm import (
+    bitplanes, html_text, language, licenses, line_dedup, merkle, mixing, packing, simhash, topk, toxicity,
+)
 from waylark.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -110,3 +112,10 @@ WITH whole AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", *licenses.digest())
+
