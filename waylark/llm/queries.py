@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waylark.llm import (
-    bitplanes, html_text, language, licenses, line_dedup, merkle, mixing, packing, simhash, topk, toxicity,
+    alignment, bitplanes, html_text, language, licenses, line_dedup, merkle, mixing, packing, simhash, topk, toxicity,
 )
 from waylark.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +120,8 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", *licenses.digest())
 
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
