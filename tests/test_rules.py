@@ -63,10 +63,28 @@ def test_running_max_over_slices(hot, inclusive):
     assert got == want
 
 
-def test_slices_cut_a_hot_hour_and_a_hot_timestamp(hot):
+def test_parts_cut_a_hot_hour_and_a_hot_timestamp(hot):
     _, df = hot
-    sizes = [r["count"] for r in O.Slices(df, ["ts", "id"], 3600, parts=64).mark(df).groupBy("name", *O.Slices.COLS).count().collect()]
-    assert max(sizes) < 100
+    placed = O.in_parts(df, ["name", "ts", "id"], "placed", parts=64)
+    sizes = [r["count"] for r in placed.groupBy("name", O.PART).count().collect()]
+    assert max(sizes) < 200 and sum(sizes) == df.count()
+    ends = placed.groupBy(O.PART).agg(F.min(F.struct("name", "ts", "id")), F.max(F.struct("name", "ts", "id"))).orderBy(O.PART).collect()
+    assert all(a[2] < b[1] for a, b in zip(ends, ends[1:]))
+
+
+@pytest.mark.parametrize("parts", [1, 9, 64])
+def test_parts_carry_over(hot, parts):
+    """Rows that come with ranges keep them; a series goes through many."""
+    data, df = hot
+    placed = O.in_parts(df, ["name", "ts", "id"], "placed", parts)
+    p = O.with_previous(placed, ["name"], ["ts", "id"], ["value"])
+    got = {r.id: (r.prev_value, r.top) for r in O.with_running_max(p, ["name"], ["ts", "id"], "value", "top").collect()}
+    numbers = {r.id: r.k for r in O.numbered(df, ["name"], ["ts", "id"], "k", parts).collect()}
+    for series in by_series(data).values():
+        top = None
+        for k, (before, (_, i, v)) in enumerate(zip([None, *series], series)):
+            top = v if top is None else max(top, v)
+            assert got[i] == (before and before[2], top) and numbers[i] == k
 
 
 def test_hold_shorter_and_longer(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
-from waylark.operators.ordered import Slices, sliding_windows, time_bucket, with_previous, with_running_max
+from waylark.operators.ordered import in_parts, sliding_windows, time_bucket, with_previous, with_running_max
 from waylark.session import pinned
 
 # Thresholds and timings of the rules (seconds, bytes, shares).
@@ -26,7 +26,6 @@ GROUP_INTERVAL = 300
 REPEAT_INTERVAL = 4 * 3600
 ROUTES = {"critical": "critical-with-remediation", "warning": "email-default"}
 DEFAULT_ROUTE = "email-default"
-DAY_SECONDS = 86_400
 
 
 def error_ratio(df: DataFrame, ts: str, is_error: Column, window: int = 300, slide: int = 60,
@@ -91,7 +90,7 @@ def histogram_quantile(df: DataFrame, by: list[str], le: str, count: str, q: flo
 
 
 def threshold_rule(df: DataFrame, series: list[str], ts: str, breach: Column, hold: int,
-                   tie: list[str] | None = None, bucket_seconds: int = 3600) -> DataFrame:
+                   tie: list[str] | None = None) -> DataFrame:
     """Episodes in which `breach` held for at least `hold` seconds.
 
     (series, started_at, fired_at, last_breach_at, resolved_at); `resolved_at` is
@@ -99,12 +98,12 @@ def threshold_rule(df: DataFrame, series: list[str], ts: str, breach: Column, ho
     """
     order = [ts, *(tie or [])]
     # The helpers read their input twice, so each gets a stored one: the source is read once.
-    rows = pinned(df.select(*series, *order, F.coalesce(breach, F.lit(False)).alias("_on")), "samples")
-    slices = Slices(rows, order, bucket_seconds)
-    p = with_previous(rows, series, order, ["_on"], slices)
+    once = pinned(df.select(*series, *order, F.coalesce(breach, F.lit(False)).alias("_on")), "samples")
+    rows = in_parts(once, [*series, *order], "series")
+    p = with_previous(rows, series, order, ["_on"])
     starts = F.col("_on") & ~F.coalesce("prev__on", F.lit(False))
     marked = pinned(p.withColumn("_start", F.when(starts, F.col(ts))).drop("prev__on"), "starts")
-    run = with_running_max(marked, series, order, "_start", "started_at", True, slices)
+    run = with_running_max(marked, series, order, "_start", "started_at")
     held = S.seconds_between("started_at", ts) >= hold
     return (
         run.filter(F.col("started_at").isNotNull())
@@ -122,7 +121,7 @@ def error_ratio_alert(df: DataFrame, ts: str, is_error: Column, by: list[str], l
                       window: int = 300, slide: int = 60, hold: int = HOLD_SECONDS) -> DataFrame:
     """Episodes in which more than `limit` of the requests of a window failed, long enough."""
     w = error_ratio(df, ts, is_error, window, slide, by)
-    return threshold_rule(w, by, "window_end", F.col("error_ratio") > limit, hold, bucket_seconds=DAY_SECONDS)
+    return threshold_rule(w, by, "window_end", F.col("error_ratio") > limit, hold)
 
 
 def latency_alert(df: DataFrame, ts: str, seconds: str, bounds: list[float], by: list[str],
@@ -130,13 +129,13 @@ def latency_alert(df: DataFrame, ts: str, seconds: str, bounds: list[float], by:
                   hold: int = HOLD_SECONDS) -> DataFrame:
     """Episodes in which a latency quantile of the window stayed over `limit` long enough."""
     w = latency_quantile(df, ts, seconds, bounds, q, window, slide, by)
-    return threshold_rule(w, by, "window_end", F.col("quantile") > limit, hold, bucket_seconds=DAY_SECONDS)
+    return threshold_rule(w, by, "window_end", F.col("quantile") > limit, hold)
 
 
 def memory_alert(df: DataFrame, series: list[str], ts: str, size: str, limit: float = MEMORY_LIMIT_BYTES,
                  hold: int = MEMORY_HOLD_SECONDS, tie: list[str] | None = None) -> DataFrame:
     """Episodes in which a series used more than `limit` bytes long enough."""
-    return threshold_rule(df, series, ts, F.col(size) > limit, hold, tie, DAY_SECONDS)
+    return threshold_rule(df, series, ts, F.col(size) > limit, hold, tie)
 
 
 def last_seen_rule(df: DataFrame, series: list[str], ts: str, now: Column,
@@ -151,7 +150,7 @@ def last_seen_rule(df: DataFrame, series: list[str], ts: str, now: Column,
 
 
 def _between_samples(df: DataFrame, series: list[str], order: list[str], value: str, amount: Column,
-                     window: int, slide: int, name: str, bucket_seconds: int) -> DataFrame:
+                     window: int, slide: int, name: str) -> DataFrame:
     """Sum per sliding window of an amount that belongs to a pair of neighbours.
 
     A pair counts for the windows that contain both samples. Pairs are summed per
@@ -160,7 +159,7 @@ def _between_samples(df: DataFrame, series: list[str], order: list[str], value:
     per_window = window // slide
     ts = order[0]
     take = pinned(df.select(*series, *order, value, F.col(ts).alias("_at")), "samples")
-    p = with_previous(take, series, order, [value, "_at"], Slices(take, order, bucket_seconds))
+    p = with_previous(take, series, order, [value, "_at"])
     pairs = p.filter(F.col("prev__at").isNotNull()).select(
         *series, time_bucket("prev__at", slide).alias("_a"), time_bucket("_at", slide).alias("_b"),
         amount.alias("_x"),
@@ -178,19 +177,19 @@ def _between_samples(df: DataFrame, series: list[str], order: list[str], value:
 
 
 def changes_rule(df: DataFrame, series: list[str], order: list[str], value: str, window: int = 900,
-                 slide: int = 60, limit: int = RESTARTS_LIMIT, bucket_seconds: int = 3600) -> DataFrame:
+                 slide: int = 60, limit: int = RESTARTS_LIMIT) -> DataFrame:
     """Value changes per sliding window, and whether they exceed the limit."""
     changed = F.when(F.col(value).eqNullSafe(F.col(f"prev_{value}")), 0).otherwise(1)
-    w = _between_samples(df, series, order, value, changed, window, slide, "n_changes", bucket_seconds)
+    w = _between_samples(df, series, order, value, changed, window, slide, "n_changes")
     return w.withColumn("is_firing", F.col("n_changes") > limit)
 
 
 def counter_rate(df: DataFrame, series: list[str], order: list[str], value: str, window: int = 300,
-                 slide: int = 60, bucket_seconds: int = 3600) -> DataFrame:
+                 slide: int = 60) -> DataFrame:
     """Increase per second of a counter; after a reset the new value is the increase."""
     prev = F.col(f"prev_{value}")
     step = F.when(F.col(value) >= prev, F.col(value) - prev).otherwise(F.col(value))
-    w = _between_samples(df, series, order, value, step, window, slide, "increase", bucket_seconds)
+    w = _between_samples(df, series, order, value, step, window, slide, "increase")
     return w.withColumn("rate", F.col("increase") / F.lit(float(window)))
 
 
@@ -224,7 +223,7 @@ def route_of(severity: Column) -> Column:
 
 def group_alerts(alerts: DataFrame, by: list[str], start: str = "fired_at", end: str = "resolved_at",
                  tie: list[str] | None = None, wait: int = GROUP_WAIT, interval: int = GROUP_INTERVAL,
-                 repeat: int = REPEAT_INTERVAL, bucket_seconds: int = 3600) -> DataFrame:
+                 repeat: int = REPEAT_INTERVAL) -> DataFrame:
     """Notifications of alert groups.
 
     Alerts of a group that overlap in time form one episode. Its first notice goes
@@ -234,12 +233,11 @@ def group_alerts(alerts: DataFrame, by: list[str], start: str = "fired_at", end:
     (by..., episode_start, notified_at, kind, n_alerts)
     """
     order = [start, *(tie or [])]
-    rows = pinned(alerts.select(*by, *order, end), "alerts")
-    slices = Slices(rows, order, bucket_seconds)
-    seen = with_running_max(rows, by, order, end, "_open_until", False, slices)
+    rows = in_parts(pinned(alerts.select(*by, *order, end), "alerts"), [*by, *order], "series")
+    seen = with_running_max(rows, by, order, end, "_open_until", False)
     opens = F.col("_open_until").isNull() | (F.col(start) > F.col("_open_until"))
     marked = pinned(seen.withColumn("_start", F.when(opens, F.col(start))).drop("_open_until"), "openings")
-    ep = with_running_max(marked, by, order, "_start", "episode_start", True, slices)
+    ep = with_running_max(marked, by, order, "_start", "episode_start")
     episode = [*by, "episode_start"]
 
     def tick(at: Column) -> Column:

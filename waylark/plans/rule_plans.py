@@ -14,7 +14,6 @@ from waylark.session import new_shared_path
 from waylark.streaming import ingest
 
 HOUR = 3600
-DAY = 24 * HOUR
 BOUNDS = [0.1, 0.25, 0.5, 1.0, 2.5]
 
 _WIN = f"""WITH {views("requests")}, spread AS (
@@ -70,7 +69,7 @@ FROM s WHERE started_at IS NOT NULL GROUP BY ALL HAVING fired_at IS NOT NULL"""
 
 @query("threshold_hold", f"WITH {views('gauges')}" + _HOLD.format(breach="value > 40", src="gauges", series="name", hold=HOUR))
 def threshold_hold(spark, sf):
-    return R.threshold_rule(D.gauges(spark, sf), ["name"], "ts", F.col("value") > 40, HOUR, ["event_id"], DAY)
+    return R.threshold_rule(D.gauges(spark, sf), ["name"], "ts", F.col("value") > 40, HOUR, ["event_id"])
 
 
 # Windows of five minutes every minute, as the rules define them, per service.
@@ -132,7 +131,7 @@ SELECT name, window_start, window_start + INTERVAL 6 HOUR AS window_end,
 FROM spread WHERE pt >= window_start GROUP BY ALL""")
 def changes_in_window(spark, sf):
     g = D.gauges(spark, sf).withColumn("value", F.floor(F.col("value") / 50))
-    return R.changes_rule(g, ["name"], ["ts", "event_id"], "value", 6 * HOUR, HOUR, bucket_seconds=DAY)
+    return R.changes_rule(g, ["name"], ["ts", "event_id"], "value", 6 * HOUR, HOUR)
 
 
 @query("counter_rate", _PAIRS + """
@@ -140,7 +139,7 @@ SELECT name, window_start, round(sum(CASE WHEN value >= pv THEN value - pv ELSE
        round(sum(CASE WHEN value >= pv THEN value - pv ELSE value END) / 21600.0::DOUBLE, 8) AS rate
 FROM spread WHERE pt >= window_start GROUP BY ALL""")
 def counter_rate(spark, sf):
-    c = R.counter_rate(D.gauges(spark, sf), ["name"], ["ts", "event_id"], "value", 6 * HOUR, HOUR, bucket_seconds=DAY)
+    c = R.counter_rate(D.gauges(spark, sf), ["name"], ["ts", "event_id"], "value", 6 * HOUR, HOUR)
     return c.select("name", "window_start", F.round("increase", 4).alias("increase"), F.round("rate", 8).alias("rate"))
 
 
@@ -180,7 +179,7 @@ def alert_grouping(spark, sf):
         (F.col("user_id") % 3).cast("int").alias("name"), (F.col("event_id") % 2).cast("int").alias("service"),
         "event_id", F.col("ts").alias("fired_at"),
         F.timestamp_add("MINUTE", F.floor("value").cast("int"), F.col("ts")).alias("resolved_at"))
-    return R.group_alerts(a, ["name", "service"], tie=["event_id"], bucket_seconds=DAY)
+    return R.group_alerts(a, ["name", "service"], tie=["event_id"])
 
 
 @query("alert_routes", """
