@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waylark.llm import (
-    alignment, bitplanes, html_text, language, licenses, line_dedup, merkle, mixing, packing, simhash, topk, toxicity,
+    alignment, bitplanes, html_text, language, licenses, line_dedup, merkle, mixing, packing, prefix_trie, simhash, topk, toxicity,
 )
 from waylark.llm.common import shared_folder, table
 
@@ -125,3 +125,8 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
