@@ -247,3 +247,35 @@ def trie(lengths: DataFrame, turns: DataFrame) -> DataFrame:
     return joined.select(
         F.col("conv").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", F.col("leaves").alias("n_leaves"),
         (F.col("own") + F.col("saved")).alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256"))
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda s, z: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384::BIGINT) ELSE s >> 1 END)), 4294967295::BIGINT)"""
+
+ORACLE = f"""
+WITH turns AS (
+    SELECT conv_id, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x.role, x.text) AS own FROM turns GROUP BY conv_id
+), shared AS (SELECT conv_id, own, {_CRC} % 9 AS h FROM convs),
+built AS (
+    SELECT a.conv_id, list_concat(coalesce(b.own[1:a.h], a.own[1:0]), a.own[a.h + 1:]) AS s
+    FROM shared a LEFT JOIN convs b ON b.conv_id = a.conv_id - a.conv_id % 5
+), members AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built),
+nodes AS (
+    SELECT s[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends
+    FROM members GROUP BY s[1:d], d
+), weighed AS (
+    SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * strlen(p[d].text) END AS own,
+        NOT EXISTS (SELECT 1 FROM nodes c WHERE c.d = nodes.d + 1 AND c.p[1:nodes.d] = nodes.p) AS leaf FROM nodes
+), spread AS (SELECT p, d, own, leaf, unnest(range(0, d + 1)) AS k FROM weighed),
+sums AS (
+    SELECT p[1:k] AS p, k AS d, sum(own) AS saved, count(*) FILTER (leaf) AS leaves, count(*) FILTER (d = k + 1) AS children
+    FROM spread GROUP BY p[1:k], k
+)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, s.children AS n_children, s.leaves AS n_leaves,
+    s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums s ON s.d = n.d AND s.p = n.p LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1]
+"""

@@ -130,3 +130,6 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.ORACLE
