@@ -23,9 +23,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from waylark.llm.common import partitions, short_batches, stored
+from waylark.llm.tokens import ID, Encoder
 
 # Documents of a block; positions in it fit 16 bits.
 BLOCK_DOCS = 4096
@@ -51,6 +52,7 @@ PAIR = 1 << 16
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _ODD = re.compile(r"[ \n](?:\s|\Z)|\A\s|\s\n")
+_WHITE = re.compile(r"[^\S \n]")
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -67,9 +69,9 @@ class Tokenizers:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
+        self.cached = Encoder(path_a)
+        self.a = self.cached.tokenizer
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         shown = _visible_bytes()
@@ -83,13 +85,16 @@ class Tokenizers:
             if not self.b.is_byte(k) and ("\n" in piece or "\u2581" in piece.lstrip("\u2581")):
                 raise ValueError(f"texts can't be cut in parts for a tokenizer with the piece {piece!r}")
 
-    def encoded(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """The ids of each segment by A and by B; a segment begins with a space or a line end."""
-        a = self.a.encode_batch_fast(segments, add_special_tokens=False)
-        # B adds a space in front: the segment's own, or one more before a line end.
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        for s, x, y in zip(segments, a, b, strict=True):
-            yield x.ids, y if s[0] == " " else y[1:]
+    def by_a(self, segments: list[str]) -> list[bytes]:
+        """The ids of each segment by A, as little-endian 32-bit integers; it begins with a space or a line end."""
+        after_space, after_line = self.cached.rest, self.cached.first
+        line_end = after_line.marks["\n"]
+        return [after_space[s[1:]] if s[0] == " " else line_end + after_line[s[1:]] for s in segments]
+
+    def by_b(self, segments: list[str]) -> list[list[int]]:
+        """The ids of each segment by B, which adds a space: the segment's own, or one more before a line end."""
+        found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        return [ids if s[0] == " " else ids[1:] for s, ids in zip(segments, found, strict=True)]
 
 
 @cache
@@ -97,9 +102,17 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
     return Tokenizers(path_a, path_b)
 
 
+def _odd(text: str) -> bool:
+    """Whether a space or line end is not between two other characters. Most texts without white
+    space beyond those are told by plain searches."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+        return True
+    return bool(_WHITE.search(text) and _ODD.search(text))
+
+
 def parts(text: str) -> list[str]:
     """Keys of the parts of space+text, see `segment`."""
-    if not _ODD.search(text):
+    if not _odd(text):
         return text.replace("\n", " \n").split(" ")
     return [s[1:] if s[0] == " " and s[1:2].strip() else s for s in _CUT.split(" " + text)]
 
@@ -109,33 +122,47 @@ def segment(key: str) -> str:
     return " " + key if key[:1].strip() else key
 
 
-def groups(lengths_a: list[int], lengths_b: list[int]) -> list[tuple[int, int]]:
-    """(A tokens, B tokens) up to the end of each group; both have the same bytes in all."""
-    out = []
-    i = j = 0
-    end_a, end_b = lengths_a[0], lengths_b[0]
-    last = len(lengths_a) - 1
-    while True:
-        if end_a == end_b:
-            out.append((i + 1, j + 1))
-            if i == last:
-                return out
-            i, j = i + 1, j + 1
-            end_a, end_b = end_a + lengths_a[i], end_b + lengths_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += lengths_a[i]
-        else:
-            j += 1
-            end_b += lengths_b[j]
-
-
-def linked(ids_a: list[int], ids_b: list[int]) -> Iterable[tuple[int, int]]:
-    """(pair, links) of one group; each pair once. The work follows the different ids."""
-    if len(ids_a) == len(ids_b) == 1:
-        return [(ids_a[0] * PAIR + ids_b[0], 1)]
-    b = Counter(ids_b).items()
-    return [(x * PAIR + y, m * n) for x, m in Counter(ids_a).items() for y, n in b]
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. within each of the runs of the given lengths."""
+    return np.arange(counts.sum()) - np.repeat(_offsets(counts)[:-1], counts)
+
+
+def groups(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(A tokens, B tokens) in each group; both sides have the same bytes in all."""
+    ends_a, ends_b = np.cumsum(lengths_a), np.cumsum(lengths_b)
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    return tuple(np.diff(np.searchsorted(ends, common) + 1, prepend=0) for ends in (ends_a, ends_b))
+
+
+# Token pairs of a group up to which they are written out one by one.
+PLAIN_LINKS = 256
+
+
+def linked(ids_a: np.ndarray, ids_b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, pair, links) of all groups, ascending by group; a pair may come again in its group.
+
+    Where a group has many token pairs the work follows its different ids.
+    """
+    size = in_a * in_b
+    plain = np.where(size <= PLAIN_LINKS, size, 0)
+    group, rank = np.repeat(np.arange(len(size)), plain), _ranks(plain)
+    a = ids_a[_offsets(in_a)[:-1][group] + rank // in_b[group]]
+    b = ids_b[_offsets(in_b)[:-1][group] + rank % in_b[group]]
+    found = [(group, a * PAIR + b, np.ones(len(group), np.int64))]
+    for g in np.flatnonzero(size > PLAIN_LINKS).tolist():
+        first_a, first_b = int(in_a[:g].sum()), int(in_b[:g].sum())
+        a, n = np.unique(ids_a[first_a: first_a + in_a[g]], return_counts=True)
+        b, m = np.unique(ids_b[first_b: first_b + in_b[g]], return_counts=True)
+        found.append((np.full(len(a) * len(b), g), (a[:, None] * PAIR + b).ravel(), (n[:, None] * m).ravel()))
+    if len(found) == 1:
+        return found[0]
+    group, pair, links = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(group, kind="stable")
+    return group[order], pair[order], links[order]
 
 
 class _Column:
@@ -158,9 +185,12 @@ class Parts:
 
     def __init__(self, found: Tokenizers):
         self.tokenizers = found
-        self.lengths_a = [len(x) for x in found.bytes_a]
-        self.lengths_b = [len(x) for x in found.bytes_b]
-        self.shown = [str(k) for k in range(max(len(found.bytes_a), len(found.bytes_b)))]
+        self.lengths_a = np.array([len(x) for x in found.bytes_a])
+        self.lengths_b = np.array([len(x) for x in found.bytes_b])
+        ids = max(len(found.bytes_a), len(found.bytes_b))
+        # Each id as text with what follows it: the same side, the other side, the next group, nothing.
+        self.shown = np.array([[f"{k}," for k in range(ids)], [f"{k}|" for k in range(ids)],
+                               [f"{k};" for k in range(ids)], [str(k) for k in range(ids)]], object)
         self.clear()
 
     def clear(self) -> None:
@@ -182,43 +212,59 @@ class Parts:
 
     def _learn(self, keys: list[str]) -> None:
         segments = [segment(k) for k in keys]
-        rows, many, pairs, links = [], [], [], []
-        found, shown = self.tokenizers, self.shown
-        for key, s, (a, b) in zip(keys, segments, found.encoded(segments), strict=True):
-            k = self.number[key] = len(self.text)
-            self.chars += len(key)
-            raw = s.encode()
-            before, cuts = len(pairs), []
-            if b"".join([found.bytes_a[x] for x in a]) != raw or b"".join([found.bytes_b[x] for x in b]) != raw:
-                self.bad.add(k)
-                self.text.append("")
-                rows.append((0, 0, 0, 0))
-            else:
-                if len(a) == len(b) == 1:
-                    cuts = [(1, 1)]
-                else:
-                    cuts = groups([self.lengths_a[x] for x in a], [self.lengths_b[x] for x in b])
-                i = j = n_links = 0
-                texts = []
-                for i2, j2 in cuts:
-                    own_a, own_b = a[i:i2], b[j:j2]
-                    texts.append(",".join([shown[x] for x in own_a]) + "|" + ",".join([shown[x] for x in own_b]))
-                    for pair, n in linked(own_a, own_b):
-                        pairs.append(pair)
-                        links.append(n)
-                    n_links += (i2 - i) * (j2 - j)
-                    i, j = i2, j2
-                self.text.append(";".join(texts))
-                rows.append((len(a), len(b), len(cuts), n_links))
-            many.append(len(pairs) - before)
-        start = self.pairs.size
-        self.first.add(start + np.cumsum([0, *many[:-1]]))
+        by_a, by_b = self.tokenizers.by_a(segments), self.tokenizers.by_b(segments)
+        known = len(self.text)
+        self.number.update(zip(keys, range(known, known + len(keys)), strict=True))
+        self.chars += sum(map(len, keys))
+        for k in self._not_given_back(segments, by_a, by_b):
+            by_a[k], by_b[k] = b"", []
+            self.bad.add(known + k)
+        n_a, n_b = np.array(list(map(len, by_a))) // 4, np.array(list(map(len, by_b)))
+        ids_a = np.frombuffer(b"".join(by_a), ID).astype(np.int64)
+        ids_b = np.array(list(chain.from_iterable(by_b)), np.int64)
+        in_a, in_b = groups(self.lengths_a[ids_a], self.lengths_b[ids_b])
+        # Parts end with a group, so the groups of a part follow from its A tokens.
+        upto = np.searchsorted(np.cumsum(in_a), np.cumsum(n_a), side="right")
+        n_groups = np.diff(upto, prepend=0)
+        group, pair, links = linked(ids_a, ids_b, in_a, in_b)
+        last = np.searchsorted(group, upto)
+        many = np.diff(last, prepend=0)
+        n_links = np.diff(_offsets(in_a * in_b)[upto], prepend=0)
+        self.text += self._texts(ids_a, ids_b, in_a, in_b, upto, n_a + n_b)
+        self.first.add(self.pairs.size + last - many)
         self.many.add(many)
-        self.pairs.add(pairs)
+        self.pairs.add(pair)
         self.links.add(links)
-        for column, values in zip(self.measures, zip(*rows, strict=True), strict=True):
+        for column, values in zip(self.measures, (n_a, n_b, n_groups, n_links), strict=True):
             column.add(values)
 
+    def _not_given_back(self, segments: list[str], by_a: list[bytes], by_b: list[list[int]]) -> list[int]:
+        """The segments that differ from the bytes of A or B."""
+        raw = [s.encode() for s in segments]
+        bytes_a, bytes_b = self.tokenizers.bytes_a.__getitem__, self.tokenizers.bytes_b.__getitem__
+        back = [b"".join(map(bytes_b, ids)) for ids in by_b]
+        out = [k for k, (r, b) in enumerate(zip(raw, back, strict=True)) if r != b]
+        whole = np.frombuffer(b"".join(by_a), ID).tolist()
+        if b"".join(map(bytes_a, whole)) != b"".join(raw):
+            out += [k for k, (r, a) in enumerate(zip(raw, by_a, strict=True)) if b"".join(map(bytes_a, np.frombuffer(a, ID).tolist())) != r]
+        return out
+
+    def _texts(self, ids_a: np.ndarray, ids_b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray,
+               upto: np.ndarray, tokens: np.ndarray) -> list[str]:
+        """a1,a2|b1;a3|b2 for each part: the tokens of a group by side, groups in order."""
+        begin = _offsets(in_a + in_b)[:-1]
+        at_a = np.repeat(begin, in_a) + _ranks(in_a)
+        at_b = np.repeat(begin + in_a, in_b) + _ranks(in_b)
+        kind = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        kind[begin + in_a - 1] = 1
+        kind[begin + in_a + in_b - 1] = 2
+        ends = np.cumsum(tokens)
+        kind[ends[tokens > 0] - 1] = 3
+        ids = np.zeros(len(kind), np.int64)
+        ids[at_a], ids[at_b] = ids_a, ids_b
+        shown = self.shown[kind, ids].tolist()
+        return ["".join(shown[e - n: e]) for e, n in zip(ends.tolist(), tokens.tolist(), strict=True)]
+
 
 @cache
 def known_parts(path_a: str, path_b: str) -> Parts:
@@ -228,15 +274,6 @@ def known_parts(path_a: str, path_b: str) -> Parts:
 
 # --- bitmaps ----------------------------------------------------------------------------
 
-def _offsets(lengths: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(lengths)])
-
-
-def _ranks(counts: np.ndarray) -> np.ndarray:
-    """0, 1, .. within each of the runs of the given lengths."""
-    return np.arange(counts.sum()) - np.repeat(_offsets(counts)[:-1], counts)
-
-
 def _set_bits(size: int, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """`size` bytes with the given bits of the given bytes set; no bit is named twice."""
     return np.bincount(at, weights=1 << bit, minlength=size).astype(np.uint8)
