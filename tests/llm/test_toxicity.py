@@ -118,3 +118,28 @@ def test_nothing_to_learn_from(spark, labels):
     model = toxicity.fit(docs, spark.createDataFrame(labels, LABELS))
     assert [r.predicted for r in toxicity.scored(docs, model).collect()] == [0, 0]
     assert toxicity.scored(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_learns_from_few_labels(spark, sf):
+    """Ten toxic training texts are enough; texts without a toxic word can't be found and are few."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.scores
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    got = {r.doc_id: r for r in toxicity.scored(docs.select("doc_id", "text"), model).collect()}
+    toxic = [got[i] for i, t in truth.items() if t and i in got]
+    clean = [got[i] for i, t in truth.items() if t == 0 and i in got]
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    hold = [r for r in toxic if r.score > 0]  # texts with a word that the model knows
+    assert len(hold) >= {"sf0.001": 1.0, "sf0.01": 0.6}[sf] * len(toxic)
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(hold)
+    wins = sum((t.score > c.score) + 0.5 * (t.score == c.score) for t in hold for c in clean)
+    assert wins >= 0.95 * len(hold) * len(clean)
+
+
+def test_texts_below_the_first_segment_are_ranked():
+    model = Model({"bad": 5.0, "odd": 1.0}, rate=1.1, scale=1e-2, cut=2.0)
+    clean = ["word"] * 300
+    values = [model.judged(clean + extra)[0] for extra in ([], ["odd"], ["odd", "odd"], ["bad"] * 3)]
+    assert values[0] == 0.0 < values[1] < values[2] < 0.5 < values[3]

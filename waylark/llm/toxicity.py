@@ -4,16 +4,17 @@ Training counts, for each word, the different labelled texts of both classes tha
 it. The log-odds between the classes get an informative Dirichlet
 prior (pseudo-counts in proportion to the overall frequency); a word counts with the
 lower bound of its confidence interval, so chance words score nothing. A token scores
-its log-odds less a constant drift, which makes clean text drift down. How high a word
-must score to count at all is chosen on a quarter of the training texts, the probe, with
-words scored by the other three quarters.
+its log-odds less a constant drift, which makes clean text drift down. How sure the bound
+is and how high a word must score to count at all are chosen by cross-fitting: each
+quarter of the training texts is judged with words scored by the other three quarters.
 
 Scoring finds all maximal-scoring segments of a text in one pass. For random clean text
 the best segment follows an extreme-value law, P(best < s) = exp(-K n exp(-lambda s));
 lambda solves sum p exp(lambda s) = 1 for the clean token frequencies, K is fitted on
-the clean texts of the probe. Segments beyond chance are significant; their normalised
-scores add up to the document's, of which the same law gives the score between 0 and 1.
-The cut between the classes, fitted on the probe, lies at 0.5.
+the clean training texts, judged as above. Segments beyond chance are significant; their
+normalised scores add up to the document's, of which the same law gives the score between
+0 and 1; without a significant segment the best one counts, below any cut. The cut between
+the classes, fitted in the same way, lies at 0.5.
 """
 
 from __future__ import annotations
@@ -35,13 +36,19 @@ from waylark.llm.common import batched, rows_of, short_batches, stored, unused
 TRAIN_ROWS = 200_000
 # Prior pseudo-counts, in parts of the training texts.
 PRIOR = 0.05
-# Standard errors that the log-odds are lowered by.
-SURE = 2.6
+# Standard errors that the log-odds are lowered by, as tried; with few labels only the lower
+# ones leave words.
+SURES = (2.6, 1.6, 0.8)
+# A word counts if so many toxic training texts hold it, or all of them if they are fewer.
+LEAST_TEXTS = 2
+# Parts of the training texts, each judged by the others.
+QUARTERS = 4
 DRIFT = 0.05
 # Distinct words that a counting task holds before it hands them on.
 HELD = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
-COUNTS = "word string, clean bigint, toxic bigint, clean_probe bigint, toxic_probe bigint"
+COUNT_COLUMNS = [f"{c}{k}" for k in range(QUARTERS) for c in ("clean", "toxic")]
+COUNTS = ", ".join(["word string", *[f"{c} bigint" for c in COUNT_COLUMNS]])
 # Least scores of a word that are tried.
 GRADES = (0.05, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5)
 
@@ -51,7 +58,7 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float, prior: float = PRIOR, sure: float = SURE) -> float:
+def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float, prior: float = PRIOR, sure: float = SURES[0]) -> float:
     """Lower confidence bound of the log-odds of a word, with an informative Dirichlet prior."""
     weight = prior * (toxic + clean)
     total = prior * (n_toxic + n_clean)
@@ -81,19 +88,28 @@ class Model:
     def segments(self, words: list[str]) -> list[tuple[int, int, float, float]]:
         """(first token, token after the last, score, normalised score) of the significant segments."""
         at, found = self.token_scores(words)
-        base = math.log(self.scale * max(1, len(words)))
-        out = []
-        for start, end, score in maximal_segments(at, found):
-            x = self.rate * score - base
-            if x > 0:
-                out.append((start, end, score, x))
-        return out
+        return [s for s in self.normalised(maximal_segments(at, found), len(words)) if s[3] > 0]
+
+    def normalised(self, segments: list[tuple[int, int, float]], words: int) -> list[tuple[int, int, float, float]]:
+        base = math.log(self.scale * max(1, words))
+        return [(start, end, score, self.rate * score - base) for start, end, score in segments]
 
     def score(self, segments: list[tuple[int, int, float, float]]) -> float:
-        if not segments:
-            return 0.0
-        x = sum(s[3] for s in segments) - self.cut - math.log(math.log(2))
-        return math.exp(-math.exp(-min(50.0, max(-5.0, x))))
+        """Between 0 and 1 for the significant segments of a text; 0 without any."""
+        return self._probability(sum(s[3] for s in segments)) if segments else 0.0
+
+    def judged(self, words: list[str]) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """The score of a text and its significant segments. Without any the best segment
+        ranks the text, below 0.5; a text without a token above zero scores 0."""
+        found = self.normalised(maximal_segments(*self.token_scores(words)), len(words))
+        significant = [s for s in found if s[3] > 0]
+        if found and not significant:
+            return self._probability(min(-1e-6, max(s[3] for s in found))), []
+        return self.score(significant), significant
+
+    def _probability(self, x: float) -> float:
+        x -= self.cut + math.log(math.log(2))
+        return math.exp(-math.exp(-min(50.0, max(-6.5, x))))
 
 
 def maximal_segments(at: list[int], scores: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
@@ -128,7 +144,7 @@ def held_out(folds: int = 5, doc_id: str = "doc_id") -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = TRAIN_ROWS) -> DataFrame:
-    """text, toxic, probe: the different texts of the labelled documents that are not held out.
+    """text, toxic, quarter: the different texts of the labelled documents that are not held out.
 
     Ids with several labels count as toxic if one is. At most `rows` ids are used, which
     bounds the broadcast table of labels and the texts that are shuffled here.
@@ -139,88 +155,119 @@ def training_texts(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int
     texts = docs.select("doc_id", "text").where("text is not null")
     return texts.join(F.broadcast(known), "doc_id").groupBy(F.xxhash64("text").alias("mark")).agg(
         F.first("text").alias("text"), F.max("toxic").alias("toxic")).select(
-        "text", "toxic", (F.pmod(F.xxhash64("mark"), F.lit(4)) == 0).alias("probe"))
+        "text", "toxic", F.pmod(F.xxhash64("mark"), F.lit(QUARTERS)).cast("int").alias("quarter"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, clean, toxic: different texts of each class that hold the word, and how many
-    of them are in the probe; "" counts the texts."""
+    """word, and for each quarter the different clean and toxic texts in it that hold the word; "" counts the texts."""
 
     def count(batches):
-        schema = pa.schema([("word", pa.string()), *[(c, pa.int64()) for c in ("clean", "toxic", "clean_probe", "toxic_probe")]])
+        schema = pa.schema([("word", pa.string()), *[(c, pa.int64()) for c in COUNT_COLUMNS]])
 
         def rows():
-            sums = [Counter() for _ in range(4)]
+            sums = [Counter() for _ in COUNT_COLUMNS]
 
             def handed():
                 for w in set().union(*sums):
-                    yield w, sums[0][w] + sums[2][w], sums[1][w] + sums[3][w], sums[2][w], sums[3][w]
+                    yield w, *[c[w] for c in sums]
                 for c in sums:
                     c.clear()
 
-            for text, toxic, probe in rows_of(batches, "text", "toxic", "probe"):
-                sums[bool(toxic) + 2 * probe].update({*tokens(text), ""})
+            for text, toxic, quarter in rows_of(batches, "text", "toxic", "quarter"):
+                sums[2 * quarter + bool(toxic)].update({*tokens(text), ""})
                 if sum(map(len, sums)) > HELD:
                     yield from handed()
             yield from handed()
 
         yield from batched(schema, rows(), 10_000)
 
-    return texts.mapInArrow(count, COUNTS).groupBy("word").agg(
-        *[F.sum(c).alias(c) for c in ("clean", "toxic", "clean_probe", "toxic_probe")])
+    return texts.mapInArrow(count, COUNTS).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNT_COLUMNS])
 
 
-def _lowered(toxic: Column, clean: Column, n_toxic: float, n_clean: float) -> Column:
-    """`log_odds` of all words at once."""
-    weight, total = F.lit(PRIOR) * (toxic + clean), PRIOR * (n_toxic + n_clean)
-    a, b = toxic + weight, clean + weight
-    odds = F.log(a / (F.lit(n_toxic + total) - a)) - F.log(b / (F.lit(n_clean + total) - b))
-    return F.when(toxic > 0, odds - SURE * F.sqrt(1 / a + 1 / b))
+def _lowered(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
+    """`log_odds` of all words for each of `SURES`, by row; 0 where it is below, for words in too
+    few toxic texts and where a class is missing."""
+    if not n_toxic or not n_clean:
+        return np.zeros((len(SURES), len(toxic)))
+    weight, total = PRIOR * (toxic + clean), PRIOR * (n_toxic + n_clean)
+    a, b = toxic + weight + 1e-300, clean + weight + 1e-300
+    odds = np.log(a / (n_toxic + total - a)) - np.log(b / (n_clean + total - b))
+    lowered = odds - np.array(SURES)[:, None] * np.sqrt(1 / a + 1 / b)
+    return np.where(toxic >= min(LEAST_TEXTS, n_toxic), np.maximum(0.0, lowered), 0.0)
+
+
+def word_scores(counts: DataFrame, n_clean: list[int], n_toxic: list[int]) -> DataFrame:
+    """word, score (by all training texts), rest (for each quarter by the texts outside it), for each of
+    `SURES`; clean and both, the texts that hold it. Words without a score above the drift are left out."""
+    named = [f"{c}{k}" for c in ("clean", "toxic") for k in range(QUARTERS)]
+    numbers = pa.list_(pa.float64())
+    schema = pa.schema([("word", pa.string()), ("score", numbers), ("rest", pa.list_(numbers)), ("clean", pa.int64()), ("both", pa.int64())])
+
+    def score(batches):
+        for batch in batches:
+            held = np.array([batch.column(c).to_numpy() for c in named]).reshape(2, QUARTERS, -1)
+            clean, toxic = held.sum(axis=1)
+            every = _lowered(toxic, clean, float(sum(n_toxic)), float(sum(n_clean)))
+            rest = np.array([
+                _lowered(toxic - held[1, k], clean - held[0, k], float(sum(n_toxic) - n_toxic[k]), float(sum(n_clean) - n_clean[k]))
+                for k in range(QUARTERS)])
+            use = np.flatnonzero((every.max(axis=0) > DRIFT) | (rest.max(axis=(0, 1)) > DRIFT))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("word").take(pa.array(use)), pa.array(every[:, use].T.tolist(), numbers),
+                pa.array(rest[:, :, use].transpose(2, 0, 1).tolist(), pa.list_(numbers)),
+                pa.array(clean[use]), pa.array((clean + toxic)[use])], schema=schema)
+
+    return counts.where("word <> ''").select("word", *named).mapInArrow(
+        score, "word string, score array<double>, rest array<array<double>>, clean bigint, both bigint")
+
+
+# How words are scored, as tried: the sureness of the bound and the least score.
+GRID = [(s, g) for s in range(len(SURES)) for g in GRADES]
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = TRAIN_ROWS) -> Model:
     """The model of the labelled documents outside the held-out fold.
 
     Without documents of both classes nothing is toxic. What comes to the driver: the
-    words with significant log-odds, bounded by the training rows, and for each grade
-    the numbers of probe texts by their statistic.
+    words with log-odds above zero at the least sure bound, bounded by the training rows, and
+    for each grade the numbers of training texts by their statistic.
     """
-    short_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    short_batches(spark)
     texts, _ = stored(training_texts(docs, labels, folds, rows), "training")
     counts, _ = stored(word_counts(texts), "words")
     n = counts.where("word = ''").first()
-    if n is None or not n.clean or not n.toxic:
+    clean, toxic = ([n[f"{c}{k}"] if n else 0 for k in range(QUARTERS)] for c in ("clean", "toxic"))
+    if not sum(clean) or not sum(toxic):
         return Model({})
-    rest = (F.col("toxic") - F.col("toxic_probe"), F.col("clean") - F.col("clean_probe"))
-    n_rest = (float(n.toxic - n.toxic_probe), float(n.clean - n.clean_probe))
-    kept = counts.where("word <> ''").select(
-        "word", rest[1].alias("clean"), (rest[0] + rest[1]).alias("both"),
-        F.coalesce(_lowered(F.col("toxic"), F.col("clean"), float(n.toxic), float(n.clean)), F.lit(0.0)).alias("score"),
-        (F.coalesce(_lowered(*rest, *n_rest), F.lit(0.0)) if all(n_rest) else F.lit(0.0)).alias("rest"),
-    ).where((F.col("score") > DRIFT) | (F.col("rest") > DRIFT)).collect()
-    tried = [{r.word: r.rest for r in kept if r.rest >= max(g, 2 * DRIFT)} for g in GRADES]
-
-    def best(batches):
+
+    kept = word_scores(counts, clean, toxic).collect()
+    shared = spark.sparkContext.broadcast({r.word: np.array(r.rest) for r in kept})
+
+    def judge(batches):
         schema = pa.schema([("toxic", pa.int32()), ("words", pa.int64()), ("grade", pa.int32()), ("scores", pa.list_(pa.float64()))])
 
         def found():
-            models = [Model(t) for t in tried]
-            for text, toxic in rows_of(batches, "text", "toxic"):
+            known = shared.value
+            for text, toxic, quarter in rows_of(batches, "text", "toxic", "quarter"):
                 words = tokens(text)
-                for grade, model in enumerate(models):
-                    yield int(bool(toxic)), len(words), grade, [s for *_, s in maximal_segments(*model.token_scores(words))]
+                hits = [(k, known[w][quarter].tolist()) for k, w in enumerate(words) if w in known]
+                for grade, (s, least) in enumerate(GRID):
+                    own = [(k, x[s]) for k, x in hits if x[s] >= max(least, 2 * DRIFT)]
+                    segments = maximal_segments([k for k, _ in own], [x - DRIFT for _, x in own])
+                    yield int(bool(toxic)), len(words), grade, [x for *_, x in segments]
 
         yield from batched(schema, found(), 2_000)
 
-    seen, _ = stored(texts.where("probe").select("text", "toxic").mapInArrow(
-        best, "toxic int, words bigint, grade int, scores array<double>"), "segments")
+    seen, _ = stored(texts.select("text", "toxic", "quarter").mapInArrow(
+        judge, "toxic int, words bigint, grade int, scores array<double>"), "segments")
     length = float(seen.where("toxic = 0").agg(F.avg("words")).first()[0] or 1.0)
-    total = PRIOR * sum(n_rest)
-    rates = [_rate([(r.rest - DRIFT, (r.clean + PRIOR * r.both) / (n_rest[1] + total)) for r in kept if r.word in t], length)
-             for t in tried]
+    total = PRIOR * (sum(clean) + sum(toxic))
+    chances = [(r.score, (r.clean + PRIOR * r.both) / (sum(clean) + total)) for r in kept]
+    rates = [_rate([(x[s] - DRIFT, p) for x, p in chances if x[s] >= max(least, 2 * DRIFT)], length) for s, least in GRID]
     at = F.col("grade") + 1
     rate, top = F.element_at(F.array(*map(F.lit, rates)), at), F.coalesce(F.array_max("scores"), F.lit(0.0))
-    scales = [1e-3] * len(GRADES)
+    scales = [1e-3] * len(GRID)
     for r in seen.where("toxic = 0").groupBy("grade").agg(
             F.sum((top > 0).cast("int")).alias("hit"), F.sum(F.col("words") * F.exp(-rate * top)).alias("exposed")).collect():
         scales[r.grade] = max(r.hit or 0, 0.5) / max(r.exposed or 1.0, 1.0)
@@ -229,12 +276,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = TRAIN_RO
     # How many texts of both classes lie in each twentieth of the statistic.
     cells = seen.select("grade", "toxic", F.least(F.lit(4000), F.ceil(x * 20)).alias("cell")).groupBy("grade", "cell").agg(
         F.sum("toxic").alias("toxic"), F.count("*").alias("n")).orderBy("grade", "cell").collect()
-    cuts = [_cut([(r.cell / 20, r.n - r.toxic, r.toxic) for r in cells if r.grade == g]) for g in range(len(GRADES))]
-    # The fewest texts on the wrong side; of equally good grades the middle one.
+    cuts = [_cut([(r.cell / 20, r.n - r.toxic, r.toxic) for r in cells if r.grade == g]) for g in range(len(GRID))]
+    # The surest bound whose texts on the wrong side are as few as the fewest, give or take
+    # their root; of its equally good grades the middle one.
     fewest = min(wrong for wrong, _ in cuts)
-    good = [g for g, (wrong, _) in enumerate(cuts) if wrong == fewest]
+    sure = min(GRID[g][0] for g, (wrong, _) in enumerate(cuts) if wrong <= fewest + math.sqrt(fewest))
+    own = [g for g in range(len(GRID)) if GRID[g][0] == sure]
+    good = [g for g in own if cuts[g][0] == min(cuts[k][0] for k in own)]
     g = good[len(good) // 2]
-    return Model({r.word: r.score for r in kept if r.score >= max(GRADES[g], 2 * DRIFT)}, rates[g], scales[g], cuts[g][1])
+    sure, least = GRID[g]
+    return Model({r.word: r.score[sure] for r in kept if r.score[sure] >= max(least, 2 * DRIFT)}, rates[g], scales[g], cuts[g][1])
 
 
 def _rate(scores: list[tuple[float, float]], words: float) -> float:
@@ -281,8 +332,8 @@ def scored(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
     def add(batches):
         model = shared.value
         for batch in batches:
-            found = [model.segments(tokens(t)) for t in batch.column("text").to_pylist()]
-            values = [model.score(s) for s in found]
+            judged = [model.judged(tokens(t)) for t in batch.column("text").to_pylist()]
+            values, found = [v for v, _ in judged], [s for _, s in judged]
             extra = [
                 pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32()),
                 pa.array([[{"start": a, "end": b, "score": s} for a, b, s, _ in f] for f in found], spans)]
