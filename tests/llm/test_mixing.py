@@ -114,3 +114,51 @@ def test_files_and_partitions_do_not_matter(spark, monkeypatch, shard):
     docs = spark.createDataFrame(source_rows(), DOCS)
     results = [sorted(map(tuple, mixing.mixed(d).collect()), key=repr) for d in (docs.coalesce(1), docs.repartition(7))]
     assert results[0] == results[1]
+
+
+def best_miss(sizes, quota):
+    """How near whole documents can come, by all sums that they reach."""
+    total = sum(sizes)
+    left = quota % total
+    reach = {0}
+    for n in sizes:
+        reach |= {r + n for r in reach}
+    return min(abs(r - left) for r in reach)
+
+
+@pytest.mark.parametrize("seed", range(100))
+def test_small_sources_reach_what_whole_documents_can(seed):
+    rnd = random.Random(seed)
+    sizes = [int(rnd.lognormvariate(5, 1.5)) + 1 for _ in range(10)]
+    quota = rnd.randint(0, 3 * sum(sizes) - 1)
+    found = mixing.copies(sizes, quota, 1)
+    assert abs(sum(n * c for n, c in zip(sizes, found)) - quota) == best_miss(sizes, quota)
+
+
+def test_many_documents_meet_the_quota():
+    rnd = random.Random(3)
+    for _ in range(5):
+        sizes = [int(rnd.lognormvariate(5, 1.5)) for _ in range(3000)]
+        quota = rnd.randint(1, 3 * sum(sizes) - 1)
+        found = mixing.copies(sizes, quota, 512)
+        assert max(found) <= 3 and abs(sum(n * c for n, c in zip(sizes, found)) - quota) <= 1
+    # Very long documents: sums are told apart by steps.
+    sizes = [rnd.randint(1, 5_000_000) for _ in range(200)]
+    quota = sum(sizes) // 3
+    found = mixing.copies(sizes, quota, 512)
+    assert abs(sum(n * c for n, c in zip(sizes, found)) - quota) <= 0.001 * quota
+
+
+def test_query_comes_near_its_targets(spark):
+    """Each source misses its target by what whole documents force, and a block, at most."""
+    from waylark.llm import queries
+
+    got = queries.op8_mixing(spark, "/root/testdata/sf0.001").collect()
+    sources = {}
+    for r in got:
+        sources.setdefault(r.source, []).append(r)
+    for own in sources.values():
+        sizes, target = [r.size for r in own], own[0].target
+        missed = abs(sum(r.taken for r in own) - target)
+        assert missed <= best_miss([n for n in sizes if n], int(target)) + 5
+        assert missed <= 0.01 * target or best_miss([n for n in sizes if n], int(target)) > 0.005 * target

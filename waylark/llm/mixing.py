@@ -4,8 +4,8 @@ The target of each source is turned into whole blocks: every block goes to the s
 with the highest quotient target / (2 * blocks so far + 1). The same rule then deals a
 source's blocks to its shards, random parts of bounded size. Within a shard the quota
 is met by whole passes over all documents, by blocks of neighbouring documents in
-seeded order, and at last by the single documents whose sum comes nearest, so every
-document is taken a whole number of times.
+seeded order, and at last by the choice among its shortest documents, held back for it,
+whose sum comes nearest, so every document is taken a whole number of times.
 
 What comes to the driver is a row per source and a row per shard of `SHARD_DOCS`
 documents; documents stay in the tasks.
@@ -25,12 +25,12 @@ from waylark.llm.common import WORD, chosen_rows, row_key, stored, unused, whole
 BLOCK_WORDS = 512
 # Blocks that the smallest table is cut into at least, as long as it has as many words.
 LEAST_BLOCKS = 20_000
-SHARD_DOCS = 1 << 16
+SHARD_DOCS = 1 << 14
 MOST = 3
-# The last words of a shard's quota, below the first number, are met by the best choice
-# among so many documents.
-FINE_WORDS = 4096
+# The shortest documents of a shard that are held back for the last choice, and the steps
+# that its sums are told apart by.
 FINE_DOCS = 128
+FINE_STEPS = 1 << 19
 # Rows of a table of sources or shards that are broadcast; a row has a name and numbers.
 BROADCAST_ROWS = 50_000
 
@@ -88,12 +88,20 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: int = MOST) ->
 def nearest_sum(sizes: list[int], wanted: int) -> list[int]:
     """Positions of a choice of the sizes whose sum is as near to `wanted` as any, the smaller of two.
 
-    Bit k of a number says whether the sum k can be reached with the sizes so far.
+    Bit k of a number says whether the sum k can be reached with the sizes so far. Beyond
+    `FINE_STEPS` words sums are told apart by steps of several words, so the choice can
+    miss the best one by a step for each size.
     """
+    step = 1 + wanted // FINE_STEPS
+    if step > 1:
+        sizes, wanted = [round(n / step) for n in sizes], wanted // step
     reach = [1]
     for n in sizes:
         reach.append((reach[-1] | reach[-1] << n) & ((1 << 2 * wanted + 1) - 1))
-    total = next(k for d in range(wanted + 1) for k in (wanted - d, wanted + d) if reach[-1] >> k & 1)
+    below = (reach[-1] & (1 << wanted + 1) - 1).bit_length() - 1
+    above = reach[-1] >> wanted
+    over = (above & -above).bit_length() - 1 if above else wanted + 1
+    total = below if wanted - below <= over else wanted + over
     chosen = []
     for i in range(len(sizes) - 1, -1, -1):
         if not reach[i] >> total & 1:
@@ -109,12 +117,19 @@ def copies(sizes: list[int], quota: int, block_words: int, most: int = MOST) ->
         return [0] * len(sizes)
     quota = min(quota, most * total)
     passes, left = divmod(quota, total)
+    found = [passes] * len(sizes)
+    if not left:
+        return found
+    held = sorted((i for i, n in enumerate(sizes) if n), key=lambda i: (sizes[i], i))[:FINE_DOCS]
+    room = sum(sizes[i] for i in held)
+    kept_back = set(held)
     blocks: dict[int, list[int]] = {}
     at = 0
     for i, n in enumerate(sizes):
-        blocks.setdefault(at // block_words, []).append(i)
-        at += n
-    found, spare = [passes] * len(sizes), []
+        if n and i not in kept_back:
+            blocks.setdefault(at // block_words, []).append(i)
+            at += n
+    spare = []
     for block in blocks.values():  # the order is random already, so are the first blocks
         words = sum(sizes[i] for i in block)
         if words <= left:
@@ -122,15 +137,15 @@ def copies(sizes: list[int], quota: int, block_words: int, most: int = MOST) ->
             for i in block:
                 found[i] += 1
         else:
-            spare += [i for i in block if sizes[i]]
+            spare += block
     single = []
     for i in spare:
-        if left > FINE_WORDS and sizes[i] <= left:
+        if left > room and sizes[i] <= left:
             left -= sizes[i]
             found[i] += 1
         else:
             single.append(i)
-    fits = [i for i in single if sizes[i] <= 2 * left][:FINE_DOCS]
+    fits = held + [i for i in single if sizes[i] <= 2 * left][:FINE_DOCS]
     for k in nearest_sum([sizes[i] for i in fits], left):
         found[fits[k]] += 1
     return found
