@@ -2,6 +2,7 @@
 
 from waylark.plans import (  # noqa: F401
     drift_plans,
+    explain_plans,
     itinerary_plans,
     learning_plans,
     nested_plans,
