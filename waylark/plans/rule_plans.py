@@ -11,7 +11,7 @@ from waylark.plans import nested_plans as NP
 from waylark.plans.domain import views
 from waylark.plans.registry import query
 from waylark.session import new_shared_path
-from waylark.streaming import ingest
+from waylark.streaming import ingest, timed
 
 HOUR = 3600
 BOUNDS = [0.1, 0.25, 0.5, 1.0, 2.5]
@@ -81,7 +81,8 @@ def services(spark, sf):
     return D.table(spark, sf, "events").select(
         "event_id", "ts", (F.col("user_id") % 3).cast("int").alias("service"),
         (F.col("event_type") == "error").alias("is_5xx"), (F.col("value") / 100).alias("latency_s"),
-        (F.col("value") * 1_500_000).alias("bytes"))
+        # Every sixth hour a service needs half a gigabyte more, so the rule has something to find.
+        (F.col("value") * 1_500_000 + F.when(F.hour("ts") % 6 == 0, 500_000_000.0).otherwise(0.0)).alias("bytes"))
 
 
 @query("error_ratio_alerts", _MINUTES + """, levels AS (
@@ -92,6 +93,41 @@ def error_ratio_alerts(spark, sf):
     return R.error_ratio_alert(services(spark, sf), "ts", F.col("is_5xx"), ["service"])
 
 
+def _as_stream(rows, far: str):
+    """The rows as a stream that ends with one of a service -1 far later, so that every window closes."""
+    folder = new_shared_path(rows.sparkSession, "stream")
+    last = rows.select(*[
+        F.lit(far).cast(rows.schema[c].dataType).alias(c) if c == "ts" else F.lit(-1).alias(c) if c == "service"
+        else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).limit(1)
+    both = rows.unionByName(last).withColumn("ts", F.col("ts").cast("timestamp"))
+    both.write.parquet(folder)
+    return rows.sparkSession.readStream.schema(both.schema).parquet(folder)
+
+
+def _told(live):
+    """All rows of a stream that is read to its end, as a table."""
+    spark = live.sparkSession
+    out = new_shared_path(spark, "told")
+    live.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", new_shared_path(spark, "told-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(live.schema).parquet(out)
+
+
+@query("error_ratio_alerts_stream", _MINUTES + """, levels AS (
+  SELECT service, window_end AS ts, 0 AS event_id, count(*) FILTER (is_5xx) / count(*) AS level FROM spread GROUP BY ALL),
+told AS (""" + _HOLD.format(breach=f"level > {R.ERROR_RATIO_LIMIT}", src="levels", series="service", hold=R.HOLD_SECONDS).replace(", on_ AS", "WITH on_ AS", 1) +
+  """) SELECT service, started_at, fired_at, CASE WHEN resolved_at IS NOT NULL THEN last_breach_at END AS last_breach_at, resolved_at FROM told""")
+def error_ratio_alerts_stream(spark, sf):
+    """`error_ratio_alerts` by one streaming query with state behind its windows."""
+    s = _as_stream(services(spark, sf).select("ts", "service", "is_5xx"), "2100-01-01 00:00:00")
+    told = _told(timed.error_ratio_alert_stream(s, "ts", F.col("is_5xx"), ["service"]))
+    found = timed.latest_episodes(told.where("service >= 0"), ["service"])
+    stamp = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return found.select(
+        "service", stamp("started_at"), stamp("fired_at"),
+        F.when(F.col("resolved_at").isNotNull(), F.col("last_breach_at")).cast("timestamp_ntz").alias("last_breach_at"), stamp("resolved_at"))
+
+
 @query("latency_alerts", _MINUTES + f""", h AS (SELECT service, window_end, {_LE}, count(*) AS n FROM spread GROUP BY ALL),
 levels AS (SELECT service, window_end AS ts, 0 AS event_id, {_quantile_sql("0.95::DOUBLE")} AS level FROM h)""" +
   _HOLD.format(breach=f"level > {R.LATENCY_LIMIT_SECONDS}", src="levels", series="service", hold=R.HOLD_SECONDS))
@@ -100,7 +136,7 @@ def latency_alerts(spark, sf):
     return R.latency_alert(services(spark, sf), "ts", "latency_s", BOUNDS, ["service"])
 
 
-@query("memory_alerts", _MINUTES + ", sizes AS (SELECT (user_id % 3)::INT AS service, ts, event_id, value * 1500000 AS bytes FROM events)" +
+@query("memory_alerts", _MINUTES + ", sizes AS (SELECT (user_id % 3)::INT AS service, ts, event_id, value * 1500000 + CASE WHEN hour(ts) % 6 = 0 THEN 500000000::DOUBLE ELSE 0::DOUBLE END AS bytes FROM events)" +
   _HOLD.format(breach=f"bytes > {R.MEMORY_LIMIT_BYTES}", src="sizes", series="service", hold=R.MEMORY_HOLD_SECONDS))
 def memory_alerts(spark, sf):
     """More than 500 MB for ten minutes."""
