@@ -129,3 +129,32 @@ def test_copies_are_no_neighbours(spark):
     want = dict.fromkeys(range(200), ("copied", 1)) | {500: ("first", 1), 501: ("last", 1), 700: ("two", 1)}
     want |= dict.fromkeys((600, 601, 602), ("one", 1)) | dict.fromkeys((800, 801), ("only", 0))
     assert got == want
+
+
+@pytest.mark.parametrize("name", [
+    "comment-list", "comments-area", "ad-slot", "advert-box", "article-sidebar", "site-notice", "promo-box", "share-buttons",
+    "user-comments", "cookie-banner", "post__related-posts"])
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_compound_names_inside_an_article(name, around):
+    page = f"<{around}><h1>Title</h1><p>The text of the page.</p><div class='x {name}'><p>Not text.</p></div><p>More.</p></{around}>"
+    assert text_of(page) == "Title\nThe text of the page.\nMore."
+
+
+@pytest.mark.parametrize("inner", [
+    '<section id="related-work"><p>Kept.</p></section>', '<h2 id="social-impact">Kept.</h2>', '<div id="search-algorithms">Kept.</div>',
+    '<div class="has-sidebar">Kept.</div>', '<p class="notice-of-terms">Kept.</p>'])
+def test_names_made_from_headings_are_kept(inner):
+    assert text_of(f"<article><p>One.</p>{inner}</article>") == "One.\nKept."
+
+
+def test_layout_wrappers_inside_main():
+    page = ("<main><div class='content-sidebar-wrap'><p>A long text that the layout wraps.</p></div>"
+            "<div class='right-sidebar'>Aside.</div></main>")
+    assert "A long text that the layout wraps." in text_of(page)
+
+
+def test_a_teaser_beside_a_plain_text():
+    text = "<p>" + "The story goes on and on. " * 20 + "</p>"
+    page = f"<div>{text}</div><article><p>Read this too.</p></article>"
+    assert text_of(page) == ("The story goes on and on. " * 20).strip()
+    assert text_of(f"<div><p>Short.</p></div><article>{text}</article>") == ("The story goes on and on. " * 20).strip()

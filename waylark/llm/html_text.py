@@ -10,7 +10,9 @@ page are not shared, and passages that articles repeat are. So what the markup s
 first. Lines in menus, headers, footers, sidebars, forms, comments and the like are
 never text, whether shared or not; lines of an article stay, whether shared or not. What
 only wraps an article (html, body, a form or a division with such a name around it) does
-not make it furniture.
+not make it furniture. Inside an article a division with a compound name of such a word
+goes as well; one named for its place in a layout only if it holds less than half of the
+article, else it is its wrapper. A teaser next to a longer text is no article.
 Differencing decides about the lines for which the markup says nothing, on pages
 without an article or main element.
 """
@@ -42,7 +44,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 NEVER = frozenset(
     "aside audio button canvas dialog footer form head iframe input menu nav noscript object script select style svg "
     "template textarea title video".split())
-LANDMARKS = frozenset(("article", "main"))
+ARTICLE, MAIN = 1, 2
+LANDMARKS = {"article": ARTICLE, "main": MAIN}
 # Words in class, id or role that mark furniture.
 FURNITURE = frozenset(
     "ad ads advert advertisement advertising adverts alert alertdialog announcement banner breadcrumb breadcrumbs comment "
@@ -66,6 +69,10 @@ _NAME = re.compile(r"[a-z0-9]+")
 # How sure it is that an element is furniture. A loose one, a form or a name with such a word
 # in it, may be a wrapper of the page. A named one has a name of such words alone.
 LOOSE, NAMED, SURE = 1, 2, 3
+# Words that name a place in a layout, so a division around the text may have them too.
+_PLACES = frozenset("footer form header nav navbar sidebar toolbar widget".split())
+# Elements whose class, if it has a word of furniture in it, names what they hold.
+_CONTAINERS = frozenset("div dl ol section span table ul".split())
 _STATES = frozenset("has hide no show with without".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -92,8 +99,15 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> int:
             words = _NAME.findall(name)
             if words and known.issuperset(words):
                 return NAMED
-            if not in_article and words and words[0] not in _STATES and not known.isdisjoint(words):
+            if not words or words[0] in _STATES or known.isdisjoint(words):
+                continue
+            if not in_article:
                 found = LOOSE
+            elif tag in _CONTAINERS and m[1].lower() != "id":
+                if not (known - _PLACES).isdisjoint(words):
+                    return NAMED
+                if tag in BLOCKS:
+                    found = LOOSE
     return found
 
 
@@ -103,27 +117,33 @@ class _Open:
 
     __slots__ = ("tag", "furniture", "landmark", "silent", "wraps")
 
-    def __init__(self, tag: str, furniture: int, landmark: bool, silent: bool = False, wraps: int = 0):
+    def __init__(self, tag: str, furniture: int, landmark: int, silent: bool = False, wraps: int = 0):
         self.tag, self.furniture, self.landmark, self.silent, self.wraps = tag, furniture, landmark, silent, wraps
 
 
-def _judged(found: list[tuple[str, int, bool, int]]) -> list[tuple[str, bool, bool]]:
+def _judged(found: list[tuple[str, int, int, int]]) -> list[tuple[str, bool, bool]]:
     """The lines with loose furniture decided by the whole page.
 
     Of the articles those in the fewest wrappers count, so teasers below an article are
-    none. If all are in wrappers, and there is more text outside, they are teasers too.
-    Without an article, and without a line outside of wrappers, the wrappers don't count.
+    none. If there is more text outside of them all, they are teasers too: more than twice as much, if
+    they are in no wrapper; a main element is never one. Without an article, and without a line outside
+    of wrappers, the wrappers don't count. Loose furniture inside an article counts if it is less than half of it.
     """
     least = min((wraps for _, _, landmark, wraps in found if landmark), default=None)
-    if least:
-        inside = sum(len(text) for text, _, landmark, wraps in found if landmark and wraps == least)
-        if sum(len(text) for text, furniture, landmark, _ in found if not furniture and not landmark) > inside:
+    keep_inner = False
+    if least is not None:
+        own = [(len(text), furniture) for text, furniture, landmark, wraps in found if landmark and wraps == least]
+        inside, inner = sum(n for n, _ in own), sum(n for n, furniture in own if furniture)
+        keep_inner = 2 * inner > inside
+        outside = sum(len(text) for text, furniture, landmark, _ in found if not furniture and not landmark)
+        if outside > inside * (1 if least else 2) and not any(landmark == MAIN for _, _, landmark, _ in found):
             least = -1
     bound = LOOSE if least is None and all(furniture for _, furniture, _, _ in found) else 0
     out = []
     for text, furniture, landmark, wraps in found:
         if landmark:
-            out.append((text, wraps != least, wraps == least))
+            counts = wraps == least and (keep_inner or not furniture)
+            out.append((text, not counts, counts))
         else:
             out.append((text, furniture > bound, False))
     return out
@@ -137,7 +157,7 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
     skipped, open elements end with those around them, or with the page.
     """
     stack: list[_Open] = []
-    found: list[tuple[str, int, bool, int]] = []
+    found: list[tuple[str, int, int, int]] = []
     words: list[str] = []
     html, at = html or "", 0
 
@@ -147,7 +167,7 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
             words.clear()
             if text:
                 top = stack[-1] if stack else None
-                found.append((text, top.furniture, top.landmark, top.wraps) if top else (text, 0, False, 0))
+                found.append((text, top.furniture, top.landmark, top.wraps) if top else (text, 0, 0, 0))
 
     def close_to(k: int) -> None:
         while len(stack) > k:
@@ -187,8 +207,9 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
                     break
                 if stack[k].tag in _SCOPES[tag]:
                     break
-        top = stack[-1] if stack else _Open("", 0, False)
-        own = _furniture(tag, attributes, top.landmark or tag in LANDMARKS)
+        top = stack[-1] if stack else _Open("", 0, 0)
+        landmark = max(top.landmark, LANDMARKS.get(tag, 0))
+        own = _furniture(tag, attributes, landmark > 0)
         # An article resets what only wraps it, and main what has such a name, too.
         resets = {"article": LOOSE, "main": NAMED}.get(tag, 0)
         furniture = max(top.furniture if top.furniture > resets else 0, own)
@@ -204,7 +225,9 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
             at = end.end()
             continue
         silent = furniture and tag not in BLOCKS and (top.silent or not top.furniture)
-        stack.append(_Open(tag, furniture, (top.landmark or tag in LANDMARKS) and not furniture, silent, wraps))
+        # What is loose inside an article is still in it.
+        inside = landmark if not furniture or furniture == LOOSE and top.landmark else 0
+        stack.append(_Open(tag, furniture, inside, silent, wraps))
     close_to(0)
     close_line()
     return _judged(found)
