@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waylark.functions.pvalues import chi2_tail, kolmogorov_tail
+from waylark.functions.pvalues import chi2_tail, kolmogorov_tail, ks_tail
 from waylark.operators.ordered import running_totals, unpivot
 
 # Thresholds and floor of the stability index and the tests.
@@ -112,6 +112,15 @@ def ks_2samp(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
     return g.withColumn("ks_pvalue", p)
 
 
+def ks_exact(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
+    """`ks_2samp` with the exact p-value for small samples.
+
+    Exact for values without ties; with ties the p-value is an upper bound, as usual.
+    """
+    p = ks_tail(F.col("ks_stat"), F.col("n_ref"), F.col("n_cur"))
+    return ks_2samp(ref, cur, cols).withColumn("ks_pvalue", p)
+
+
 def categorical_counts(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, value, n_ref, n_cur) over both sides, counted in one pass."""
     def pairs(d: DataFrame, flag: bool) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
-from waylark.operators.ordered import exact_medians
+from waylark.operators.ordered import exact_medians, running_totals
+from waylark.session import pinned
 
 # The order is part of the contract between training and scoring.
 FEATURE_COLS = [
@@ -202,6 +203,43 @@ def stratified_split(
     return df.withColumn("is_test", split_bucket(key, label, seed) < int(test_share * 10_000))
 
 
+# Bits of the hash that tell the cells of `exact_split` apart: a million cells for each class.
+CELL_BITS = 20
+
+
+def exact_split(
+    df: DataFrame, label: str, key: list[str], test_share: float = 0.2, seed: int = 42
+) -> DataFrame:
+    """Add `is_test` for exactly round(test_share * n) rows of each class, the halves up.
+
+    The rows with the smallest hashes of key and label are test rows, of equal hashes those with
+    the smallest keys; rows that are equal in all of this are told apart at random. The
+    hash's first bits are counted by cell, which combines map-side; only the one cell of
+    each class in which the share ends, a millionth of its rows, is sorted. `df` is read
+    twice and should be a stored table.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*key, label)]
+    digits = F.substring(F.md5(F.concat_ws("|", *parts, F.lit(str(seed)))), 1, 8)
+    rows = df.withColumn("_hash", F.conv(digits, 16, 10).cast("long"))
+    cell = F.shiftright("_hash", 32 - CELL_BITS)
+    known = F.coalesce(F.col(label).cast("string"), F.lit("null"))
+    counts = rows.groupBy(known.alias("_class"), cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    run = running_totals(counts, "_class", "_cell", ["_n"])
+    wanted = F.floor(F.col("tot__n") * F.lit(test_share) + 0.5)
+    before = F.col("cum__n") - F.col("_n")
+    # One row per class: the first cell of which not all rows are test rows.
+    edges = run.filter((before <= wanted) & (wanted < F.col("cum__n"))).groupBy("_class").agg(
+        F.min(F.struct(F.col("_cell").alias("cell"), (wanted - before).alias("left"))).alias("_edge"))
+    placed = rows.withColumns({"_class": known, "_cell": cell}).join(edges, "_class", "left")
+    # Without an edge all rows of a class are test rows.
+    side = F.coalesce(F.signum(F.col("_cell") - F.col("_edge.cell")), F.lit(-1.0))
+    clear = placed.filter(side != 0).select(*df.columns, (side < 0).alias("is_test"))
+    order = W.partitionBy("_class").orderBy("_hash", *key)
+    edge = placed.filter(side == 0).withColumn("_rank", F.row_number().over(order)).select(
+        *df.columns, (F.col("_rank") <= F.col("_edge.left")).alias("is_test"))
+    return clear.unionByName(edge)
+
+
 def temporal_split(df: DataFrame, date_col: str, first_test_day: str) -> DataFrame:
     """Add `is_test` for rows on or after a day."""
     return df.withColumn("is_test", F.col(date_col) >= F.lit(first_test_day).cast("date"))
@@ -230,5 +268,5 @@ def delay_rate(df: DataFrame, label: str = LABEL_COL, by: list[str] | None = Non
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Absolute and relative frequency per category (nulls left out)."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    counts = pinned(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")), "value-counts")
     return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())

@@ -218,6 +218,19 @@ def stratified_split_counts(spark, sf):
     return split.groupBy("is_delayed", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("exact_split_counts", f"""
+WITH {views('obs_flights')}, r AS (
+  SELECT is_delayed, l_linenumber, row_number() OVER (PARTITION BY is_delayed ORDER BY
+           ('0x' || left(md5(coalesce(l_orderkey::VARCHAR, '') || '|' || coalesce(l_linenumber::VARCHAR, '') || '|' || coalesce(is_delayed::VARCHAR, '') || '|42'), 8))::BIGINT,
+           l_orderkey, l_linenumber) <= floor(count(*) OVER (PARTITION BY is_delayed) * 0.2::DOUBLE + 0.5::DOUBLE) AS is_test, l_orderkey FROM obs_flights)
+SELECT is_delayed, is_test, count(*) AS n, sum(l_orderkey * 8 + l_linenumber)::BIGINT AS key_sum FROM r GROUP BY ALL""")
+def exact_split_counts(spark, sf):
+    """A fifth of each class, to the row; the sum of keys tells that they are the same rows."""
+    f = pinned(D.obs_flights(spark, sf).select("l_orderkey", "l_linenumber", "is_delayed"), "flights")
+    return FE.exact_split(f, "is_delayed", ["l_orderkey", "l_linenumber"]).groupBy("is_delayed", "is_test").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("key_sum"))
+
+
 @query("temporal_split", f"""
 WITH {views('obs_flights')}
 SELECT flight_date >= DATE '2024-01-21' AS is_test, count(*) AS n, sum(is_delayed)::BIGINT AS n_delayed FROM obs_flights GROUP BY 1""")
