@@ -30,7 +30,7 @@ def results(spark):
 def test_stages_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "mixing", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in ORACLES
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 def test_columns_stay(spark, results):
