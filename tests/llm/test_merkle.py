@@ -126,3 +126,52 @@ def test_a_hot_id_spans_ranges(spark, monkeypatch):
     laid, place, role = laid_out[0]
     assert laid.where(F.col(role) == 0).select(place).distinct().count() > 4
     assert laid.where(F.col(role) != 0).count() < 100
+
+
+WORDS = ["".join(random.Random(k).choice("abcdefghijklmnop") for _ in range(2 + k % 8)) for k in range(3000)]
+
+
+def plain(rng, n):
+    """Words without sentence marks or line ends."""
+    return [rng.choice(WORDS) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n, edits, least", [(400, 5, 0.9), (1000, 10, 0.85), (20_000, 40, 0.9)])
+def test_cuts_meet_again_behind_an_edit(n, edits, least):
+    rng = random.Random(n)
+    words = plain(rng, n)
+    changed = list(words)
+    for k in rng.sample(range(n), edits):
+        changed[k] = "other" + changed[k]
+    f = merkle.fingerprint
+    assert merkle.likeness(f(" ".join(words)), f(" ".join(changed))) > least
+    assert merkle.likeness(f(" ".join(words)), f(" ".join(plain(rng, n)))) < 0.05
+
+
+def test_leaves_grow_with_the_root_of_the_text():
+    rng = random.Random(5)
+    f = merkle.fingerprint
+    assert len(f(text := " ".join(plain(rng, 40_000)))) < 0.05 * len(text)
+    words = plain(rng, 3000)
+    for a, b in ((600, 760), (150, 760), (700, 3000)):  # texts of different levels
+        one, other = " ".join(words[:a]), " ".join(words[:b])
+        assert merkle.level_of(len(one)) < merkle.level_of(len(other))
+        assert merkle.likeness(f(one), f(other)) == pytest.approx(2 * len(one) / (len(one) + len(other)), abs=0.06)
+
+
+def test_cuts_by_window_hash_alone():
+    """Each cut of level k is the least of its neighbourhood, and one of level k - 1."""
+    rng = random.Random(6)
+    codes = merkle._codes(" ".join(plain(rng, 300)))
+    h = [0] * 64 + merkle._window_hash(codes).tolist() + [0] * 64
+    ends, level = merkle.cuts(codes, 4)
+    for k in range(5):
+        reach = merkle.RADIUS << k
+        want = [j + 1 for j in range(len(codes)) if h[j + 64] < min(h[j + 64 - reach: j + 64]) and h[j + 64] <= min(h[j + 65: j + 65 + reach])]
+        assert ends[level >= k].tolist() == sorted({*want, len(codes)})
+
+
+def test_long_runs_of_one_character():
+    one, other = "x" * 50_000, "x" * 49_000
+    assert max(len(p) for s in merkle.tree(one) for q in s for p in q) <= merkle.WIDEST << merkle.level_of(len(one))
+    assert merkle.likeness(merkle.fingerprint(one), merkle.fingerprint(other)) > 0.9
