@@ -31,8 +31,8 @@ def run(spark, rows, every=5, k=4):
 
 @pytest.mark.parametrize("block", [3, 64])
 def test_against_brute_force(spark, monkeypatch, block):
-    for name in ("BLOCK", "CHUNK", "SUMMARIES"):
-        monkeypatch.setattr(topk, name, block)
+    for name, value in (("BLOCK", block), ("CHUNK", block), ("TILE_BYTES", block * 12), ("HELD", block)):
+        monkeypatch.setattr(topk, name, value)
     random.seed(block)
     rows = [(i, [random.gauss(0, 0.3) for _ in range(6)]) for i in range(100)]
     rows += [(200 + i, [0.5, 0.0, 0.0, 0.25, 0.0, 0.0]) for i in range(60)]  # one very common vector
@@ -60,3 +60,25 @@ def test_bounds_hold(seed):
     rows, queries = rng.integers(-500, 500, (20, 8)), rng.integers(-500, 500, (5, 8))
     found = topk.bounds(queries, rows.min(axis=0)[None], rows.max(axis=0)[None])[:, 0]
     assert (found >= (queries @ rows.T).max(axis=1)).all()
+
+
+def test_no_bounds_of_queries_and_blocks_are_stored(spark, monkeypatch):
+    """What one round leaves to the next grows with queries times k, not with queries times blocks."""
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    kept = {}
+    real = topk.stored
+    monkeypatch.setattr(topk, "stored", lambda df, label: kept.setdefault(label, real(df, label)))
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 4)]) for i in range(400)]
+    assert run(spark, rows, 10, 3) == brute(rows, 10, 3)
+    assert set(kept) == {"vectors", "blocks", "chunks", "first"}
+    assert kept["blocks"][0].count() >= 100 and kept["first"][0].count() == 40 * 3
+
+
+def test_scores_to_reach_rise_on_the_way():
+    kept = topk.Kept(np.array([0, topk.LOWEST]), 2)
+    ids = np.arange(4)
+    kept.add(np.array([0, 0, 0, 1]), np.array([5, 9, 5, 1]), ids, ids)
+    query, score, names, _ = kept.settle()
+    assert (query.tolist(), score.tolist(), names.tolist()) == ([0, 0, 1], [9, 5, 1], [1, 0, 3])
+    assert kept.least.tolist() == [5, topk.LOWEST]

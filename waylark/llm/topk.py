@@ -6,17 +6,20 @@ both signs). For a query the sum over components of the larger of q * least and
 q * greatest bounds every score in the block.
 
 The blocks of a query are ordered by that bound. A first round scores the best ones
-through the blocks' rows, which gives a k-th score to beat; a second round scores those
-of the others whose bound reaches it. A block below cannot hold a better candidate, nor
-an equal one, so the result is exact; ties go to the smaller id.
-
-Queries and blocks meet as tiles: a chunk of queries against a block. Only tiles that
-pruning leaves are scored, a task holds one at a time, and hands on the scores that
-reach the k-th so far.
+through the blocks' rows, which gives a k-th score to beat; a second round computes the
+bounds again and scores the blocks whose bound reaches it. A block below cannot hold a
+better candidate, nor an equal one, so the result is exact; ties go to the smaller id.
+
+Queries and blocks meet in a grid: parts of the chunks of queries, tiles of blocks, both
+of at most about `TILE_BYTES` and more of them than tasks where there are enough. A group
+of the grid hands on `FIRST` blocks for each query in round one, and in round two its k
+best scores; bounds of queries and blocks are never stored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,20 +28,26 @@ from pyspark.sql import functions as F
 from waylark.llm.common import batched, partitions, rows_of, short_batches, stored
 
 SCALE = 1024
-# Vectors of a block, queries of a chunk, and block summaries of a tile.
+# Vectors of a block, queries of a chunk, and bytes of vectors on either side of a group of the grid.
 BLOCK = 256
 CHUNK = 256
-SUMMARIES = 1024
+TILE_BYTES = 16 << 20
 # Vectors, those with the smallest hash of their id, that similar ones are gathered around.
 PIVOTS = 128
 # Blocks that the first round scores for each query.
 FIRST = 3
 # Whole numbers below this are exact in double arithmetic.
 EXACT = 1 << 53
+# Scores held for a chunk before those beyond the k best go.
+HELD = 1 << 20
+LOWEST = -(1 << 63)
 # n vectors of a group: ids, row numbers, values row by row, least and greatest values.
 GROUP = "place bigint, n int, dims int, kind string, ids binary, own binary, rows binary, low binary, high binary"
 _GROUP = pa.schema([("place", pa.int64()), ("n", pa.int32()), ("dims", pa.int32()), ("kind", pa.string()),
                     *[(c, pa.binary()) for c in ("ids", "own", "rows", "low", "high")]])
+FOUND = "own bigint, query_id bigint, score bigint, vec_id bigint, row bigint"
+_FOUND = pa.schema([(c, pa.int64()) for c in ("own", "query_id", "score", "vec_id", "row")])
+_EARLY = [("chunk", pa.int64()), ("block", pa.int64()), ("query", pa.int32()), ("bound", pa.int64())]
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -135,28 +144,87 @@ def grouped(vectors: DataFrame, size: int) -> DataFrame:
 
 
 def _scored(tiles: DataFrame, chunks: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """own, query_id, score, vec_id, row: the k best of each wanted query in each tile."""
-    out = pa.schema([(c, pa.int64()) for c in ("own", "query_id", "score", "vec_id", "row")])
+    """own, query_id, score, vec_id, row: the k best of each wanted query in each of the blocks named."""
 
     def score(batches):
         def rows():
             names = ("dims", "wanted", "q_kind", "q_ids", "q_own", "q_rows", "kind", "ids", "own", "rows")
             for dims, wanted, q_kind, q_ids, q_own, q_rows, kind, ids, own, values in rows_of(batches, *names):
-                least = np.array([w["least"] for w in wanted])
-                wanted = np.array([w["query"] for w in wanted])
+                wanted = np.array(wanted)
                 asked, mine = _matrix(q_rows, dims, q_kind)[wanted], np.frombuffer(q_own, "<i8")[wanted]
                 names_, at = np.frombuffer(ids, "<i8"), np.frombuffer(own, "<i8")
-                found = best(asked, mine, least, names_, at, _matrix(values, dims, kind), k)
+                found = best(asked, mine, np.full(len(wanted), LOWEST), names_, at, _matrix(values, dims, kind), k)
                 for me, query, (places, scores) in zip(mine.tolist(), np.frombuffer(q_ids, "<i8")[wanted].tolist(), found, strict=True):
                     for p, s in zip(places.tolist(), scores.tolist(), strict=True):
                         yield me, query, s, int(names_[p]), int(at[p])
 
-        yield from batched(out, rows(), 4096)
+        yield from batched(_FOUND, rows(), 4096)
 
     asked = chunks.select(F.col("place").alias("chunk"), *[F.col(c).alias(f"q_{c}") for c in ("kind", "ids", "own", "rows")])
     held = blocks.select(F.col("place").alias("block"), "dims", "kind", "ids", "own", "rows")
     paired = tiles.join(asked, "chunk").join(held, "block").repartition(partitions(tiles.sparkSession))
-    return paired.mapInArrow(score, "own bigint, query_id bigint, score bigint, vec_id bigint, row bigint")
+    return paired.mapInArrow(score, FOUND)
+
+
+class Kept:
+    """The k best scores of each query of a chunk so far, and the score to reach."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        self.least, self.k, self.held, self.n = least.copy(), k, [], 0
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        self.held.append((query, score, ids, at))
+        self.n += len(query)
+        if self.n > HELD:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """Keeps the k best of each query, ties to the smaller id, and raises what must be reached."""
+        query, score, ids, at = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.zeros(0, np.int64),) * 4
+        order = np.lexsort((at, ids, -score, query))
+        query, score, ids, at = (c[order] for c in (query, score, ids, at))
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        full = nth == self.k - 1
+        self.least[query[full]] = np.maximum(self.least[query[full]], score[full])
+        use = nth < self.k
+        self.held, self.n = [tuple(c[use] for c in (query, score, ids, at))], int(use.sum())
+        return self.held[0]
+
+
+def searched(chunk: dict, blocks: list[dict], k: int) -> Iterator[tuple]:
+    """The k best rows of some blocks for each query of a chunk that reach its `least`.
+
+    Blocks come in the order of their highest bound; of each only the queries whose bound
+    reaches the score to beat are scored, and that score rises on the way.
+    """
+    dims = chunk["dims"]
+    asked, mine, names = _matrix(chunk["rows"], dims, chunk["kind"]), np.frombuffer(chunk["own"], "<i8"), np.frombuffer(chunk["ids"], "<i8")
+    low, high = (np.stack([np.frombuffer(b[c], "<i8") for b in blocks]) for c in ("low", "high"))
+    limit = bounds(asked, low, high)
+    kept = Kept(np.array(chunk["least"], np.int64), k)
+    for j in np.argsort(-limit.max(axis=0), kind="stable").tolist():
+        use = np.flatnonzero(limit[:, j] >= kept.least)
+        if not len(use):
+            continue
+        block = blocks[j]
+        ids, at = np.frombuffer(block["ids"], "<i8"), np.frombuffer(block["own"], "<i8")
+        scores = product(asked[use], _matrix(block["rows"], dims, block["kind"]))
+        q, r = np.nonzero((scores >= kept.least[use][:, None]) & (mine[use][:, None] != at))
+        kept.add(use[q], scores[q, r], ids[r], at[r])
+    query, score, ids, at = kept.settle()
+    yield from zip(mine[query].tolist(), names[query].tolist(), score.tolist(), ids.tolist(), at.tolist(), strict=True)
+
+
+def _tiled(chunks: DataFrame, blocks: DataFrame, sizes: tuple[int, int], wanted: list[str], held: list[str]):
+    """Chunks and blocks as a grid: every part of the chunks meets every tile of the blocks in one group."""
+    parts, tiles = sizes
+
+    def dealt(rows: DataFrame, own: str, n: int, other: str, m: int, columns: list[str]):
+        return rows.select(
+            "dims", "place", *columns, F.pmod(F.xxhash64("place"), F.lit(n)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)).groupBy("dims", "part", "tile")
+
+    return dealt(chunks, "part", parts, "tile", tiles, wanted).cogroup(dealt(blocks, "tile", tiles, "part", parts, held))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -182,51 +250,51 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = SCALE)
     blocks, _ = stored(grouped(placed, BLOCK), "blocks")
     chunks, _ = stored(grouped(placed.where(F.col("vec_id") % every == 0), CHUNK), "chunks")
 
-    # The bounds of every query and block: the stated query set against all rows, in blocks.
-    tiles = -(-blocks.count() // SUMMARIES) or 1
-    summaries = blocks.groupBy("dims", F.pmod(F.xxhash64("place"), F.lit(tiles)).alias("tile")).agg(
-        F.collect_list(F.struct("place", "low", "high")).alias("all"))
-
-    def bound(batches):
-        out = pa.schema([("chunk", pa.int64()), ("block", pa.int64()), ("bounds", pa.list_(pa.int64()))])
-
-        def rows():
-            for chunk, dims, kind, data, all_ in rows_of(batches, "place", "dims", "kind", "rows", "all"):
-                low, high = (np.stack([np.frombuffer(b[c], "<i8") for b in all_]) for c in ("low", "high"))
-                found = bounds(_matrix(data, dims, kind), low, high)
-                for j, b in enumerate(all_):
-                    yield chunk, b["place"], found[:, j].tolist()
-
-        yield from batched(out, rows(), 64)
-
-    bounded, _ = stored(
-        chunks.join(summaries, "dims").select("place", "dims", "kind", "rows", "all")
-        .repartition(partitions(spark)).mapInArrow(bound, "chunk bigint, block bigint, bounds array<bigint>"), "bounds")
-    each = bounded.select("chunk", "block", F.posexplode("bounds").alias("query", "bound"))
-
-    # Round one: the blocks with the highest bounds of each query.
+    # Queries and blocks meet in a grid of bounded groups: the stated query set against all rows, in blocks.
+    def cells(groups: DataFrame) -> int:
+        held = groups.agg(F.sum(F.octet_length("rows"))).first()[0] or 0
+        return max(-(-held // TILE_BYTES), min(partitions(spark), groups.count()), 1)
+
+    sizes = max(-(-cells(chunks) // partitions(spark)), 1), cells(blocks)
+
+    # Round one: the blocks with the highest bounds of each query. A group hands on FIRST for each of its queries.
+    def highest(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            names = np.array(right["place"].to_pylist(), np.int64)
+            low, high = (np.stack([np.frombuffer(b, "<i8") for b in right[c].to_pylist()]) for c in ("low", "high"))
+            for chunk in left.to_pylist():
+                found = bounds(_matrix(chunk["rows"], chunk["dims"], chunk["kind"]), low, high)
+                for query, limit in enumerate(found):
+                    order = np.lexsort((names, -limit))[:FIRST]
+                    out += [(chunk["place"], names[j], query, limit[j]) for j in order]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table({c: pa.array(v, kind) for (c, kind), v in zip(_EARLY, columns, strict=True)})
+
+    bounded = _tiled(chunks, blocks, sizes, ["kind", "rows"], ["low", "high"]).applyInArrow(
+        highest, "chunk bigint, block bigint, query int, bound bigint")
     order = Window.partitionBy("chunk", "query").orderBy(F.desc("bound"), "block")
-    ordered = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST)
-    early, _ = stored(ordered.select("chunk", "block", "query"), "early")
-
-    def tiled(wanted: DataFrame) -> DataFrame:
-        return wanted.groupBy("chunk", "block").agg(F.collect_list(F.struct("query", "least")).alias("wanted"))
-
-    lowest = F.lit(-(1 << 63))
-    first, _ = stored(_ranked(_scored(tiled(early.withColumn("least", lowest)), chunks, blocks, k), k).drop("rank"), "first")
+    early = bounded.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).groupBy("chunk", "block").agg(
+        F.collect_list("query").alias("wanted"))
+    first, _ = stored(_ranked(_scored(early, chunks, blocks, k), k).drop("rank"), "first")
     beat = first.groupBy("own").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
 
     # Round two: what the k-th score doesn't rule out. Queries short of k see every block.
-    numbers = chunks.select(F.col("place").alias("chunk"), "n", "own")
-
     def named(batches):
         out = pa.schema([("chunk", pa.int64()), ("query", pa.int32()), ("own", pa.int64())])
-        yield from batched(out, ((chunk, k, me) for chunk, own in rows_of(batches, "chunk", "own")
-                                 for k, me in enumerate(np.frombuffer(own, "<i8").tolist())), 4096)
-
-    names = numbers.mapInArrow(named, "chunk bigint, query int, own bigint")
-    limits = names.join(beat, "own", "left").select("chunk", "query", F.coalesce("least", lowest).alias("least"))
-    late = each.join(limits, ["chunk", "query"]).where(F.col("bound") >= F.col("least")).join(
-        early, ["chunk", "block", "query"], "left_anti").select("chunk", "block", "query", "least")
-    found = first.union(_scored(tiled(late), chunks, blocks, k))
+        yield from batched(out, ((chunk, n, me) for chunk, own in rows_of(batches, "place", "own")
+                                 for n, me in enumerate(np.frombuffer(own, "<i8").tolist())), 4096)
+
+    limits = chunks.select("place", "own").mapInArrow(named, "place bigint, query int, own bigint").join(beat, "own", "left").groupBy(
+        "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("query", F.coalesce("least", F.lit(LOWEST)).alias("least")))),
+                                 lambda x: x["least"]).alias("least"))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = right.to_pylist()
+        found = [r for chunk in left.to_pylist() for r in searched(chunk, held, k)] if held else []
+        columns = list(zip(*found, strict=True)) or [[]] * len(_FOUND)
+        return pa.table([pa.array(v, pa.int64()) for v in columns], schema=_FOUND)
+
+    found = _tiled(chunks.join(limits, "place"), blocks, sizes, ["kind", "ids", "own", "rows", "least"],
+                   ["kind", "ids", "own", "rows", "low", "high"]).applyInArrow(search, FOUND)
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
