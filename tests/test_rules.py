@@ -1,3 +1,4 @@
+import bisect
 import random
 from datetime import datetime, timedelta
 
@@ -174,3 +175,41 @@ def test_routes(spark):
     df = spark.createDataFrame([("critical",), ("warning",), ("other",), (None,)], "s string")
     assert [r[0] for r in df.select(R.route_of(F.col("s"))).collect()] == [
         "critical-with-remediation", "email-default", "email-default", "email-default"]
+
+
+PANE_ROWS = "ts timestamp_ntz, endpoint string, seconds double, size int"
+
+
+def test_rollup_merges_panes_within_the_rank_error(spark):
+    """Windows merged from panes: exact below k observations, within the error bound beyond it."""
+    n, k = 60_000, 200
+    raw = spark.range(n).select(
+        F.timestamp_add("SECOND", (F.col("id") % 7200).cast("int"), F.lit("2026-09-01").cast("timestamp_ntz")).alias("ts"),
+        F.lit("e").alias("endpoint"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("seconds"), F.lit(2).alias("size"))
+    panes = R.endpoint_panes(raw, "ts", "endpoint", "seconds", "size", 300, k)
+    assert panes.count() == 24
+    got = R.endpoint_rollup(panes, 300, 7200).collect()
+    assert len(got) == 1 and got[0].n_requests == n and got[0].mean_size == 2.0
+    values = sorted(r.seconds for r in raw.collect())
+    for name, q in R.PERCENTILES.items():
+        rank = bisect.bisect_right(values, got[0][name]) / n
+        assert abs(rank - q) < 2.3 / k ** 0.9
+    exact = R.endpoint_rollup(R.endpoint_panes(raw.where("seconds < 50000"), "ts", "endpoint", "seconds", "size", 300), 300, 7200).first()
+    few = [v for v in values if v < 50000]
+    assert len(few) < R.KLL_K
+    assert [exact[p] for p in R.PERCENTILES] == [few[-(-int(q * 100) * len(few) // 100) - 1] for q in R.PERCENTILES.values()]
+
+
+def test_rollup_of_missing_values_and_gaps(spark):
+    data = [(T0, "a", None, None), (T0, "a", float("nan"), 4), (T0, "b", 1.0, None), (T0 + timedelta(seconds=600), "b", 3.0, 8),
+            (T0, None, 2.0, 1)]
+    raw = spark.createDataFrame(data, PANE_ROWS)
+    panes = R.endpoint_panes(raw, "ts", "endpoint", "seconds", "size", 60)
+    got = {(r.endpoint, r.window_start): tuple(r)[2:] for r in R.endpoint_rollup(panes, 60, 1800).collect()}
+    assert got == {
+        ("a", T0): (2, 2 / 1800, None, None, None, 4.0), ("b", T0): (2, 2 / 1800, 1.0, 3.0, 3.0, 8.0),
+        (None, T0): (1, 1 / 1800, 2.0, 2.0, 2.0, 1.0)}
+    assert R.endpoint_rollup(panes, 60, 120, 300).count() == 4  # two minutes of each five
+    assert R.endpoint_rollup(panes.limit(0), 60, 1800).count() == 0
+    with pytest.raises(ValueError):
+        R.endpoint_rollup(panes, 60, 90)

@@ -1,3 +1,4 @@
+import random
 import time
 from datetime import timedelta
 
@@ -97,3 +98,40 @@ def test_a_stream_that_stops_is_told(spark, tmp_path):
     at = lambda i: T0 + timedelta(seconds=i)
     assert got == [("x", "silent", at(2)), ("y", "silent", at(2)), ("y", "back", at(2)), ("y", "silent", at(9))]
     assert alerts.SILENCE_STATE  # the form on the samples' own time stays
+
+
+def out_of_order(seed):
+    """Samples that arrive up to four minutes late, with equal times and a counter that is reset."""
+    rng = random.Random(seed)
+    data, level = [], {"a": 0.0, "b": 5.0}
+    for i in range(400):
+        for name in "ab":
+            level[name] = 0.0 if rng.random() < 0.03 else level[name] + rng.choice([0, 0, 1, 2.5])
+            if rng.random() < 0.8 and not 120 <= i < 170:
+                data.append((T0 + timedelta(seconds=20 * i + (7 if name == "b" else 0)), name, level[name]))
+    arrival = sorted(data, key=lambda r: r[0].timestamp() + rng.uniform(0, 240))
+    assert arrival != data
+    return data, [*arrival, (T0 + timedelta(days=3), "z", 0.0)]
+
+
+@pytest.mark.parametrize("files", [1, 9])
+def test_changes_and_rates_put_samples_in_order(spark, tmp_path, files):
+    data, sent = out_of_order(files)
+    batch = ntz(spark.createDataFrame(data, SAMPLE))
+    stamp = lambda d: d.withColumns({c: F.col(c).cast("timestamp") for c in ("window_start", "window_end")})
+    s = stream_of(spark, sent, SAMPLE, tmp_path / "c", files)
+    live = collect_stream(spark, timed.changes_stream(s, ["name"], "ts", "value", 600, 60), f"changes_{files}")
+    want = stamp(R.changes_rule(batch, ["name"], ["ts"], "value", 600, 60)).withColumn("n_changes", F.col("n_changes").cast("bigint"))
+    assert rows(live) == rows(want.select(live.columns)) and live.count() > 200
+    assert {r.is_firing for r in live.collect()} == {True, False}
+    s = stream_of(spark, sent, SAMPLE, tmp_path / "r", files)
+    live = collect_stream(spark, timed.counter_rate_stream(s, ["name"], "ts", "value", 600, 60), f"rates_{files}")
+    assert rows(live) == rows(stamp(R.counter_rate(batch, ["name"], ["ts"], "value", 600, 60)).select(live.columns))
+
+
+def test_samples_behind_the_watermark_are_dropped(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    data = [(at(0), "a", 1.0), (at(1), "a", 3.0), (at(60), "a", 4.0), (at(2), "a", 9.0), (at(61), "a", 6.0), (at(600), "z", 0.0)]
+    s = stream_of(spark, data, SAMPLE, tmp_path / "late", len(data))
+    live = collect_stream(spark, timed.counter_rate_stream(s, ["name"], "ts", "value", 120, 60), "late_rates")
+    assert [(r.window_start, r.increase) for r in live.orderBy("window_start").collect()] == [(at(0), 2.0), (at(60), 2.0)]

@@ -214,6 +214,58 @@ def endpoint_stats(df: DataFrame, ts: str, endpoint: str, seconds: str, size: st
     )
 
 
+# Values that a sketch of latencies keeps exactly; beyond that its rank error is about 2.3 / KLL_K ** 0.9.
+KLL_K = 4096
+PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def pane_columns(seconds: str, size: str, k: int = KLL_K) -> list[Column]:
+    """Aggregates of a pane: requests, sizes, and a mergeable KLL sketch of the latencies. Null and NaN
+    latencies are no observations."""
+    seen = F.col(seconds).cast("double")
+    return [
+        F.count(F.lit(1)).alias("n_requests"), F.sum(F.col(size).cast("double")).alias("total_size"), F.count(size).alias("n_sizes"),
+        F.kll_sketch_agg_double(F.when(~F.isnan(seen), seen), k).alias("sketch")]
+
+
+def endpoint_panes(df: DataFrame, ts: str, endpoint: str, seconds: str, size: str, pane: int = 60,
+                   k: int = KLL_K) -> DataFrame:
+    """endpoint, pane (seconds since 1970 by the pane's length), n_requests, total_size, n_sizes, sketch.
+
+    The raw rows are read once, for this; store it. `endpoint_rollup` answers any window from it.
+    A pane's row has a bounded size, and is aggregated before the shuffle.
+    """
+    return df.groupBy(F.col(endpoint).alias("endpoint"), time_bucket(ts, pane).alias("pane")).agg(*pane_columns(seconds, size, k))
+
+
+def endpoint_rollup(panes: DataFrame, pane: int, window: int, slide: int | None = None) -> DataFrame:
+    """Requests per second, latency percentiles and mean size per endpoint and window, by merging panes.
+
+    Window and slide are multiples of the pane. Percentiles are the smallest value whose share
+    reaches them; exact as long as a window has at most k observations, else within the
+    sketch's rank error. Without observations they are null.
+    """
+    slide = slide or window
+    if window % pane or slide % pane:
+        raise ValueError("window and slide must be multiples of the pane")
+    step, length = slide // pane, window // pane
+    last = F.floor(F.col("pane") / step).cast("bigint")
+    first = F.floor((F.col("pane") - length) / step).cast("bigint") + 1
+    spread = panes.withColumn("_s", F.explode(F.sequence(first, last)) if step < length else last)
+    if step > length:  # windows with gaps between them
+        spread = spread.where(F.col("pane") - F.col("_s") * step < length)
+    g = spread.groupBy("endpoint", "_s").agg(
+        F.sum("n_requests").alias("n_requests"), F.sum("total_size").alias("_t"), F.sum("n_sizes").alias("_n"),
+        F.kll_merge_agg_double("sketch").alias("_k"))
+    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seen = F.kll_sketch_get_n_double("_k") > 0
+    return g.select(
+        "endpoint", F.timestamp_add("SECOND", F.col("_s") * slide, origin).alias("window_start"), "n_requests",
+        (F.col("n_requests") / F.lit(float(window))).alias("requests_per_second"),
+        *[F.when(seen, F.kll_sketch_get_quantile_double("_k", F.lit(q))).alias(n) for n, q in PERCENTILES.items()],
+        F.try_divide("_t", "_n").alias("mean_size"))
+
+
 # --- notifications -----------------------------------------------------------------
 
 def route_of(severity: Column) -> Column:

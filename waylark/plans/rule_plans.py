@@ -10,8 +10,8 @@ from waylark.plans import domain as D
 from waylark.plans import nested_plans as NP
 from waylark.plans.domain import views
 from waylark.plans.registry import query
-from waylark.session import new_shared_path
-from waylark.streaming import ingest, timed
+from waylark.session import new_shared_path, pinned
+from waylark.streaming import alerts, ingest, timed
 
 HOUR = 3600
 BOUNDS = [0.1, 0.25, 0.5, 1.0, 2.5]
@@ -94,10 +94,10 @@ def error_ratio_alerts(spark, sf):
 
 
 def _as_stream(rows, far: str):
-    """The rows as a stream that ends with one of a service -1 far later, so that every window closes."""
+    """The rows as a stream that ends with one of a service or name -1 far later, so that every window closes."""
     folder = new_shared_path(rows.sparkSession, "stream")
     last = rows.select(*[
-        F.lit(far).cast(rows.schema[c].dataType).alias(c) if c == "ts" else F.lit(-1).alias(c) if c == "service"
+        F.lit(far).cast(rows.schema[c].dataType).alias(c) if c == "ts" else F.lit(-1).alias(c) if c in ("service", "name")
         else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).limit(1)
     both = rows.unionByName(last).withColumn("ts", F.col("ts").cast("timestamp"))
     both.write.parquet(folder)
@@ -160,25 +160,51 @@ _PAIRS = f"""WITH {views("gauges")}, p AS (
 spread AS (SELECT p.*, date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS window_start FROM p, range(6) t(k) WHERE pt IS NOT NULL)"""
 
 
-@query("changes_in_window", _PAIRS + """
+_CHANGES = _PAIRS + """
 SELECT name, window_start, window_start + INTERVAL 6 HOUR AS window_end,
        sum(CASE WHEN floor(value / 50) <> floor(pv / 50) THEN 1 ELSE 0 END)::BIGINT AS n_changes,
        sum(CASE WHEN floor(value / 50) <> floor(pv / 50) THEN 1 ELSE 0 END) > 3 AS is_firing
-FROM spread WHERE pt >= window_start GROUP BY ALL""")
+FROM spread WHERE pt >= window_start GROUP BY ALL"""
+
+_RATES = _PAIRS + """
+SELECT name, window_start, round(sum(CASE WHEN value >= pv THEN value - pv ELSE value END), 4) AS increase,
+       round(sum(CASE WHEN value >= pv THEN value - pv ELSE value END) / 21600.0::DOUBLE, 8) AS rate
+FROM spread WHERE pt >= window_start GROUP BY ALL"""
+
+
+@query("changes_in_window", _CHANGES)
 def changes_in_window(spark, sf):
     g = D.gauges(spark, sf).withColumn("value", F.floor(F.col("value") / 50))
     return R.changes_rule(g, ["name"], ["ts", "event_id"], "value", 6 * HOUR, HOUR)
 
 
-@query("counter_rate", _PAIRS + """
-SELECT name, window_start, round(sum(CASE WHEN value >= pv THEN value - pv ELSE value END), 4) AS increase,
-       round(sum(CASE WHEN value >= pv THEN value - pv ELSE value END) / 21600.0::DOUBLE, 8) AS rate
-FROM spread WHERE pt >= window_start GROUP BY ALL""")
+@query("counter_rate", _RATES)
 def counter_rate(spark, sf):
     c = R.counter_rate(D.gauges(spark, sf), ["name"], ["ts", "event_id"], "value", 6 * HOUR, HOUR)
     return c.select("name", "window_start", F.round("increase", 4).alias("increase"), F.round("rate", 8).alias("rate"))
 
 
+def _stamps(df, *columns):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("changes_in_window_stream", _CHANGES)
+def changes_in_window_stream(spark, sf):
+    """`changes_in_window` by one streaming query that orders the samples itself."""
+    g = _as_stream(D.gauges(spark, sf).withColumn("value", F.floor(F.col("value") / 50)), "2100-01-01 00:00:00")
+    w = _told(timed.changes_stream(g, ["name"], "ts", "value", 6 * HOUR, HOUR, tie="event_id"))
+    return _stamps(w, "window_start", "window_end")
+
+
+@query("counter_rate_stream", _RATES)
+def counter_rate_stream(spark, sf):
+    """`counter_rate` by one streaming query that orders the samples itself."""
+    g = _as_stream(D.gauges(spark, sf), "2100-01-01 00:00:00")
+    w = _told(timed.counter_rate_stream(g, ["name"], "ts", "value", 6 * HOUR, HOUR, tie="event_id"))
+    return _stamps(w, "window_start").select(
+        "name", "window_start", F.round("increase", 4).alias("increase"), F.round("rate", 8).alias("rate"))
+
+
 @query("endpoint_stats", f"""
 WITH {views("requests")}
 SELECT endpoint, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n_requests,
@@ -190,6 +216,34 @@ def endpoint_stats(spark, sf):
     return s.withColumns({"requests_per_second": F.round("requests_per_second", 9), "mean_size": F.round("mean_size", 6)})
 
 
+_ROLLUP = f"""
+WITH {views("requests")}, spread AS (SELECT r.*, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 2 HOUR AS window_start
+                                     FROM requests r, range(3) t(k))
+SELECT endpoint, window_start, count(*) AS n_requests, round(count(*) / 21600.0::DOUBLE, 9) AS requests_per_second,
+       quantile_disc(latency_s, 0.5) AS p50, quantile_disc(latency_s, 0.95) AS p95, quantile_disc(latency_s, 0.99) AS p99,
+       round(avg(size), 6) AS mean_size
+FROM spread GROUP BY ALL"""
+
+
+def _rolled(panes):
+    s = R.endpoint_rollup(panes, HOUR, 6 * HOUR, 2 * HOUR)
+    return s.withColumns({"requests_per_second": F.round("requests_per_second", 9), "mean_size": F.round("mean_size", 6)})
+
+
+@query("endpoint_rollup", _ROLLUP)
+def endpoint_rollup(spark, sf):
+    """Sliding windows of six hours merged from stored sketches of an hour."""
+    return _rolled(pinned(R.endpoint_panes(D.requests(spark, sf), "ts", "endpoint", "latency_s", "size", HOUR), "panes"))
+
+
+@query("endpoint_rollup_stream", _ROLLUP)
+def endpoint_rollup_stream(spark, sf):
+    """The same from panes that a stream has appended."""
+    s = _as_stream(D.requests(spark, sf), "2100-01-01 00:00:00")
+    panes = _told(alerts.endpoint_panes_stream(s, "ts", "endpoint", "latency_s", "size", HOUR))
+    return _rolled(panes.where(F.col("endpoint").isNotNull()))
+
+
 @query("alert_grouping", """
 WITH a AS (SELECT (user_id % 3)::INT AS name, (event_id % 2)::INT AS service, event_id, ts AS fired_at,
            ts + floor(value)::INT * INTERVAL 1 MINUTE AS resolved_at FROM events),

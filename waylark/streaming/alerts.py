@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from waylark.operators.rules import GROUP_INTERVAL, GROUP_WAIT, REPEAT_INTERVAL, SILENCE_SECONDS, bucket_quantile
+from waylark.operators.rules import (
+    GROUP_INTERVAL, GROUP_WAIT, KLL_K, REPEAT_INTERVAL, SILENCE_SECONDS, bucket_quantile, pane_columns,
+)
 
 WATERMARK = "10 minutes"
 SECOND = 1_000_000
@@ -264,3 +266,15 @@ def group_stream(events: DataFrame, ts: str, wait: int = GROUP_WAIT, interval: i
     return shaped.groupBy("name", "service").applyInPandasWithState(
         _notice_step(wait, interval, repeat), NOTICE_OUTPUT, NOTICE_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def endpoint_panes_stream(df: DataFrame, ts: str, endpoint: str, seconds: str, size: str, pane: int = 60,
+                          k: int = KLL_K, watermark: str = WATERMARK) -> DataFrame:
+    """`rules.endpoint_panes` on a stream: a row for each pane once the watermark has passed it.
+
+    Appended to a table, it answers any window by `rules.endpoint_rollup`, whatever has come in since.
+    """
+    g = df.withWatermark(ts, watermark).groupBy(F.window(ts, f"{pane} seconds"), F.col(endpoint).alias("endpoint")).agg(
+        *pane_columns(seconds, size, k))
+    start = F.unix_seconds(F.col("window.start").cast("timestamp"))
+    return g.select("endpoint", F.floor(start / pane).cast("bigint").alias("pane"), "n_requests", "total_size", "n_sizes", "sketch")

@@ -1,4 +1,4 @@
-"""Rules with hold times and silences in one streaming query each.
+"""Rules with hold times, silences, changes and counter rates in one streaming query each.
 
 State behind a windowed aggregation, and timers that go off although nothing arrives,
 come from `transformWithStateInPandas`. It keeps its state in RocksDB, which
@@ -7,15 +7,16 @@ come from `transformWithStateInPandas`. It keeps its state in RocksDB, which
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from waylark.operators.rules import ERROR_RATIO_LIMIT, HOLD_SECONDS, LATENCY_LIMIT_SECONDS, SILENCE_SECONDS
+from waylark.operators.rules import ERROR_RATIO_LIMIT, HOLD_SECONDS, LATENCY_LIMIT_SECONDS, RESTARTS_LIMIT, SILENCE_SECONDS
 from waylark.streaming.alerts import WATERMARK, error_ratio_stream, latency_quantile_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -161,3 +162,141 @@ def silence_by_clock(df: DataFrame, series: list[str], ts: str, silence: int = S
         T.StructField("last_seen", T.TimestampType()), T.StructField("noticed_at", T.TimestampType())])
     return rows.groupBy(*series).transformWithStateInPandas(
         _Silence(series, silence * 1000), schema, "append", "processingTime")
+
+
+Amounts = Callable[[np.ndarray, np.ndarray], np.ndarray]
+_SAMPLES = np.dtype([("at", "<i8"), ("tie", "<i8"), ("value", "<f8")])
+_PANES = np.dtype([("a", "<i8"), ("b", "<i8"), ("x", "<f8")])
+
+
+def changes(before: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """1 where two neighbours differ; missing values (NaN) are equal."""
+    return np.where((before == value) | (np.isnan(before) & np.isnan(value)), 0.0, 1.0)
+
+
+def increases(before: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """What a counter grew by; after a reset its new value."""
+    return np.where(value >= before, value - before, value)
+
+
+class _Between(StatefulProcessor):
+    """Puts a series in the order of its own time; state: samples that wait for the watermark, in pieces, the last one
+    released, sums of pairs per (pane of the first, pane of the second) that open windows still need."""
+
+    def __init__(self, keys: list[str], amounts: Amounts, window: int, slide: int):
+        self.keys, self.amounts, self.per, self.pane_us = keys, amounts, window // slide, slide * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "samples binary")
+        self.state = handle.getValueState("done", "last binary, panes binary, released bigint")
+
+    def _done(self) -> tuple[np.ndarray, np.ndarray, int]:
+        last, panes, released = self.state.get() if self.state.exists() else (b"", b"", -(1 << 62))
+        return np.frombuffer(last, _SAMPLES), np.frombuffer(panes, _PANES), released
+
+    def _wake(self, samples: list[np.ndarray], panes: np.ndarray, released: int) -> None:
+        """A timer for the first window still to be told."""
+        ends = [(int(s["at"].min()) // self.pane_us + 1) * self.pane_us for s in samples if len(s)]
+        if len(panes):
+            told = released // self.pane_us - self.per  # the last window that was complete
+            first = np.maximum(panes["b"] - self.per + 1, told + 1)
+            ends.append(int(first.min() + self.per) * self.pane_us)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if ends:
+            self.handle.registerTimer(min(ends) // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        _, panes, released = self._done()
+        there = [np.frombuffer(bytes(s), _SAMPLES) for (s,) in self.waiting.get()] if self.waiting.exists() else []
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        passed = mark if mark > 0 else released  # before the first watermark it is 0
+        for chunk in rows:
+            new = np.empty(len(chunk), _SAMPLES)
+            for c in _SAMPLES.names:
+                new[c] = chunk[c].to_numpy()
+            new = new[new["at"] >= passed]
+            if len(new):
+                self.waiting.appendValue((new.tobytes(),))
+                there.append(new)
+        self._wake(there, panes, released)
+        yield _windows([], self.keys)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        last, panes, released = self._done()
+        samples = np.concatenate([np.zeros(0, _SAMPLES), *(
+            np.frombuffer(bytes(s), _SAMPLES) for (s,) in (self.waiting.get() if self.waiting.exists() else []))])
+        samples = samples[np.lexsort((samples["tie"], samples["at"]))]
+        ready = int(np.searchsorted(samples["at"], mark))
+        later, ordered = samples[ready:], np.concatenate([last, samples[:ready]])
+        if len(ordered) > 1:
+            pairs = np.empty(len(ordered) - 1, _PANES)
+            pairs["a"], pairs["b"] = ordered["at"][:-1] // self.pane_us, ordered["at"][1:] // self.pane_us
+            pairs["x"] = self.amounts(ordered["value"][:-1], ordered["value"][1:])
+            panes = _summed(np.concatenate([panes, pairs[pairs["b"] - pairs["a"] < self.per]]))
+        told, upto = released // self.pane_us - self.per, mark // self.pane_us - self.per
+        sums: dict[int, float] = {}
+        for a, b, x in panes.tolist():
+            for s in range(max(b - self.per + 1, told + 1), min(a, upto) + 1):
+                sums[s] = sums.get(s, 0.0) + x
+        panes = panes[panes["a"] > upto]
+        self.waiting.clear()
+        if len(later):
+            self.waiting.appendValue((later.tobytes(),))
+        self.state.update((ordered[-1:].tobytes(), panes.tobytes(), mark))
+        self._wake([later], panes, mark)
+        yield _windows([(*key, s * self.pane_us, (s + self.per) * self.pane_us, x) for s, x in sorted(sums.items())], self.keys)
+
+
+def _summed(panes: np.ndarray) -> np.ndarray:
+    """One row for each (a, b); missing amounts (NaN) add nothing."""
+    places, which = np.unique(panes[["a", "b"]], return_inverse=True)
+    out = np.empty(len(places), _PANES)
+    out["a"], out["b"] = places["a"], places["b"]
+    out["x"] = np.bincount(which.ravel(), np.nan_to_num(panes["x"]), len(places))
+    return out
+
+
+def _windows(rows: list[tuple], keys: list[str]) -> pd.DataFrame:
+    frame = _stamped([r[:-1] for r in rows], keys, ["window_start", "window_end"])
+    frame["amount"] = pd.array([r[-1] for r in rows], "float64")
+    return frame
+
+
+def between_samples(df: DataFrame, series: list[str], ts: str, value: str, amounts: Amounts, window: int, slide: int,
+                    tie: str | None = None, watermark: str = WATERMARK) -> DataFrame:
+    """series..., window_start, window_end, amount: per sliding window the sum of an amount of neighbouring samples.
+
+    Samples may come in any order as long as the watermark has not passed them: they wait in
+    state until it does, are then put in the order of ts and tie, and each pair counts for
+    the windows that hold both. A window is told once, when the watermark has passed its end;
+    samples behind the watermark are dropped. Held of a series are the samples between
+    watermark and newest one and a window's pane sums. Samples without a time are left out.
+    """
+    use_rocksdb(df.sparkSession)
+    rows = df.where(F.col(ts).isNotNull()).withWatermark(ts, watermark).select(
+        *series, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
+        (F.coalesce(F.col(tie).cast("bigint"), F.lit(-(1 << 63))) if tie else F.lit(0).cast("bigint")).alias("tie"),
+        F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("value"))
+    schema = T.StructType([
+        *[rows.schema[c] for c in series], T.StructField("window_start", T.TimestampType()),
+        T.StructField("window_end", T.TimestampType()), T.StructField("amount", T.DoubleType())])
+    return rows.groupBy(*series).transformWithStateInPandas(
+        _Between(series, amounts, window, slide), schema, "append", "eventTime")
+
+
+def changes_stream(df: DataFrame, series: list[str], ts: str, value: str, window: int = 900, slide: int = 60,
+                   limit: int = RESTARTS_LIMIT, tie: str | None = None, watermark: str = WATERMARK) -> DataFrame:
+    """`rules.changes_rule` on a stream whose samples come in any order; values are numbers."""
+    w = between_samples(df, series, ts, value, changes, window, slide, tie, watermark)
+    return w.select(*series, "window_start", "window_end", F.col("amount").cast("bigint").alias("n_changes"),
+                    (F.col("amount") > limit).alias("is_firing"))
+
+
+def counter_rate_stream(df: DataFrame, series: list[str], ts: str, value: str, window: int = 300, slide: int = 60,
+                        tie: str | None = None, watermark: str = WATERMARK) -> DataFrame:
+    """`rules.counter_rate` on a stream whose samples come in any order; an increase that is unknown counts as 0."""
+    w = between_samples(df, series, ts, value, increases, window, slide, tie, watermark)
+    return w.withColumnRenamed("amount", "increase").withColumn("rate", F.col("increase") / F.lit(float(window)))
