@@ -30,7 +30,10 @@ def matches(spark):
 
 def found(spark, *data, **kw):
     ends = I.with_endpoints(segments(spark, *data), cities(spark), "left")
-    return I.itineraries(I.journey_facts(ends), matches(spark), **kw)
+    got = I.itineraries(I.journey_facts(ends), matches(spark), **kw)
+    # Keys first and legs last gives the same rows.
+    assert rows(I.segment_itineraries(ends, matches(spark), **kw).select(got.columns)) == rows(got)
+    return got
 
 
 DIRECT = ("j1", 0, "ATL", "2026-09-12 08:00:00", "MIA", "2026-09-12 10:00:00")

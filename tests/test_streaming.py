@@ -47,6 +47,18 @@ def test_documents_arrive_in_two_runs(spark, tmp_path):
     assert {r.updated_at.month for k, r in second.items() if k != changed.flight_sk} == {1}
 
 
+@pytest.mark.parametrize("once", [None, "1 hour"])
+def test_a_document_delivered_twice_is_parsed_once(spark, tmp_path, once):
+    old, new = {"best_flights": [DIRECT]}, {"best_flights": [DIRECT | {"price": 300}]}
+    for month, (name, doc) in enumerate([("1.json", old), ("2.json", new), ("3.json", old)], 1):
+        put(tmp_path / "in", name, doc)
+        (tmp_path / "in" / f"{month}.txt").write_text("no document")
+        run(spark, tmp_path, month, once_within=once)
+    (r,) = fact(spark, tmp_path / "fact").collect()
+    assert (float(r.price), r.updated_at.month) == ((300.0, 2) if once else (239.0, 3))
+    assert spark.read.text(str(tmp_path / "ckpt/rejected/*")).count() == (1 if once else 3)
+
+
 def test_a_failed_batch_is_repeated(spark, tmp_path):
     put(tmp_path / "in", "1.json", {"best_flights": [DIRECT]})
 

@@ -122,11 +122,18 @@ def itineraries(
     before, so that they are assembled once.
     """
     key = journeys.columns[0]
+    shown = pinned(_leaving(journeys, origin), "journeys")
+    return shown.drop("end_city", "end_time").join(_reaching(shown, key, matches, days, hours), key)
+
+
+def _leaving(journeys: DataFrame, origin: str | None) -> DataFrame:
     j = journeys.filter(F.col("origin_city").isNotNull())
-    if origin is not None:
-        j = j.filter(S.equals_ignoring_case("origin_city", F.lit(origin)))
-    shown = pinned(j, "journeys")
-    j = shown.select(
+    return j if origin is None else j.filter(S.equals_ignoring_case("origin_city", F.lit(origin)))
+
+
+def _reaching(journeys: DataFrame, key: str, matches: DataFrame, days: int, hours: int) -> DataFrame:
+    """(key, match_id, match_date) of the journeys that end in a match's city in its window."""
+    j = journeys.select(
         key, "end_time", F.lower("end_city").alias("_city"), F.col("end_time").cast("date").alias("_day")
     )
     day = F.col("match_date").cast("date")
@@ -135,12 +142,37 @@ def itineraries(
         F.lower("city").alias("_city"),
         F.explode(F.sequence(F.date_sub(day, days), day)).alias("_day"),
     )
-    pairs = (
+    return (
         j.join(m, ["_city", "_day"])
         .filter(S.arrival_window("match_date", "end_time", days, hours))
         .select(key, "match_id", "match_date")
     )
-    return shown.drop("end_city", "end_time").join(pairs, key)
+
+
+def segment_itineraries(
+    segments: DataFrame,
+    matches: DataFrame,
+    journey: str = "journey_sk",
+    origin: str | None = None,
+    days: int = 3,
+    hours: int = 5,
+) -> DataFrame:
+    """`itineraries` of all journeys in segments with outer-joined cities, keys first and legs last.
+
+    One aggregate gives where and when a journey begins and ends, without its legs; it
+    sends a row for each journey and task. The pairs with matches are stored, and only
+    the segments of journeys that reach a match are assembled.
+    """
+    known = F.col("departure_city").isNotNull() & F.col("arrival_city").isNotNull()
+    ends = segments.groupBy(journey).agg(
+        F.max(F.when(F.col("pos") == 0, F.col("departure_city"))).alias("origin_city"),
+        F.max_by(F.struct("arrival_city", "arrival_airport_time"), "pos").alias("end"),
+        F.max(known & F.col("pos").isNotNull()).alias("known"),
+    ).filter("known").select(
+        journey, "origin_city", F.col("end.arrival_city").alias("end_city"), F.col("end.arrival_airport_time").alias("end_time"))
+    pairs = pinned(_reaching(_leaving(ends, origin), journey, matches, days, hours), "pairs")
+    reaching = segments.join(pairs.select(journey).distinct(), journey, "left_semi")
+    return journey_facts(reaching, journey).drop("end_city", "end_time").join(pairs, journey)
 
 
 def qualifying_keys(

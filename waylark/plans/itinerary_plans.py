@@ -17,9 +17,12 @@ NOW = "1998-06-01 09:30:00"
 ASKED = "2001-12-31 00:00:00"
 
 
+def located(spark, sf):
+    return I.with_endpoints(D.segments(spark, sf), I.airport_cities(D.airport(spark, sf), D.city(spark, sf)), "left")
+
+
 def journeys(spark, sf, legs=True):
-    cities = I.airport_cities(D.airport(spark, sf), D.city(spark, sf))
-    return I.journey_facts(I.with_endpoints(D.segments(spark, sf), cities, "left"), legs=legs)
+    return I.journey_facts(located(spark, sf), legs=legs)
 
 
 def all_itineraries(spark, sf, legs=True):
@@ -62,7 +65,7 @@ def show_legs(df):
 
 @query("itineraries_to_match", _ITIN + " SELECT * FROM itins")
 def itineraries_to_match(spark, sf):
-    return show_legs(all_itineraries(spark, sf))
+    return show_legs(I.segment_itineraries(located(spark, sf), D.matches(spark, sf)))
 
 
 @query("qualifying_journeys", _ITIN + " SELECT match_id, journey_sk FROM pairs")
