@@ -10,6 +10,7 @@ from waylark.plans import (  # noqa: F401
     scalar_plans,
     source_plans,
     table_plans,
+    training_plans,
     weather_plans,
 )
 from waylark.plans.registry import ORACLES, QUERIES  # noqa: F401
