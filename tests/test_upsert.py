@@ -98,3 +98,37 @@ def test_repeated_keys_of_the_source_and_of_dimensions(spark):
     assert rows(first) == [(1, "old"), (2, "a")]
     dim = spark.createDataFrame([("x", 7), ("x", 3)], "name string, id int")
     assert rows(E.resolve_fk(spark.createDataFrame([("x",), ("y",)], "n string"), dim, ("n", "name"), "id", "fk")) == [("x", 3), ("y", None)]
+
+
+BUCKETED = "k string, price int, arrives string, created_at timestamp_ntz, updated_at timestamp_ntz, day string"
+
+
+def test_bucketed_upsert_leaves_the_target_where_it_is(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    t = U.bucketed_table(spark, "bucketed_fact", path, BUCKETED, ["k"], "day", 3)
+    run = lambda s, n: U.upsert_bucketed(
+        spark, "bucketed_fact", s, ["k"], ["price"], local_ts(NEW), "day", str(tmp_path / f"stage{n}"), [F.col("price").desc()])
+    shown = lambda: rows(spark.table("bucketed_fact").select("k", "price", "arrives", "day"))
+    first = [(f"k{i}", i, "x", f"d{i % 2}") for i in range(20)]
+    run(fact(spark, first), 1)
+    assert shown() == sorted(first)
+    before = {p.name for p in (tmp_path / "fact" / "day=d1").glob("*.parquet")}
+    more = fact(spark, [("k2", 50, "y", "d0"), ("k2", 40, "z", "d0"), ("new", 7, "y", "d2")])
+    for n in (2, 2, 3):  # repeated from the staged rows, and as a batch of its own
+        run(more, n)
+        assert shown() == sorted([r for r in first if r[0] != "k2"] + [("k2", 50, "x", "d0"), ("new", 7, "y", "d2")])
+    assert {p.name for p in (tmp_path / "fact" / "day=d1").glob("*.parquet")} == before
+    assert len(list((tmp_path / "fact" / "day=d0").glob("*.parquet"))) <= 3
+    merged = U.merged_buckets(spark.table("bucketed_fact"), spark.read.parquet(str(tmp_path / "stage2" / "arrived")),
+                              ["k"], ["price"], local_ts(NEW), "day")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_new_k") == 1 and plan.count("Exchange ") == 1
+    assert "Bucketed: true" in plan
+    # A catalog that has forgotten the table finds the files again.
+    spark.sql("DROP TABLE bucketed_fact")
+    assert U.bucketed_table(spark, "bucketed_fact", path, BUCKETED, ["k"], "day", 3).count() == 21
+    with pytest.raises(ValueError):
+        run(fact(spark, [(None, 1, "x", "d1")]), 4)
+    run(fact(spark, []), 5)
+    assert spark.table("bucketed_fact").count() == 21 and t.columns[-1] == "day"
+    spark.sql("DROP TABLE bucketed_fact")

@@ -26,18 +26,21 @@ def upsert(
     now: Column,
     created_col: str | None = "created_at",
     updated_col: str | None = "updated_at",
+    null_keys: bool = True,
 ) -> DataFrame:
     """Insert new keys; on a known key change only `update_cols`.
 
     `source` must be unique on `keys` (see `dedupe`), like `target`: then the
-    full outer join hashes unique keys on both sides and cannot be skewed.
+    full outer join hashes unique keys on both sides and cannot be skewed. Keys without
+    nulls (`null_keys=False`) are compared as they are, which lets the join use a bucketing.
     """
     not_allowed = set(update_cols) - (set(target.columns) - {created_col, updated_col} - set(keys))
     if not_allowed:
         raise ValueError(f"cannot update {sorted(not_allowed)}")
     s = source.select(*[F.col(c).alias(f"_new_{c}") for c in source.columns], F.lit(True).alias("_in_src"))
     t = target.withColumn("_in_tgt", F.lit(True))
-    joined = t.join(s, [t[k].eqNullSafe(s[f"_new_{k}"]) for k in keys], "full_outer")
+    same = lambda a, b: a.eqNullSafe(b) if null_keys else a == b
+    joined = t.join(s, [same(t[k], s[f"_new_{k}"]) for k in keys], "full_outer")
     known, arriving = F.col("_in_tgt").isNotNull(), F.col("_in_src").isNotNull()
 
     out = []
@@ -163,3 +166,78 @@ def upsert_table(
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_col).parquet(path)
     )
+
+
+# --- a fact stored in buckets of its key -------------------------------------
+
+def bucketed_table(spark: SparkSession, name: str, path: str, schema, keys: list[str], partition_col: str,
+                   buckets: int) -> DataFrame:
+    """The catalog table `name` over the files at `path`, partitioned and, within partitions, in sorted
+    buckets of the key; declared if the catalog does not have it.
+
+    The partition column is none of the keys. Buckets must not change as long as the files stay. A catalog that forgets (one in memory)
+    learns partitions that are already there.
+    """
+    if not spark.catalog.tableExists(name):
+        fields = spark.createDataFrame([], schema).schema.fields
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        key = ", ".join(f"`{k}`" for k in keys)
+        place = path.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (`{partition_col}`) "
+                  f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {int(buckets)} BUCKETS LOCATION '{place}'")
+        if _exists(spark, path):
+            spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
+def merged_buckets(target: DataFrame, arrived: DataFrame, keys: list[str], update_cols: list[str], now: Column,
+                   partition_col: str) -> DataFrame:
+    """The touched partitions of a bucketed table with the arrived rows merged in.
+
+    Only the arrived rows are shuffled, into the table's buckets; each bucket is merged
+    where it is read. The values of touched partitions come to the driver, at most one
+    for each partition of the table.
+    """
+    touched = [r[0] for r in arrived.select(partition_col).distinct().collect()]
+    col = target[partition_col]
+    inside = col.isin([v for v in touched if v is not None])
+    read = target.where(inside | col.isNull() if None in touched else inside)
+    return upsert(read, arrived, keys, update_cols, now, null_keys=False)
+
+
+def upsert_bucketed(
+    spark: SparkSession,
+    name: str,
+    source: DataFrame,
+    keys: list[str],
+    update_cols: list[str],
+    now: Column,
+    partition_col: str,
+    staging_path: str,
+    order: list[Column],
+) -> None:
+    """Upsert `source` into a table made by `bucketed_table`, without a shuffle of the table.
+
+    The partition column must follow from the key, and no key may hold a null (an error).
+    The arriving rows are staged below `staging_path`, new for each batch. The
+    merged partitions replace the old ones when the job commits; a run that died is
+    repeated from the staged rows and gives the same table, as a key that was already
+    merged is only set to the same values again.
+    """
+    arrived_path = f"{staging_path}/arrived"
+    if not _exists(spark, f"{arrived_path}/_SUCCESS"):
+        dedupe(source, keys, order).write.mode("overwrite").parquet(arrived_path)
+    arrived = spark.read.parquet(arrived_path)
+    missing = [F.col(k).isNull() for k in keys]
+    if not arrived.where(F.greatest(*missing) if len(missing) > 1 else missing[0]).isEmpty():
+        raise ValueError(f"null in a key of {keys}")
+    target = spark.table(name)
+    merged = merged_buckets(target, arrived, keys, update_cols, now, partition_col)
+    # As many tasks as buckets, so each bucket of a partition is one file.
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        merged.select(*target.columns).write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    spark.catalog.refreshTable(name)

@@ -11,6 +11,7 @@ from waylark.operators import upsert as U
 from waylark.plans import domain as D
 from waylark.plans.domain import views
 from waylark.plans.registry import query
+from waylark.session import new_shared_path
 from waylark.sources import schemas
 
 OLD, NOW = "2002-01-01 00:00:00", "2002-02-01 00:00:00"
@@ -58,6 +59,20 @@ def upsert_fact(spark, sf):
                     S.local_ts(NOW))
 
 
+@query("upsert_bucketed_fact", f"WITH {views('legs')} " + _UPSERT.format(old=OLD, now=NOW))
+def upsert_bucketed_fact(spark, sf):
+    """The same upsert on a fact stored in buckets of its key."""
+    part = (F.col("journey_sk") % 4).alias("part")
+    stored, arriving = (d.select("*", part) for d in _target_source(spark, sf))
+    path = new_shared_path(spark, "bucketed-fact")
+    name, keys = path.rsplit("/", 1)[-1].replace("-", "_"), ["journey_sk", "pos"]
+    U.bucketed_table(spark, name, path, stored.schema, keys, "part", 8)
+    stored.repartition(8, *keys).write.insertInto(name)
+    U.upsert_bucketed(spark, name, arriving, keys, ["price", "departure_airport_time", "is_delayed"], S.local_ts(NOW),
+                      "part", new_shared_path(spark, "bucketed-staging"), [F.col("price").asc()])
+    return spark.table(name).drop("part")
+
+
 @query("upsert_composite_key", f"""
 WITH {views("matches")}, m AS (
   SELECT match_date, id_city, min(id_team_a) AS id_team_a, min(stage) AS stage FROM matches GROUP BY ALL)
