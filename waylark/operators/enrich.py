@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
+from waylark.operators.losses import Watch, watched
 
 UNKNOWN = "Unknown"
 
@@ -37,13 +38,14 @@ def enrich_airports(codes: DataFrame, reference: DataFrame, code: str = "code",
     )
 
 
-def resolve_fk(df: DataFrame, dim: DataFrame, natural: tuple[str, str], key: str, out: str) -> DataFrame:
+def resolve_fk(df: DataFrame, dim: DataFrame, natural: tuple[str, str], key: str, out: str, watch: Watch | None = None) -> DataFrame:
     """Replace a natural key by the dimension's id; unmatched rows keep null.
 
     Of several ids of a natural key the smallest counts, so no row is repeated.
     """
     side = dim.groupBy(F.col(natural[1]).alias("_nk")).agg(F.min(key).alias(out))
-    return df.join(side, df[natural[0]] == F.col("_nk"), "left").drop("_nk")
+    found = df.join(side, df[natural[0]] == F.col("_nk"), "left").drop("_nk")
+    return watched(found, watch, out, unresolved=F.col(out).isNull())
 
 
 def unresolved(df: DataFrame, out: str, natural: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
+from waylark.operators.losses import Watch, watched
 from waylark.operators.ordered import exact_medians, running_totals
 from waylark.session import pinned
 
@@ -122,7 +123,7 @@ def _vector(parts: dict[str, Column]) -> list[Column]:
 
 
 def training_features(
-    flights: DataFrame, fills: dict[str, float], codes: DataFrame, keep: list[str] | None = None
+    flights: DataFrame, fills: dict[str, float], codes: DataFrame, keep: list[str] | None = None, watch: Watch | None = None
 ) -> DataFrame:
     """Feature rows of observed flights (direct, so no layover and position 0).
 
@@ -147,7 +148,9 @@ def training_features(
     rows = f.select(
         *(keep or []), *CATEGORIES, *_vector(parts), F.col(LABEL_COL).cast("double").alias(LABEL_COL)
     )
-    return rows.na.drop(subset=FEATURE_COLS + [LABEL_COL])
+    needed = FEATURE_COLS + [LABEL_COL]
+    gaps = [F.col(c).isNull() | F.isnan(c) for c in needed]
+    return watched(rows, watch, "training rows", incomplete=F.greatest(*gaps)).na.drop(subset=needed)
 
 
 def with_carrier_codes(df: DataFrame, carriers: DataFrame, col: str = "airline") -> DataFrame:

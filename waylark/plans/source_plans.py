@@ -10,7 +10,7 @@ from waylark.plans import domain as D
 from waylark.plans.domain import views
 from waylark.plans.registry import query
 from waylark.session import new_shared_path
-from waylark.sources import readers, writers
+from waylark.sources import readers, static_dims, writers
 
 # On-time columns that the observed flights have.
 _ONTIME = ["FlightDate", "Reporting_Airline", "Origin", "Dest", "CRSDepTime", "CRSArrTime", "ArrDelayMinutes", "Cancelled", "Distance"]
@@ -47,10 +47,25 @@ def read_airport_reference(spark, sf):
         F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("iso_country"))
     again = first.withColumns({"_t": F.lit(1), "name": F.lit("other"), "municipality": F.lit("else"), "iso_country": F.lit("zz")})
     path = new_shared_path(spark, "airports")
-    # One file, in order: the reference is a published list, and its first row counts.
-    writers.write_csv(first.unionByName(again).coalesce(1).sortWithinPartitions("_t", "_o").drop("_t", "_o"), path)
-    return E.enrich_airports(s.select(code.alias("code")), readers.read_airport_ref(spark, path))
-
+    # Several files; the line number of the published list says which row is first.
+    line = (F.col("_t") * 10**12 + F.col("_o")).alias("line")
+    writers.write_csv(again.unionByName(first).select("*", line).drop("_t", "_o"), path)
+    return E.enrich_airports(s.select(code.alias("code")), readers.read_airport_ref(spark, path, "line"))
+
+
+@query("load_static_dims", """
+SELECT FALSE AS is_host_city, count(*) - 1 AS n, min(c_custkey) + 1 AS first_id, max(c_custkey) AS last_id FROM customer
+UNION ALL SELECT TRUE, 16, min(c_custkey), max(c_custkey) + 15 FROM customer""")
+def load_static_dims(spark, sf):
+    """The host cities merged into stored ones, of which one is already there under its name."""
+    c = D.table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("id_city"), "c_name")
+    least = c.agg(F.min("id_city")).first()[0]
+    stored = c.select(
+        "id_city", F.when(F.col("id_city") == least, "Boston").otherwise(F.col("c_name")).alias("city"), F.lit("Elsewhere").alias("country"),
+        F.lit(None).cast("string").alias("flag"), F.lit(False).alias("is_host_city"))
+    city = static_dims.load_dims(spark, {"city": stored})["city"]
+    return city.groupBy("is_host_city").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id_city").alias("first_id"), F.max("id_city").alias("last_id"))
 
 @query("read_landed_json", f"""
 WITH {views("segments")} SELECT count(DISTINCT journey_sk) AS n_documents, count(DISTINCT journey_sk) > 0 AS has_source FROM segments""")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from waylark.functions import scalars as S
 from waylark.operators import enrich as E
 from waylark.operators import itinerary as I
+from waylark.operators import losses as L
+from waylark.operators import nested as N
 from waylark.operators import upsert as U
 from waylark.plans import domain as D
 from waylark.plans.domain import views
@@ -175,6 +177,28 @@ def resolve_fk(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+@query("load_losses", f"""
+WITH {views("segments")}, docs AS (SELECT journey_sk, count(*) AS legs FROM segments GROUP BY 1),
+x AS (SELECT *, journey_sk % 11 = 0 AS broken, journey_sk % 13 = 0 AS blank FROM docs),
+team AS (SELECT count(*) AS n, count(*) FILTER (o_custkey % 48 >= 40) AS lost FROM orders)
+SELECT 'documents' AS step, 'rows' AS measure, count(*) AS n FROM x
+UNION ALL SELECT 'documents', 'blank', count(*) FILTER (blank) FROM x
+UNION ALL SELECT 'documents', 'unreadable', count(*) FILTER (broken AND NOT blank) FROM x
+UNION ALL SELECT 'journeys', 'rows', count(*) FILTER (NOT broken AND NOT blank) FROM x
+UNION ALL SELECT 'journeys', 'without_legs', 0 * count(*) FROM x
+UNION ALL SELECT 'id_team', 'rows', n FROM team
+UNION ALL SELECT 'id_team', 'unresolved', lost FROM team""")
+def load_losses(spark, sf):
+    """Blank and broken documents and names without an id, counted while the tables are written."""
+    watch, id_ = L.Watch(), F.col("id")
+    docs = D.responses(spark, sf).withColumn("json_data", F.when(id_ % 13 == 0, " ").when(id_ % 11 == 0, "{broken").otherwise(F.col("json_data")))
+    N.flatten_responses(docs, watch=watch).write.parquet(new_shared_path(spark, "flattened"))
+    o = D.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("Team "), (F.col("o_custkey") % 48).cast("string")).alias("team"))
+    dim = D.teams(spark).filter("id_team < 40")
+    E.resolve_fk(o, dim, ("team", "team_name"), "id_team", "id_team", watch).write.parquet(new_shared_path(spark, "resolved"))
+    return watch.report(spark)
+
+
 @query("unresolved_keys", """
 SELECT 'Team ' || (o_custkey % 48) AS team, count(*) AS n FROM orders WHERE o_custkey % 48 >= 40 GROUP BY 1""")
 def unresolved_keys(spark, sf):

@@ -82,11 +82,15 @@ def observed_flights(ontime: DataFrame, destinations: list[str] | None = None) -
     return filled.withColumn("is_delayed", S.delay_label("arr_delay_min", "cancelled"))
 
 
-def read_airport_ref(spark: SparkSession, path: str) -> DataFrame:
-    """Airport reference with a row number that follows the file order."""
+def read_airport_ref(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
+    """Airport reference with a row number: the column `order`, or the order of one file.
+
+    Without a number of their own, rows of several files have no order among each other.
+    """
     ref = spark.read.option("header", True).csv(path)
+    number = F.col(order).cast("long") if order else F.monotonically_increasing_id()
     return ref.select(
-        F.monotonically_increasing_id().alias("row_id"), "iata_code", "name", "municipality", "iso_country"
+        number.alias("row_id"), "iata_code", "name", "municipality", "iso_country"
     )
 
 
