@@ -88,3 +88,22 @@ def test_nothing_to_learn_from(spark):
     model = language.fit(docs)
     assert [r.lang_pred for r in language.predicted(docs, model).collect()] == ["und", "und"]
     assert language.predicted(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("held", [1, 50, 1 << 18])
+def test_batches_equal_single_texts(monkeypatch, held):
+    monkeypatch.setattr(language, "HELD", held)
+    rng = np.random.default_rng(5)
+    likely = np.log(rng.dirichlet(np.ones(language.BUCKETS), 3).T).astype(np.float32)
+    model = language.Model(["a", "b", "c"], likely, np.log([0.5, 0.3, 0.2]))
+    texts = ["some words", None, "", "12 34", "some words", "longer text " * 40, "Ünïcode — gaps"]
+    got = model.predict_batch(texts)
+    for text, (lang, score) in zip(texts, got, strict=True):
+        total, seen = model.log_prior.copy(), False
+        for part in language.buckets(text or ""):
+            for bucket in part:
+                total, seen = total + likely[bucket], True
+        best = int(total.argmax())
+        want = ("abc"[best], float(1 / np.exp(total - total[best]).sum())) if seen else ("und", 0.0)
+        assert lang == want[0] and score == pytest.approx(want[1], rel=1e-9)
+    assert model.predict_batch([]) == []

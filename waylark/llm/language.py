@@ -3,8 +3,8 @@
 A text is lower-cased, every run of other characters than letters becomes one gap, and
 all n-grams of 1 to 3 characters, gaps included, are hashed into a fixed number of
 buckets. The model is a matrix of log-probabilities, buckets by languages, whose size is
-fixed but for the number of languages; it is broadcast. A batch is scored in numpy by
-gathering the rows of the matrix that a text's n-grams name.
+fixed but for the number of languages; it is broadcast. A batch is scored in numpy:
+its sparse counts (text, bucket) are multiplied by the matrix.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ CHUNK = 1 << 18
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _LAST = np.uint64(0xD6E8FEB86659FD93)
 _GAP = np.uint32(32)
+# N-grams of a batch of texts that are counted and multiplied together.
+HELD = 1 << 18
 
 
 @cache
@@ -77,16 +79,36 @@ class Model:
     log_prior: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        total = np.zeros(len(self.languages))
-        seen = False
-        for part in buckets(text or ""):
-            seen = True
-            total += self.log_likely.take(part, axis=0).sum(axis=0, dtype=np.float64)
-        if not seen or not self.languages:
-            return UNKNOWN, 0.0
-        total += self.log_prior
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        return self.predict_batch([text])[0]
+
+    def predict_batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and probability of each text: sparse counts (text, bucket) times the matrix,
+        multiplied whenever about `HELD` n-grams have come together, however the texts end."""
+        totals, seen = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
+        parts: list[np.ndarray] = []
+        held = 0
+        for k, text in enumerate(texts):
+            for part in buckets(text or ""):
+                seen[k] = True
+                parts.append(part + k * BUCKETS)
+                held += len(part)
+                if held >= HELD:
+                    self._multiply(parts, totals)
+                    parts, held = [], 0
+        if parts:
+            self._multiply(parts, totals)
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        totals += self.log_prior
+        best = totals.argmax(axis=1)
+        score = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
+        return [(self.languages[b], float(p)) if s else (UNKNOWN, 0.0) for b, p, s in zip(best, score, seen, strict=True)]
+
+    def _multiply(self, parts: list[np.ndarray], totals: np.ndarray) -> None:
+        cells, n = np.unique(np.concatenate(parts), return_counts=True)
+        rows, columns = cells // BUCKETS, cells % BUCKETS
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        totals[rows[first]] += np.add.reduceat(n[:, None] * self.log_likely[columns].astype(float), first, axis=0)
 
 
 def held_out(folds: int = 3, remainder: int = 1, doc_id: str = "doc_id") -> Column:
@@ -155,7 +177,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def add(batches):
         model = shared.value
         for batch in batches:
-            found = [model.predict(t) for t in batch.column(text).to_pylist()]
+            found = model.predict_batch(batch.column(text).to_pylist())
             extra = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
 
