@@ -1,3 +1,5 @@
+import random
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -120,3 +122,30 @@ def test_match_filters(spark):
     assert I.filter_matches(cal, now, team="Maroc", bucket="today", home_city="Boston").count() == 1
     assert I.filter_matches(cal, now, home_city="Miami").count() == 1
     assert I.filter_matches(cal, now, team="Chili").count() == 0
+
+
+def test_routes_equal_listed_itineraries(spark):
+    """Numbers from totals per day and up to the bound, without a list of the pairs."""
+    r = random.Random(5)
+    at = lambda: f"2026-09-{r.randint(8, 15):02d} {r.choice(['00:00:00', '04:59:59', '13:00:00', '13:00:01', '21:30:00'])}"
+    legs = [(None if i == 3 else f"j{i}", 0, r.choice(["ATL", "LAX", "MIA"]), "2026-09-08 00:00:00", r.choice(["MIA", "FLL", "ATL", "XXX"]), at())
+            for i in range(300)]
+    updated = F.when(F.col("origin_city") == "Los Angeles", F.lit("2026-08-20 10:00:00")).otherwise("2026-08-29 00:00:00").cast("timestamp_ntz")
+    facts = I.journey_facts(I.with_endpoints(segments(spark, *legs), cities(spark), "left"), legs=False).withColumn("updated_at", updated)
+    games = [(1, "2026-09-13 18:00:00", "miami"), (1, "2026-09-13 18:00:00", "Miami"), (1, "2026-09-11 02:00:00", "Atlanta"),
+             (2, "2026-09-12 05:00:00", "Miami"), (3, "2026-09-12 04:59:59", "Miami"), (None, "2026-09-12 09:59:59", "MIAMI"),
+             (None, "2026-09-14 00:00:00", "Atlanta"), (4, None, "Miami"), (5, "2026-09-14 18:00:00", None), (6, "2027-01-01 18:00:00", "Miami")]
+    games = spark.createDataFrame(games, "match_id int, match_date string, city string").withColumn("match_date", F.col("match_date").cast("timestamp_ntz"))
+    now, keys = local_ts("2026-09-01 09:00:00"), ["match_id", "origin_city"]
+    listed = I.itineraries(facts, games)
+    want = rows(I.freshness(listed, keys, now))
+    assert len(want) > 8 and {r[-1] for r in want} == {True, False}
+    assert rows(I.route_freshness(facts, games, now).select(I.freshness(listed, keys, now).columns)) == want
+    assert rows(I.answer_meta(I.routes(facts, games, now, by_origin=False), games, "m")) == rows(I.answer_meta(listed, games, "m"))
+
+
+def test_pairs_are_neither_stored_nor_shuffled(spark):
+    """Behind the join with matches no exchange follows; the journeys go through one."""
+    facts = I.journey_facts(I.with_endpoints(segments(spark, DIRECT), cities(spark), "left"))
+    plan = I.itineraries(facts, matches(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") - plan.count("LeftOuter") == 1

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
-from waylark.operators.upsert import insert_ignore
 
 ROUTE_KEYS = ["match_id", "origin_city"]
 
@@ -44,9 +43,13 @@ def search_plan(
 
 
 def route_ledger(ledger: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
-    """Ledger plus every newly asked route, including those without results."""
+    """Ledger plus every newly asked route, including those without results.
+
+    The asked routes are grouped once and not ordered again, as each is there once.
+    """
     fresh = asked.groupBy(*ROUTE_KEYS).agg(F.max("n_results").cast("long").alias("n_results"))
-    return insert_ignore(ledger, fresh.withColumn("asked_at", now), ROUTE_KEYS)
+    new = fresh.withColumn("asked_at", now).join(ledger.select(*ROUTE_KEYS), ROUTE_KEYS, "left_anti")
+    return ledger.unionByName(new.select(*ledger.columns))
 
 
 def cache_outcomes(requests: DataFrame, fresh_state: DataFrame, ledger: DataFrame) -> DataFrame:
