@@ -81,3 +81,10 @@ def test_static_dimensions_load_twice(spark):
     again = SD.load_dims(spark, changed)
     for name in pinned:
         assert again[name].exceptAll(pinned[name]).count() == 0 and again[name].count() == pinned[name].count()
+
+
+def test_files_read_as_a_whole_are_bounded(spark, tmp_path):
+    path = str(tmp_path / "landing")
+    WR.write_documents(spark.range(0, 25, 1, 1).select(F.concat(F.lit("{"), F.col("id"), F.lit("}"))), path, 10)
+    lines = [len(r["json_data"].split()) for r in RD.land_json(spark, path).collect()]
+    assert sum(lines) == 25 and max(lines) == 10

@@ -72,7 +72,7 @@ WITH {views("segments")} SELECT count(DISTINCT journey_sk) AS n_documents, count
 def read_landed_json(spark, sf):
     """Documents as text files; each file is read as a whole."""
     path = new_shared_path(spark, "landing")
-    D.responses(spark, sf).select("json_data").write.text(path)
+    writers.write_documents(D.responses(spark, sf).select("json_data"), path)
     landed = readers.land_json(spark, path)
     n = F.size(F.filter(F.split("json_data", "\n"), lambda x: F.trim(x) != ""))
     return landed.agg(F.sum(n).cast("long").alias("n_documents"), F.bool_and(F.col("source") != "").alias("has_source"))
