@@ -53,3 +53,14 @@ def test_split_is_exact(spark, share):
     for c in (1, None):
         last = max((mark(r.id, r.y) for r in got if r.y == c and r.is_test), default=(-1, 0))
         assert all(mark(r.id, r.y) > last for r in got if r.y == c and not r.is_test)
+
+
+def test_rows_of_a_class_are_not_brought_to_one_task(spark):
+    df = spark.range(50).withColumn("y", F.col("id") % 2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = FE.exact_split(df, "y", ["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [_class" in plan

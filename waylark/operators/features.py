@@ -233,7 +233,8 @@ def exact_split(
     # One row per class: the first cell of which not all rows are test rows.
     edges = run.filter((before <= wanted) & (wanted < F.col("cum__n"))).groupBy("_class").agg(
         F.min(F.struct(F.col("_cell").alias("cell"), (wanted - before).alias("left"))).alias("_edge"))
-    placed = rows.withColumns({"_class": known, "_cell": cell}).join(edges, "_class", "left")
+    # So few rows go to every task; by class, one task would get all rows of a class.
+    placed = rows.withColumns({"_class": known, "_cell": cell}).join(F.broadcast(edges), "_class", "left")
     # Without an edge all rows of a class are test rows.
     side = F.coalesce(F.signum(F.col("_cell") - F.col("_edge.cell")), F.lit(-1.0))
     clear = placed.filter(side != 0).select(*df.columns, (side < 0).alias("is_test"))
