@@ -10,6 +10,7 @@ from waylark.operators import boosting as BO
 from waylark.operators import explain as X
 from waylark.operators import models as M
 from waylark.operators import network as NN
+from waylark.session import pinned
 
 SCHEMA = "id long, a double, b double, c double, late int"
 
@@ -146,3 +147,13 @@ def test_network_on_odd_rows(spark):
         net = NN.fit(train, df, ["a", "b", "c"], "late", ["id"], s, tasks=2)
         p = [r["probability"] for r in NN.predict(net, df, ["id"]).collect()]
         assert len(p) == 6 and all(0 < v < 1 for v in p)
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    assert [NN.tasks_for(n, 4) for n in (0, 800_000, 800_001, 29_000_000)] == [4, 4, 5, 145]
+    monkeypatch.setattr(NN, "TASK_ROWS", 20)
+    seen = []
+    monkeypatch.setattr(NN, "pinned", lambda df, label: seen.append(df.rdd.getNumPartitions()) or pinned(df, label))
+    df = spark.createDataFrame(made(90), SCHEMA)
+    NN.fit(df, df, ["a", "b", "c"], "late", ["id"], dataclasses.replace(SMALL, rounds=1), tasks=2)
+    assert seen[0] == 5

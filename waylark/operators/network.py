@@ -210,12 +210,21 @@ def _table(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
         F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)])
 
 
+# Rows that one task walks in a round. Without a bound a round takes as long as all rows on a few cores.
+TASK_ROWS = 200_000
+
+
+def tasks_for(rows: int, least: int) -> int:
+    return max(least, -(-rows // TASK_ROWS))
+
+
 def fit(train: DataFrame, held_out: DataFrame, features: Sequence[str], label: str, key: Sequence[str],
         settings: Settings = Settings(), positive_weight: float | None = None, tasks: int | None = None) -> Network:
-    """Rows are dealt to tasks by a hash of their key, once; tasks: how many, Spark's setting if not given."""
+    """Rows are dealt to tasks by a hash of their key, once; tasks: how many at least,
+    more for many rows; Spark's setting if not given."""
     s, features, inputs = settings, list(features), len(features)
     dealt = F.xxhash64(*key, F.lit(s.seed))
-    count = [tasks] if tasks else []
+    count = [tasks_for(train.count(), tasks)] if tasks else []
     mixed = train.withColumn("_dealt", dealt).repartition(*count, "_dealt").sortWithinPartitions("_dealt")
     table, held = pinned(_table(mixed, features, label), "network-train"), pinned(_table(held_out, features, label), "network-held-out")
     if positive_weight is None:
