@@ -132,3 +132,16 @@ def test_bucketed_upsert_leaves_the_target_where_it_is(spark, tmp_path):
     run(fact(spark, []), 5)
     assert spark.table("bucketed_fact").count() == 21 and t.columns[-1] == "day"
     spark.sql("DROP TABLE bucketed_fact")
+
+
+def test_buckets_grow_with_the_rows():
+    assert [U.buckets_for(n, 8) for n in (0, 8_000_000, 8_000_001, 216_000_000)] == [8, 8, 9, 216]
+
+
+def test_first_rows_equal_an_upsert_into_nothing(spark, tmp_path):
+    rows_ = [("a", 1, "x", "d0"), ("a", 2, "y", "d0"), ("b", 3, None, "d1")]
+    source, order = fact(spark, rows_).drop("arrives"), [F.col("price").desc()]
+    U.upsert_table(spark, str(tmp_path / "t"), source, ["k"], ["price"], local_ts(NEW), "day", str(tmp_path / "s"), order, BUCKETED)
+    want = U.upsert(spark.createDataFrame([], BUCKETED), U.dedupe(source, ["k"], order), ["k"], ["price"], local_ts(NEW))
+    assert rows(spark.read.schema(BUCKETED).parquet(str(tmp_path / "t"))) == rows(want)
+    assert len(rows(want)) == 2 and not (tmp_path / "s" / "arrived").exists()

@@ -68,8 +68,9 @@ def upsert_bucketed_fact(spark, sf):
     stored, arriving = (d.select("*", part) for d in _target_source(spark, sf))
     path = new_shared_path(spark, "bucketed-fact")
     name, keys = path.rsplit("/", 1)[-1].replace("-", "_"), ["journey_sk", "pos"]
-    U.bucketed_table(spark, name, path, stored.schema, keys, "part", 8)
-    stored.repartition(8, *keys).write.insertInto(name)
+    buckets = U.buckets_for(D.table(spark, sf, "lineitem").count(), 8)
+    U.bucketed_table(spark, name, path, stored.schema, keys, "part", buckets)
+    stored.repartition(buckets, *keys).write.insertInto(name)
     U.upsert_bucketed(spark, name, arriving, keys, ["price", "departure_airport_time", "is_delayed"], S.local_ts(NOW),
                       "part", new_shared_path(spark, "bucketed-staging"), [F.col("price").asc()])
     return spark.table(name).drop("part")
