@@ -172,3 +172,13 @@ def test_exact_medians_of_many_rows(spark):
     few = sorted(i % 5 for i in range(1, 60_001))
     assert got == {"x": 30_000.0, "few": (few[29_999] + few[30_000]) / 2}
     assert O.exact_medians(d.limit(0), ["x"]).count() == 0
+
+
+def test_training_rows_are_spread_over_the_cores(spark, monkeypatch):
+    """All rows of a single row group would be in one task of every pass."""
+    one = spark.range(0, 1000, 1, 1).withColumn("x", F.rand(1))
+    assert M.spread(one) is one
+    monkeypatch.setattr(M, "SPREAD_ROWS", 100)
+    got = M.spread(one)
+    held = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 1 and max(r["count"] for r in held) < 800 and rows(got) == rows(one)
