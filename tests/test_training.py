@@ -10,6 +10,7 @@ from waylark.operators import boosting as BO
 from waylark.operators import explain as X
 from waylark.operators import models as M
 from waylark.operators import network as NN
+from waylark.plans import training_plans as TP
 from waylark.session import pinned
 
 SCHEMA = "id long, a double, b double, c double, late int"
@@ -157,3 +158,29 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     df = spark.createDataFrame(made(90), SCHEMA)
     NN.fit(df, df, ["a", "b", "c"], "late", ["id"], dataclasses.replace(SMALL, rounds=1), tasks=2)
     assert seen[0] == 5
+
+
+def test_rows_are_stored_in_blocks(spark):
+    """A pass gets a stored row for each block, not one for each row."""
+    rows = made(700)
+    df = spark.createDataFrame([*rows, (700, 1.0, 1.0, 1.0, None)], SCHEMA).coalesce(1)
+    cuts = BO.cuts_of(df, ["a", "b", "c"], 256)
+    blocks = BO.binned(df, ["a", "b", "c"], "late", ["id"], cuts).collect()
+    assert [b.n for b in blocks] == [256, 256, 188] and sum(b.positive for b in blocks) == sum(r[4] for r in rows)
+    whole = lambda name, kind: np.concatenate([np.frombuffer(b[name], kind) for b in blocks])
+    for k, c in enumerate(cuts):
+        assert (whole(f"bin_{k}", np.int16) == np.searchsorted(c, [r[1 + k] for r in rows])).all()
+    assert (whole("label", np.float64) == [r[4] for r in rows]).all() and len(set(whole("row", np.int64))) == 700
+
+
+def test_explained_rows_carry_their_scores(spark, tmp_path):
+    """Scores and contributions meet without a join; equal line items count apart, and one without a feature has no contributions."""
+    lines = [(i // 4, i % 4, float(i % 50 + 1), i % 11 / 100, i % 9 / 100) for i in range(600)]
+    lines += lines[:40] + [(1000 + i, 1, None, 0.05, 0.08) for i in range(200)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    test = TP._split(spark, str(tmp_path))[1]
+    found = TP.boosted_trees_explained(spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    whole = test.where("quantity IS NOT NULL").count()
+    assert 0 < whole < test.count() and tuple(found.first()) == (test.count(), whole)

@@ -1,7 +1,9 @@
 """Boosted trees by gradient and curvature, with columns and rows sampled for each tree.
 
-Feature values are put into bins once. For each level of a tree one pass over the stored
-rows sums gradient and curvature by (node, feature, bin) inside the tasks; Spark adds up
+Feature values are put into bins once, and rows are stored in blocks: a stored row holds the
+values of up to `BLOCK` rows, each column as the bytes of one array. A pass hands blocks from
+Spark to numpy, so its cost is that of the sums, not of moving single rows. For each level of a
+tree one pass over the stored blocks sums gradient and curvature by (node, feature, bin) inside the tasks; Spark adds up
 what the tasks found, and the driver receives these sums, whose number is bounded by
 2^depth x features x bins. Sums are whole numbers (units of 2^-20), so a tree does not
 depend on how the rows are distributed. Margins are stored with the rows every few trees;
@@ -27,6 +29,12 @@ from waylark.operators.upsert import remove
 from waylark.session import new_shared_path
 
 _UNIT = float(1 << 20)
+# Rows of a stored block, and blocks that a task works on at once.
+BLOCK, AT_ONCE = 256, 64
+# Bytes of a row group of stored blocks: small ones are dealt evenly over the tasks.
+GROUP_BYTES = 4 << 20
+# What a block holds of its rows; bins are in columns bin_0, bin_1...
+_KINDS = {"row": np.int64, "label": np.float64, "margin": np.float64}
 
 
 @dataclass(frozen=True)
@@ -85,8 +93,24 @@ def _values(column: pa.Array) -> np.ndarray:
     return np.where(np.isnan(v), -np.inf, v)
 
 
+def _column(values: np.ndarray) -> pa.Array:
+    """The bytes of `BLOCK` values each."""
+    ends = np.minimum(np.arange(0, len(values) + BLOCK, BLOCK), len(values)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _array(blocks: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(blocks.column(name).to_pylist()), _KINDS.get(name, np.int16))
+
+
+def _parts(batches):
+    for b in batches:
+        for k in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(k, AT_ONCE)
+
+
 def binned(rows: DataFrame, features: Sequence[str], label: str, key: Sequence[str], cuts: list[np.ndarray]) -> DataFrame:
-    """row (a hash of the key), label, margin and a bin for each feature."""
+    """Blocks of rows: n, positive (rows with label 1); row (a hash of the key), label, margin and a bin for each feature."""
     wide = rows.where(F.col(label).isNotNull()).select(
         F.xxhash64(*key).alias("row"), F.col(label).cast("double").alias("label"),
         *[F.col(f).cast("double").alias(f"bin_{k}") for k, f in enumerate(features)])
@@ -94,11 +118,22 @@ def binned(rows: DataFrame, features: Sequence[str], label: str, key: Sequence[s
 
     def assign(batches):
         for b in batches:
-            found = [pa.array(np.searchsorted(c, _values(b.column(f"bin_{k}"))).astype(np.int16)) for k, c in enumerate(cuts)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("label"), pa.array(np.zeros(b.num_rows)), *found], names)
+            if not b.num_rows:
+                continue
+            label = b.column("label").to_numpy()
+            found = [np.searchsorted(c, _values(b.column(f"bin_{k}"))).astype(np.int16) for k, c in enumerate(cuts)]
+            starts = np.arange(0, b.num_rows, BLOCK)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.diff(starts, append=b.num_rows)), pa.array(np.add.reduceat((label == 1).astype(np.int64), starts)),
+                *map(_column, (b.column("row").to_numpy(), label, np.zeros(b.num_rows), *found))], ["n", "positive", *names])
+
+    return wide.mapInArrow(assign, "n long, positive long, " + ", ".join(f"{n} binary" for n in names))
+
 
-    fields = [T.StructField(n, T.ShortType()) for n in names[3:]]
-    return wide.mapInArrow(assign, T.StructType([*T.StructType.fromDDL("row long, label double, margin double").fields, *fields]))
+def _stored(blocks: DataFrame) -> str:
+    path = new_shared_path(blocks.sparkSession, "binned")
+    blocks.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    return path
 
 
 def drawn(rows: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
@@ -118,10 +153,14 @@ def _with_margins(table: DataFrame, pending: Sequence[Tree], rate: float) -> Dat
     names, used = table.columns, sorted(_used(pending))
 
     def add(batches):
-        for b in batches:
-            bins = {f: b.column(f"bin_{f}").to_numpy() for f in used}
-            margin = b.column("margin").to_numpy() + sum(rate * t.value[t.places(bins, b.num_rows)] for t in pending)
-            yield pa.RecordBatch.from_arrays([pa.array(margin) if n == "margin" else b.column(n) for n in names], names)
+        for b in _parts(batches):
+            bins = {f: _array(b, f"bin_{f}") for f in used}
+            margin = _array(b, "margin")
+            margin = margin + sum(rate * t.value[t.places(bins, len(margin))] for t in pending)
+            sizes = b.column("n").to_numpy() * margin.itemsize
+            ends = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            added = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(margin)])
+            yield pa.RecordBatch.from_arrays([added if n == "margin" else b.column(n) for n in names], names)
 
     return table.mapInArrow(add, table.schema)
 
@@ -135,12 +174,13 @@ def level_sums(table: DataFrame, pending: Sequence[Tree], tree: Tree, number: in
 
     def sums(batches):
         total = np.zeros((2, nodes * len(columns) * width), np.int64)
-        for b in batches:
-            bins = {f: b.column(f"bin_{f}").to_numpy() for f in used}
-            margin = b.column("margin").to_numpy() + sum(s.rate * t.value[t.places(bins, b.num_rows)] for t in pending)
-            at = tree.places(bins, b.num_rows) - first
-            seen = np.flatnonzero((at >= 0) & drawn(b.column("row").to_numpy(), number, s.seed, s.rows))
-            y = b.column("label").to_numpy()[seen]
+        for b in _parts(batches):
+            bins = {f: _array(b, f"bin_{f}") for f in used}
+            margin = _array(b, "margin")
+            margin = margin + sum(s.rate * t.value[t.places(bins, len(margin))] for t in pending)
+            at = tree.places(bins, len(margin)) - first
+            seen = np.flatnonzero((at >= 0) & drawn(_array(b, "row"), number, s.seed, s.rows))
+            y = _array(b, "label")[seen]
             p = 1 / (1 + np.exp(-margin[seen]))
             w = np.where(y == 1, weight, 1.0)
             both = [np.rint(v * _UNIT) for v in (w * (p - y), w * p * (1 - p))]
@@ -228,11 +268,10 @@ def fit(train: DataFrame, features: Sequence[str], label: str, key: Sequence[str
     s, spark, features = settings, train.sparkSession, list(features)
     cuts = cuts_of(train.where(F.col(label).isNotNull()), features, s.bins)
     widths = [len(c) + 1 for c in cuts]
-    path = new_shared_path(spark, "binned")
-    binned(train, features, label, key, cuts).write.parquet(path)
+    path = _stored(binned(train, features, label, key, cuts))
     table = spark.read.parquet(path)
     if positive_weight is None:
-        n = table.agg(F.count(F.when(F.col("label") == 1, 1)).alias("p"), F.count(F.when(F.col("label") != 1, 1)).alias("q")).first()
+        n = table.agg(F.sum("positive").alias("p"), F.sum(F.col("n") - F.col("positive")).alias("q")).first()
         positive_weight = n["q"] / n["p"] if n["p"] and n["q"] else 1.0
     rng = np.random.default_rng(s.seed)
     take = max(1, round(s.columns * len(features)))
@@ -250,8 +289,7 @@ def fit(train: DataFrame, features: Sequence[str], label: str, key: Sequence[str
         nodes += _nodes(number, tree, cuts, s.rate)
         pending.append(tree)
         if len(pending) == s.stored_every and number + 1 < s.rounds:
-            old, path = path, new_shared_path(spark, "binned")
-            _with_margins(table, pending, s.rate).write.parquet(path)
+            old, path = path, _stored(_with_margins(table, pending, s.rate))
             table, pending = spark.read.parquet(path), []
             remove(spark, old)
     remove(spark, path)

@@ -96,10 +96,9 @@ def boosted_trees_explained(spark, sf):
     """Base value and contributions give the log odds of every test row."""
     train, test = _split(spark, sf)
     model = BO.fit(train, _FEATURES, "late", _KEY, BO.Settings(rounds=6, depth=3, rate=0.3))
-    # Line items come more than once; a number tells test rows apart.
-    numbered = pinned(test.withColumn("row", F.monotonically_increasing_id()), "test")
-    found = X.explained(model.table(spark), numbered, model.features, ["row"])
-    total = F.aggregate("contributions", F.col("base_value"), lambda a, c: a + c)
-    exact = F.abs(1 / (1 + F.exp(-F.col("margin"))) - F.col("probability")) < 1e-9
-    return found.select("row", total.alias("margin")).join(BO.predict(model, numbered, ["row"]), "row").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(exact, 1)).alias("n_exact"))
+    # Each row carries its probability along: nothing is joined, and equal line items stay apart.
+    scored = BO.predict(model, test, _FEATURES)
+    found = X.explained(model.table(spark), scored, model.features, ["probability"])
+    margin = F.aggregate("contributions", F.col("base_value"), lambda a, c: a + c)
+    exact = F.abs(1 / (1 + F.exp(-margin)) - F.col("probability")) < 1e-9
+    return found.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(exact, 1)).alias("n_exact"))
