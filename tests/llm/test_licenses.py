@@ -134,3 +134,8 @@ def test_no_notices(spark):
     assert licenses.scanned(df, notices=()).select("n_words", "matches").collect() == [(2, [])]
     own = licenses.scanned(df, notices=(Notice("mit license", "x", True),)).select(*licenses.digest()).first()
     assert (own.n_base, own.labels) == (1, "x")
+
+
+def test_added_character_at_the_start():
+    assert Scanner(NOTICES).verified("xmit license") == [(0, 0, 12, 1)]
+    assert Scanner(NOTICES).verified("mit license") == [(0, 0, 11, 0)]

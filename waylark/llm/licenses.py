@@ -151,9 +151,10 @@ class Scanner:
                 for c, d in zip(cuts[::2], cuts[1::2], strict=True):
                     if d - c < len(words) - edits_allowed(words):
                         continue
-                    left, right = max(0, c - 1), min(len(text), d + 1)
-                    for m in self.patterns[k].finditer(text[left:right]):
-                        s, e = self._trimmed(text, left + m.start(), left + m.end())
+                    # With nothing before it, the regex library does not let a match begin with an added character.
+                    left, right = c - 1, min(len(text), d + 1)
+                    for m in self.patterns[k].finditer(text[left:right] if c else " " + text[:right]):
+                        s, e = self._trimmed(text, max(0, left + m.start()), left + m.end())
                         if c <= s < e <= d:
                             out.append((k, s, e, sum(m.fuzzy_counts)))
         return sorted(out, key=lambda m: (m[1], m[2], m[0]))

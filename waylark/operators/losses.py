@@ -6,6 +6,7 @@ counts can then be too high, never too low.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 REPORT = "step string, measure string, n long"
+# Spark tells counts a moment after the action that found them; so many seconds are given for that.
+TOLD_S = 3.0
 
 
 class Watch:
@@ -31,7 +34,10 @@ class Watch:
     def counts(self) -> list[tuple[str, str, int | None]]:
         """(step, measure, n); n is null for a step that no action has run to its end."""
         out = []
+        until = time.monotonic() + TOLD_S
         for step, names, seen in self._steps:
+            while seen._jo is not None and not seen._jo.future().isCompleted() and time.monotonic() < until:
+                time.sleep(0.01)
             found = seen.get if seen._jo is not None and seen._jo.future().isCompleted() else {}
             out += [(step, n, found.get(n)) for n in names]
         return out
