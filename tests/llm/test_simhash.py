@@ -113,6 +113,19 @@ def test_hot_buckets_are_cut_again(spark, monkeypatch):
     assert got == {(a, b) for a in signed for b in signed if a < b and (a ^ b).bit_count() <= 2}
 
 
+def test_exploded_signatures_are_not_broadcast(spark, monkeypatch):
+    """Spark takes them for as small as the fingerprints, of which each has 34."""
+    plans, keep = [], simhash.stored
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    simhash.near_pairs(spark.range(500).select(F.xxhash64("id").alias("fp"))).collect()
+    assert plans and all("SortMergeJoin [id" in p for p in plans)
+
+
 def test_one_of_each_keeps_columns_and_smallest(spark):
     text = "a text of some words that is copied here"
     rows = [(4, text, "x"), (2, text, "y"), (2, text, "y"), (None, text, "z"), (7, "quite another text of other words", None)]

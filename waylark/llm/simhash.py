@@ -133,7 +133,8 @@ def near_pairs(prints: DataFrame, bits: int = 2) -> DataFrame:
             F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
         wild = table.select("id", (F.col("differ") != 0).alias("wild"))
         buckets = buckets.where("n > 1").join(wild, "id").where("not wild or low <> high").select("id", "value", "n")
-        level, _ = stored(signed.drop("side").join(buckets, ["id", "value"]), "buckets")
+        # Spark takes the exploded signatures for no larger than the fingerprints and would broadcast them.
+        level, _ = stored(signed.drop("side").hint("merge").join(buckets, ["id", "value"]), "buckets")
         compared = level.where((F.col("n") <= BUCKET) | F.col("last")).groupBy("id", "value").agg(
             F.collect_list("fp").alias("all"))
         pairs = F.flatten(F.transform("all", lambda x: F.transform(
